@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, exact_dedup, packing, token_store
+from tidemark.llm import chat, decontaminate, exact_dedup, packing, quality, token_store, toxicity
 from tidemark.llm.common import scratch_path
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -45,16 +45,28 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
