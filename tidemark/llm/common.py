@@ -131,11 +131,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums modulo 2**64 of bytes with A-Z lowered; see span_hash."""
+def prefix_hash(raw: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Polynomial prefix sums modulo 2**64 of bytes, with A-Z lowered or as they are; see span_hash."""
     up, _ = powers(len(raw))
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_LOWER[raw] + np.uint64(1)) * up[: len(raw)], out=out[1:])
+    np.cumsum(((_LOWER[raw] if lower else raw.astype(np.uint64)) + np.uint64(1)) * up[: len(raw)], out=out[1:])
     return out
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, exact_dedup, packing, quality, token_store, toxicity
+from tidemark.llm import chat, decontaminate, exact_dedup, line_dedup, packing, quality, token_store, toxicity
 from tidemark.llm.common import scratch_path
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -22,6 +22,12 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", F.col("lines_removed").cast("long").alias("lines_removed"), F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"), "text")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     token_store.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizer())
@@ -60,6 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_store": op3_token_store,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_format": op5_chat_format,
@@ -70,6 +77,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, text, string_split(text, chr(10)) AS lines FROM documents),
+        w AS (SELECT r, i, least(len(lines), 3) AS n, array_to_string(lines[i : i + 2], chr(10)) AS body FROM (SELECT r, lines, unnest(range(1, greatest(2, len(lines) - 1))) AS i FROM d WHERE text IS NOT NULL)),
+        a AS (SELECT r, i, n, row_number() OVER (PARTITION BY n, body ORDER BY r, i) AS k FROM w),
+        g AS (SELECT DISTINCT r, unnest(range(i, i + n)) AS x FROM a WHERE k > 1),
+        l AS (SELECT d.r, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS x FROM d WHERE text IS NOT NULL),
+        s AS (SELECT l.r, string_agg(CASE WHEN g.x IS NULL THEN line END, chr(10) ORDER BY l.x) AS kept, count(g.x) AS gone FROM l LEFT JOIN g ON l.r = g.r AND l.x = g.x GROUP BY l.r)
+        SELECT doc_id, coalesce(gone, 0) AS lines_removed, length(coalesce(kept, '')) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256,
+            CASE WHEN d.text IS NOT NULL THEN coalesce(kept, '') END AS text FROM d LEFT JOIN s USING (r)
+    """,
     "op4_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
