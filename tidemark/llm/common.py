@@ -26,10 +26,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A fresh folder name in the shared folder."""
+    return f"{scratch_dir(spark).rstrip('/')}/tidemark/{tag}-{uuid.uuid4().hex}"
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    path = f"{scratch_dir(spark).rstrip('/')}/tidemark/{tag}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
+    """A fresh folder name that written() lists."""
+    _written.append(new_path(spark, tag))
+    return _written[-1]
 
 
 def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -48,13 +53,19 @@ def _reordered(df: DataFrame, partition_by: list[str] | None):
     return df.select(*[F.col(f"`{c}`") for c in names]).schema
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables written so far in this process; call it only when no lazy result reads them."""
+def written() -> list[str]:
+    """Scratch folders written so far in this process, oldest first."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders; call it only when no lazy result reads them any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        _written.remove(name)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -74,6 +85,15 @@ def join_by_skewed_key(rows: DataFrame, groups: DataFrame, key: list[str], size:
     return rows.join(F.broadcast(heavy), key).unionByName(spread)
 
 
+#: A side of at most so many narrow rows (some 50 bytes each) may be broadcast; larger ones shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 

@@ -13,14 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_or_empty
+from tidemark.llm.common import materialize, sized, text_or_empty
 
 #: What is a word, once A-Z are lowered.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A side of at most so many narrow rows (some 50 bytes each) may be broadcast; larger ones shuffle.
-BROADCAST_ROWS = 200_000
 #: Terms, from the rarest on, whose postings are joined one by one before the rest.
 _EARLY = 3
 
@@ -29,10 +27,6 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(f"({WORD})"), F.lit(1))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def benchmark_windows(benchmark: DataFrame, n: int, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Distinct windows (wid, words) and which item has which (wid, item). An item without words has none."""
     items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), words_of(text_or_empty(text_col)).alias("words")).filter(F.size("words") > 0)
@@ -42,11 +36,12 @@ def benchmark_windows(benchmark: DataFrame, n: int, item_col: str, text_col: str
     return numbered.select("wid", "words"), numbered.select("wid", F.explode("items").alias("item"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, id_col: str, text_col: str) -> DataFrame:
+def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, id_col: str, text_col: str, row: Column | None = None) -> DataFrame:
     """Postings (row, doc_id, pos, term) of the given terms; each row also has a posting of term -1 at its word count."""
-    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), words_of(text_or_empty(text_col)).alias("words"))
+    row = F.monotonically_increasing_id() if row is None else row
+    words = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("doc_id"), words_of(text_or_empty(text_col)).alias("words"))
     each = words.select("row", "doc_id", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
-    found = each.join(_sized(terms, n_terms), "word", "left").filter(F.col("term").isNotNull() | F.col("word").isNull())
+    found = each.join(sized(terms, n_terms), "word", "left").filter(F.col("term").isNotNull() | F.col("word").isNull())
     return materialize(found.select("row", "doc_id", "pos", F.coalesce("term", F.lit(-1)).alias("term")), "postings")
 
 
@@ -61,20 +56,20 @@ def find_windows(index: DataFrame, windows: DataFrame, terms: DataFrame, slop: i
     places = materialize(places.select("wid", "n", "offset", "term", F.row_number().over(by_rarity).alias("rank")), "window-terms")
     count = places.count()
     own = places.filter("rank = 1").select("wid", "n", "term", F.col("offset").alias("lead"))
-    found = postings.join(_sized(own, count), "term").select("row", (F.col("pos") - F.col("lead")).alias("start"), "wid", "n", F.lit(True).alias("exact")).filter("start >= 0")
+    found = postings.join(sized(own, count), "term").select("row", (F.col("pos") - F.col("lead")).alias("start"), "wid", "n", F.lit(True).alias("exact")).filter("start >= 0")
     around = F.sequence(F.lit(-slop), F.lit(slop))
     for rank in range(2, _EARLY + 1):
         found = materialize(found, "candidates")
         own = places.filter(F.col("rank") == rank)
-        asked = found.join(_sized(own.drop("n", "rank"), count), "wid").select("*", F.explode(around).alias("off")).withColumn("pos", F.col("start") + F.col("offset") + F.col("off"))
-        held = postings.join(_sized(own.select("term").distinct(), count), "term", "left_semi")
+        asked = found.join(sized(own.drop("n", "rank"), count), "wid").select("*", F.explode(around).alias("off")).withColumn("pos", F.col("start") + F.col("offset") + F.col("off"))
+        held = postings.join(sized(own.select("term").distinct(), count), "term", "left_semi")
         kept = asked.join(held, ["row", "pos", "term"], "left_semi").select("row", "start", "wid", "n", (F.col("exact") & (F.col("off") == 0)).alias("exact"))
         found = _merged(kept.unionByName(found.filter(F.col("n") < rank)), slop)
     found = materialize(found, "candidates")
     rest = places.filter(F.col("rank") > _EARLY)
-    asked = found.join(_sized(rest.drop("n", "rank"), count), "wid").select("*", F.explode(around).alias("off")).withColumn("pos", F.col("start") + F.col("offset") + F.col("off"))
+    asked = found.join(sized(rest.drop("n", "rank"), count), "wid").select("*", F.explode(around).alias("off")).withColumn("pos", F.col("start") + F.col("offset") + F.col("off"))
     rows = materialize(found.select("row").distinct(), "candidate-rows")
-    held = postings.join(_sized(rows, rows.count()), "row", "left_semi")
+    held = postings.join(sized(rows, rows.count()), "row", "left_semi")
     there = asked.join(held, ["row", "pos", "term"], "left_semi").groupBy("row", "start", "wid", "offset").agg(F.max(F.col("exact") & (F.col("off") == 0)).alias("exact"))
     counted = there.groupBy("row", "start", "wid").agg(F.count(F.lit(1)).alias("have"), F.min("exact").alias("exact"))
     all_there = found.drop("exact").join(counted, ["row", "start", "wid"]).filter(F.col("have") == F.col("n") - _EARLY).drop("have")
@@ -86,7 +81,7 @@ def _merged(found: DataFrame, slop: int) -> DataFrame:
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", row: Column | None = None
 ) -> DataFrame:
     """One row per document: row, doc_id, n_words, n_hit, items array of strings, contaminated.
 
@@ -94,16 +89,26 @@ def decontaminate(
     lies inside an occurrence. Null texts have no words; a null item id counts as an empty string; each
     row of a repeated id is a document of its own; without documents or windows nothing is hit. With
     slop above 0, proximity matches count too, and are judged from the word the rarest term points at.
+    row may name a unique number of each row of docs; else one is made.
     """
     windows, owners = benchmark_windows(benchmark, n, item_col, item_text_col)
     terms = windows.select(F.explode("words").alias("word")).distinct()
     terms = materialize(terms.withColumn("term", F.monotonically_increasing_id()), "terms")
-    index = build_index(docs, terms, terms.count(), id_col, text_col)
+    index = build_index(docs, terms, terms.count(), id_col, text_col, row)
     found = materialize(find_windows(index, windows, terms, slop), "occurrences")
     hit = found.select("row", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
-    pairs = found.select("row", "wid").distinct().join(_sized(owners, owners.count()), "wid").select("row", "item").distinct()
+    pairs = found.select("row", "wid").distinct().join(sized(owners, owners.count()), "wid").select("row", "item").distinct()
     items = pairs.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
     every = index.filter("term = -1").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
     joined = every.join(hit.join(items, "row"), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without a hit, with all their columns."""
+    packed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "decontaminate-docs")
+    texts = packed.select("row", F.col(f"doc.`{id_col}`").alias("doc_id"), F.col(f"doc.`{text_col}`").alias("text"))
+    found = decontaminate(texts, benchmark, n, id_col="doc_id", text_col="text", row=F.col("row"))
+    gone = materialize(found.filter("contaminated").select("row"), "contaminated")
+    return packed.join(sized(gone, gone.count()), "row", "left_anti").select("doc.*")

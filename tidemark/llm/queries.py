@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, exact_dedup, line_dedup, packing, quality, token_store, toxicity
+from tidemark.llm import chat, decontaminate, exact_dedup, line_dedup, ngram_jaccard, packing, quality, token_store, toxicity
 from tidemark.llm.common import scratch_path
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -22,6 +22,11 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "keep")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce("text", F.lit(""))
@@ -66,6 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_line_dedup": op2_line_dedup,
     "op3_token_store": op3_token_store,
     "op4_exact_dedup": op4_exact_dedup,
