@@ -31,7 +31,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
     UTF-8, or Latin-1 where the file is no UTF-8. An empty file or one without rows is refused.
     """
-    undecodable = spark.read.text(path).filter(F.contains("value", F.lit("�"))).limit(1)
+    undecodable = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
     encoding = "ISO-8859-1" if undecodable.count() else "UTF-8"
     raw = spark.read.options(header=True, multiLine=False, encoding=encoding, escape='"', mode="PERMISSIVE").csv(path)
     return typed(_guarded(raw, path))
