@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.expressions import aggregate_of, is_moment, is_numeric, kind, moment, number, r2, r4
+from tidemark.functions.quantiles import below, quantiles
 from tidemark.operators.filters import apply_filters, require
 from tidemark.plans.requests import AggregationQuery, BreakdownQuery, CrossTabQuery, Metric
 
@@ -91,12 +92,14 @@ def categorical_columns(df: DataFrame) -> list[str]:
 
 
 def overview_numeric(df: DataFrame) -> DataFrame:
-    """column, sum, mean, median, min, max, std of every numeric column, in one pass over the rows."""
+    """column, sum, mean, median, min, max, std of every numeric column: one pass over the rows, and exact medians."""
     names = numeric_columns(df)
-    how = ("sum", "mean", "median", "min", "max", "std")
+    how = ("sum", "mean", "min", "max", "std")
     one = df.agg(*[r4(F.coalesce(aggregate_of(number(df, n), h), F.lit(0.0))).alias(f"{i}_{h}") for i, n in enumerate(names) for h in how])
     rows = F.array(*[F.struct(F.lit(n).alias("column"), *[F.col(f"{i}_{h}").alias(h) for h in how]) for i, n in enumerate(names)])
-    return one.select(F.inline(rows))
+    medians = quantiles(df, names, [0.5])
+    joined = one.select(F.inline(rows)).join(F.broadcast(medians), "column", "left")  # a row for each column
+    return joined.select("column", "sum", "mean", r4(F.coalesce(F.col("q")[0], F.lit(0.0))).alias("median"), "min", "max", "std")
 
 
 def overview_temporal(df: DataFrame) -> DataFrame:
@@ -160,21 +163,9 @@ def crosstab(df: DataFrame, query: CrossTabQuery) -> DataFrame:
     return grid.join(cells, ["_row", "_column"], "left").select(F.col("_row").alias("row"), F.col("_column").alias("column"), r4(F.coalesce("value", F.lit(0.0))).alias("value"))
 
 
-def _ordered_share(df: DataFrame, key: str) -> DataFrame:
-    """df (one row for each value of key, with its count n) with below: the sum of n over smaller values, without one task seeing all."""
-    edges = df.agg(F.percentile_approx(key, [i / 64 for i in range(1, 64)], 1000)).first()[0] or []
-    edges = sorted(set(edges))
-    part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(key))) if edges else F.lit(0)
-    parted = df.withColumn("_part", part)
-    sums = parted.groupBy("_part").agg(F.sum("n").alias("_n"))
-    ahead = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))  # at most 64 rows
-    inside = F.sum("n").over(Window.partitionBy("_part").orderBy(key)) - F.col("n")
-    return parted.withColumn("_inside", inside).join(F.broadcast(ahead), "_part").withColumn("below", F.col("_ahead") + F.col("_inside")).drop("_part", "_inside", "_ahead")
-
-
 def _ranked(df: DataFrame, name: str, out: str) -> DataFrame:
-    counts = df.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-    ranks = _ordered_share(counts, name).select(name, (F.col("below") + (F.col("n") + 1) / 2).alias(out))
+    counts = df.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    ranks = below(counts, []).select(F.col("value").alias(name), (F.col("below") + (F.col("n") + 1) / 2).alias(out))
     return df.join(ranks, name)
 
 

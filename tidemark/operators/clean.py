@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.expressions import day, number, r4
+from tidemark.functions.quantiles import quantiles
+from tidemark.operators.aggregate import value_counts
 from tidemark.operators.profile import Figures, figures
 from tidemark.plans.requests import CleaningConfig
 
@@ -42,7 +44,8 @@ def impute_number(df: DataFrame, name: str, how: str) -> DataFrame:
         return df.withColumn(name, F.coalesce(n, F.lit(0.0)))
     if how not in ("median", "mean"):
         return df
-    value = df.agg(F.coalesce(r4(F.median(n) if how == "median" else F.avg(n)), F.lit(0.0)).alias("_fill"))
+    found = quantiles(df, [name], [0.5]).agg(F.max(F.col("q")[0]).alias("v")) if how == "median" else df.agg(F.avg(n).alias("v"))
+    value = found.select(F.coalesce(r4(F.col("v")), F.lit(0.0)).alias("_fill"))
     return df.join(F.broadcast(value)).withColumn(name, F.coalesce(n, F.col("_fill"))).drop("_fill")  # one row
 
 
@@ -98,8 +101,8 @@ def cast_report(df: DataFrame, name: str, to: str) -> DataFrame:
 
 def outlier_bounds(df: DataFrame, name: str) -> DataFrame:
     """lower, upper: quartiles less and plus 1.5 times their distance, 4 digits; null for fewer than ten values."""
-    n = number(df, name)
-    one = df.agg(F.percentile(n, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(n).alias("known"))
+    known = df.agg(F.count(number(df, name)).alias("known"))
+    one = known.join(F.broadcast(quantiles(df, [name], [0.25, 0.75])), how="left")  # one row each
     reach = (F.col("q")[1] - F.col("q")[0]) * OUTLIER_FACTOR
     enough = F.col("known") >= OUTLIER_MIN_ROWS
     return one.select(F.when(enough, r4(F.col("q")[0] - reach)).alias("lower"), F.when(enough, r4(F.col("q")[1] + reach)).alias("upper"))
@@ -125,8 +128,42 @@ def reference_audit(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.lit(name).alias("column"), F.count(F.when(c.isNull(), 1)).alias("missing"), F.count(F.when(c.cast("string").rlike(PLACEHOLDER), 1)).alias("placeholders"))
 
 
+def _fills(df: DataFrame, names: list[str], how: str) -> dict[str, float]:
+    """What nulls of numeric columns become; one job for all columns."""
+    if how == "zero" or not names:
+        return dict.fromkeys(names, 0.0)
+    if how == "median":
+        known = {r["column"]: r["q"][0] for r in quantiles(df, names, [0.5]).collect()}  # a row for each column
+    else:
+        known = df.agg(*[F.avg(number(df, n)).alias(n) for n in names]).first().asDict()
+    return {n: round(known.get(n) or 0.0, 4) for n in names}
+
+
+def _modes(df: DataFrame, names: list[str]) -> dict[str, str]:
+    """The most frequent value of each column, of equals the smallest; one job for all columns."""
+    best = value_counts(df, names).groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"))
+    known = {r["column"]: r["value"] for r in best.collect()}  # a row for each column
+    return {n: known.get(n, "Unknown") for n in names}
+
+
+def _bounds(df: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
+    """Outlier bounds of the columns with ten values or more; one job for all columns."""
+    counts = df.agg(*[F.count(number(df, n)).alias(n) for n in names]).first().asDict()
+    out = {}
+    for r in quantiles(df, names, [0.25, 0.75]).collect():  # a row for each column
+        if counts[r["column"]] >= OUTLIER_MIN_ROWS:
+            low, high = r["q"]
+            out[r["column"]] = (round(low - (high - low) * OUTLIER_FACTOR, 4), round(high + (high - low) * OUTLIER_FACTOR, 4))
+    return out
+
+
 def clean(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> tuple[DataFrame, DataFrame]:
-    """The cleaned table and a report (step, column, detail). Identifiers and dates are never imputed; text is turned into numbers before nulls are filled."""
+    """The cleaned table and a report (step, column, detail).
+
+    Identifiers and dates are never imputed; text is turned into numbers before nulls are filled, and
+    outliers are judged after. The figures that decide are gathered for all columns at once from the
+    table without duplicates, which is kept for that; the cleaned table is then one projection of it.
+    """
     report: list[tuple[str, str | None, str]] = []
     if config.remove_duplicates:
         df = drop_duplicates(df)
@@ -134,41 +171,62 @@ def clean(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> tuple[Dat
     if config.normalize_names:
         df, renamed = normalize_names(df)
         report += [("rename", new, old) for old, new in renamed.items()]
-    for f in figures(df):
-        df = _clean_column(df, f, config, report)
-    return df, df.sparkSession.createDataFrame(report, "step string, column string, detail string")
-
-
-def _clean_column(df: DataFrame, f: Figures, config: CleaningConfig, report: list) -> DataFrame:
-    name, found, nulls = f.name, f.classification, f.rows - f.known
-    if nulls and found in ("identifier", "datetime"):
-        report.append(("nulls", name, f"{nulls} nulls left in {found}"))
-    if found == "numeric":
-        if config.convert_types and not f.numeric_type:
-            df = df.withColumn(name, number(df, name))
-            report.append(("convert", name, f"{f.numbers} numbers, {f.known - f.numbers} failures"))
-        if nulls and config.numeric_nulls != "none":
-            df = impute_number(df, name, config.numeric_nulls)
-            report.append(("nulls", name, f"{nulls} filled by {config.numeric_nulls}"))
+    base = df.persist()
+    found = figures(base)
+    kinds = {k: [f for f in found if f.classification == k] for k in ("identifier", "datetime", "numeric", "categorical", "text")}
+    base = _clean_numbers(base, kinds["numeric"], config, report)
+    base = _clean_texts(base, kinds["categorical"] + kinds["text"], config, report)
+    if config.convert_types:
+        for f in kinds["datetime"]:
+            base = iso_dates(base, f.name)
+            report.append(("convert", f.name, f"{f.dates} dates, {f.known - f.dates} failures"))
+    for f in kinds["identifier"] + kinds["datetime"]:
+        if f.known < f.rows:
+            report.append(("nulls", f.name, f"{f.rows - f.known} nulls left in {f.classification}"))
+    names = [f.name for f in kinds["identifier"]]
+    if config.check_references and names:
+        one = base.agg(*[F.count(F.when(F.col(f"`{n}`").cast("string").rlike(PLACEHOLDER), 1)).alias(n) for n in names]).first()
+        report += [("references", f.name, f"{f.rows - f.known} missing, {one[f.name]} placeholders") for f in kinds["identifier"]]
+    return base, df.sparkSession.createDataFrame(report, "step string, column string, detail string")
+
+
+def _clean_numbers(df: DataFrame, found: list[Figures], config: CleaningConfig, report: list) -> DataFrame:
+    if not found:
+        return df
+    if config.convert_types:
+        texts = [f for f in found if not f.numeric_type]
+        df = df.withColumns({f.name: number(df, f.name) for f in texts})
+        report += [("convert", f.name, f"{f.numbers} numbers, {f.known - f.numbers} failures") for f in texts]
+    holes = [f for f in found if f.numbers < f.rows and (f.numeric_type or config.convert_types)]
+    if config.numeric_nulls in ("median", "mean", "zero") and holes:
+        fills = _fills(df, [f.name for f in holes], config.numeric_nulls)
+        df = df.withColumns({f.name: F.coalesce(number(df, f.name), F.lit(fills[f.name])) for f in holes})
+        report += [("nulls", f.name, f"{f.rows - f.numbers} filled by {config.numeric_nulls}") for f in holes]
+    if config.outliers in ("report", "cap"):
+        names = [f.name for f in found]
+        bounds = _bounds(df, names)
+        values = {n: number(df, n) for n in bounds}
+        if bounds:
+            one = df.agg(*[F.count(F.when((values[n] < lo) | (values[n] > hi), 1)).alias(n) for n, (lo, hi) in bounds.items()]).first()
+            report += [("outliers", n, f"{one[n]} outside {lo} to {hi}") for n, (lo, hi) in bounds.items()]
         if config.outliers == "cap":
-            df = cap_outliers(df, name)
-            report.append(("outliers", name, "capped"))
-        elif config.outliers == "report":
-            r = outlier_report(df, name).first()
-            report.append(("outliers", name, f"{r['outliers']} outside {r['lower']} to {r['upper']}"))
-    elif found in ("categorical", "text") and isinstance(df.schema[name].dataType, T.StringType):
-        if nulls and config.categorical_nulls != "none":
-            df = impute_category(df, name, config.categorical_nulls)
-            report.append(("nulls", name, f"{nulls} filled by {config.categorical_nulls}"))
-        if config.normalize_categories and found == "categorical":
-            df = normalize_categories(df, name)
-            report.append(("categories", name, "spellings unified"))
-    elif found == "datetime" and config.convert_types:
-        df = iso_dates(df, name)
-        report.append(("convert", name, f"{f.dates} dates, {f.known - f.dates} failures"))
-    elif found == "identifier" and config.check_references:
-        r = reference_audit(df, name).first()
-        report.append(("references", name, f"{r['missing']} missing, {r['placeholders']} placeholders"))
+            df = df.withColumns({n: F.when(values[n].isNotNull(), F.least(F.greatest(values[n], F.lit(lo)), F.lit(hi))) for n, (lo, hi) in bounds.items()})
+    return df
+
+
+def _clean_texts(df: DataFrame, found: list[Figures], config: CleaningConfig, report: list) -> DataFrame:
+    found = [f for f in found if isinstance(df.schema[f.name].dataType, T.StringType)]
+    holes = [f for f in found if f.known < f.rows]
+    if config.categorical_nulls in ("mode", "unknown") and holes:
+        names = [f.name for f in holes]
+        fills = _modes(df, names) if config.categorical_nulls == "mode" else dict.fromkeys(names, "Unknown")
+        df = df.withColumns({n: F.coalesce(F.col(f"`{n}`"), F.lit(v)) for n, v in fills.items()})
+        report += [("nulls", f.name, f"{f.rows - f.known} filled by {config.categorical_nulls}") for f in holes]
+    if config.normalize_categories:
+        for f in found:
+            if f.classification == "categorical":
+                df = normalize_categories(df, f.name)
+                report.append(("categories", f.name, "spellings unified"))
     return df
 
 

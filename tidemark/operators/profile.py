@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.expressions import day, is_moment, is_numeric, kind, moment, number, r2, r4
+from tidemark.functions.quantiles import quantiles
 from tidemark.operators.aggregate import DATE_NAME, top_categories, value_counts
 
 #: Names by which columns are told, the texts of a boolean, and the shape of a UUID.
@@ -128,36 +129,37 @@ def profile_numeric(df: DataFrame, names: list[str]) -> DataFrame:
             F.max(n).alias(f"max_{i}"),
             F.avg(n).alias(f"mean_{i}"),
             F.coalesce(F.stddev_samp(n), F.lit(0.0)).alias(f"std_{i}"),
-            F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}"),
             F.coalesce(F.bool_and(n == F.floor(n)), F.lit(False)).alias(f"whole_{i}"),
             (F.count(F.col(f"`{name}`")) - F.count(n)).alias(f"bad_{i}"),
         ]
-    one = df.agg(*asked)
+    one, middle = df.agg(*asked), quantiles(df, names, [0.25, 0.5, 0.75])
     rows = [
         F.struct(
             F.lit(name).alias("column"),
             *[r4(F.col(f"{s}_{i}")).alias(s) for s in ("min", "max", "mean")],
-            r4(F.col(f"q_{i}")[1]).alias("median"),
             r4(F.col(f"std_{i}")).alias("std"),
-            *[r4(F.col(f"q_{i}")[k]).alias(p) for k, p in enumerate(("p25", "p50", "p75"))],
             F.col(f"whole_{i}").alias("is_integer"),
             F.col(f"bad_{i}").alias("inconsistent"),
         )
         for i, name in enumerate(names)
     ]
-    return one.select(F.inline(F.array(*rows)))
+    joined = one.select(F.inline(F.array(*rows))).join(F.broadcast(middle), "column", "left")  # a row for each column
+    cuts = [r4(F.col("q")[k]).alias(p) for k, p in enumerate(("p25", "p50", "p75"))]
+    return joined.select("column", "min", "max", "mean", r4(F.col("q")[1]).alias("median"), "std", *cuts, "is_integer", "inconsistent")
 
 
-def suspicious(df: DataFrame, name: str) -> DataFrame:
-    """column, negatives (of metric-like names), extremes (more than five deviations off, from 20 values on), suspicious."""
-    n = number(df, name)
-    limits = df.agg(r4(F.avg(n)).alias("mean"), r4(F.stddev_samp(n)).alias("std"), F.count(n).alias("known"))
-    metric_like = bool(re.search(METRIC_NAME, name) or "qty" in name.lower())
-    counted = df.join(F.broadcast(limits)).agg(  # one row
-        F.count(F.when(F.lit(metric_like) & (n < 0), 1)).alias("negatives"),
-        F.count(F.when((F.col("known") >= 20) & (F.col("std") > 0) & (F.abs(n - F.col("mean")) > 5 * F.col("std")), 1)).alias("extremes"),
-    )
-    return counted.select(F.lit(name).alias("column"), "negatives", "extremes", (F.col("negatives") + F.col("extremes")).alias("suspicious"))
+def suspicious(df: DataFrame, names: list[str]) -> DataFrame:
+    """column, negatives (of metric-like names), extremes (more than five deviations off, from 20 values on), suspicious; two passes for all columns."""
+    values = {n: number(df, n) for n in names}
+    limits = df.agg(*[x for i, v in enumerate(values.values()) for x in (r4(F.avg(v)).alias(f"_mean{i}"), r4(F.stddev_samp(v)).alias(f"_std{i}"), F.count(v).alias(f"_known{i}"))])
+    asked = []
+    for i, (name, v) in enumerate(values.items()):
+        metric_like = bool(re.search(METRIC_NAME, name) or "qty" in name.lower())
+        far = (F.col(f"_known{i}") >= 20) & (F.col(f"_std{i}") > 0) & (F.abs(v - F.col(f"_mean{i}")) > 5 * F.col(f"_std{i}"))
+        asked += [F.count(F.when(F.lit(metric_like) & (v < 0), 1)).alias(f"_neg{i}"), F.count(F.when(far, 1)).alias(f"_far{i}")]
+    one = df.join(F.broadcast(limits)).agg(*asked)  # one row
+    rows = [F.struct(F.lit(n).alias("column"), F.col(f"_neg{i}").alias("negatives"), F.col(f"_far{i}").alias("extremes"), (F.col(f"_neg{i}") + F.col(f"_far{i}")).alias("suspicious")) for i, n in enumerate(names)]
+    return one.select(F.inline(F.array(*rows)))
 
 
 def profile_datetime(df: DataFrame, name: str) -> DataFrame:
@@ -186,7 +188,7 @@ def quality_score(df: DataFrame) -> DataFrame:
     dup = duplicate_rows(df).first()["duplicate_rows"]
     dates = [f for f in found if f.classification == "datetime"]
     numeric = [f for f in found if f.classification == "numeric"]
-    odd = sum(suspicious(df, f.name).first()["suspicious"] for f in numeric)
+    odd = suspicious(df, [f.name for f in numeric]).agg(F.sum("suspicious")).first()[0] if numeric else 0
     bad = {
         "completeness": (sum(f.rows - f.known for f in found), cells),
         "uniqueness": (dup, max(1, rows)),

@@ -273,7 +273,7 @@ add(
 )
 add(
     "prof_suspicious",
-    lambda s, d: profile.suspicious(read_table(s, d, "customer"), "c_acctbal").union(profile.suspicious(read_table(s, d, "customer").withColumnRenamed("c_acctbal", "account_balance"), "account_balance")),
+    lambda s, d: profile.suspicious(read_table(s, d, "customer").withColumn("account_balance", F.col("c_acctbal")), ["c_acctbal", "account_balance"]),
     " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", CAST({neg} AS BIGINT) AS negatives, count(*) FILTER (abs(c_acctbal - m) > 5 * s) AS extremes, CAST({neg} AS BIGINT) + count(*) FILTER (abs(c_acctbal - m) > 5 * s) AS suspicious FROM customer, (SELECT round(avg(c_acctbal), 4) AS m, round(stddev_samp(c_acctbal), 4) AS s FROM customer)"
         for c, neg in (("c_acctbal", "0"), ("account_balance", "count(*) FILTER (c_acctbal < 0)"))
@@ -308,7 +308,14 @@ add("clean_cap", lambda s, d: clean.cap_outliers(read_table(s, d, "events").sele
 add("clean_negative", lambda s, d: clean.outlier_report(read_table(s, d, "supplier"), "s_acctbal").select("column", "negatives"), "SELECT 's_acctbal' AS \"column\", count(*) FILTER (s_acctbal < 0) AS negatives FROM supplier")
 add("clean_ref_audit", lambda s, d: clean.reference_audit(_dirty(s, d), "customer_id"), "SELECT 'customer_id' AS \"column\", count(*) - count(customer_id) AS missing, count(*) FILTER (regexp_matches(customer_id, '(9999|unknown|dummy|temp|null|test)', 'i')) AS placeholders FROM {D}")
 add("clean_preview", lambda s, d: clean.preview(_dirty(s, d)).select("column", "missing", "missing_pct"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, round((count(*) - count({c})) / count(*) * 100, 2) AS missing_pct FROM {{D}}" for c in _KINDS))
-add("clean_pipeline", lambda s, d: clean.clean(_dirty(s, d))[0], None)
+add(
+    "clean_pipeline",
+    lambda s, d: clean.clean(_dirty(s, d))[0],
+    "WITH m AS (SELECT priority AS best FROM {D} WHERE priority IS NOT NULL GROUP BY priority ORDER BY count(*) DESC, priority LIMIT 1), p AS (SELECT d.* REPLACE (coalesce(priority, m.best) AS priority) FROM {D} d, m), "
+    "f AS (SELECT lower(trim(priority)) AS k, trim(priority) AS form, count(*) AS n FROM p GROUP BY 1, 2), b AS (SELECT k, first(form ORDER BY n DESC, form) AS best FROM f GROUP BY k), "
+    "n AS (SELECT round(median(TRY_CAST(amount_text AS DOUBLE)), 4) AS a, round(median(price), 4) AS p FROM {D}) "
+    "SELECT order_id, best AS priority, coalesce(TRY_CAST(amount_text AS DOUBLE), n.a) AS amount_text, CAST(TRY_CAST(replace(order_date, '/', '-') AS DATE) AS STRING) AS order_date, coalesce(price, n.p) AS price, customer_id, gift FROM p JOIN b ON lower(trim(priority)) = k CROSS JOIN n",
+)
 
 # --- anomalies: one series for each event type
 _Z = """
