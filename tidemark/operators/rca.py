@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.expressions import day, is_numeric, kind, number, r2, r4
+from tidemark.functions.expressions import day, is_moment, is_numeric, kind, number, r2, r4
 from tidemark.operators.filters import require
 from tidemark.plans.requests import RCARequest
 
@@ -44,6 +44,15 @@ def dimensions(df: DataFrame, request: RCARequest) -> list[str]:
     return [n for n in names if 2 <= counts[n] <= 500][: request.max_dimensions]
 
 
+def date_column(df: DataFrame) -> str | None:
+    """The first column that reads as a date in at least two rows and half of all; numbers are no dates."""
+    names = [f.name for f in df.schema if is_moment(f.dataType) or isinstance(f.dataType, T.StringType)]
+    if not names:
+        return None
+    one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(day(df, n)).alias(n) for n in names]).first()
+    return next((n for n in names if one[n] >= max(2, one["_rows"] / 2)), None)
+
+
 class Analysis:
     """The windows' rows and the figures that all results share."""
 

@@ -17,6 +17,7 @@ from tidemark.operators import anomaly, clean, profile, relational, timeseries
 from tidemark.operators import filters as filt
 from tidemark.operators.forecast import forecast
 from tidemark.operators.rca import Analysis
+from tidemark.operators.rca import date_column as rca_date_column
 from tidemark.plans.requests import AggregationQuery, AnomalyRequest, BreakdownQuery, CrossTabQuery, Filter, ForecastRequest, Metric, RCARequest, TimeSeriesQuery
 from tidemark.sources import store
 from tidemark.sources.tables import read_table
@@ -435,6 +436,13 @@ add("list_anomalies", lambda s, d: store.listed(_old(s, d), "org1", severity="lo
 add("ml_summary", lambda s, d: store.summary(_found(s, d), _old(s, d), "org1"), f"WITH {_FOUND}, {_OLD} SELECT (SELECT count(*) FROM a) AS anomalies, (SELECT count(*) FROM a WHERE severity = 'critical') AS critical, (SELECT count(*) FROM a WHERE severity = 'high') AS high, (SELECT count(*) FROM a WHERE severity = 'medium') AS medium, (SELECT count(*) FROM a WHERE severity = 'low') AS low, (SELECT count(*) FROM o) AS forecasts, (SELECT count(*) FROM (SELECT metric FROM a UNION SELECT metric FROM o)) AS metrics")
 add("audit_append", lambda s, d: store.audit(_old(s, d).groupBy("org_id").agg(F.lit("load").alias("action"), F.lit("{}").alias("details"), F.max("bucket").alias("at")), "org1", "rca_run", F.to_json(F.struct(F.lit("value").alias("metric"))), F.lit(date(2024, 2, 1))), f"WITH {_OLD} SELECT org_id, 'load' AS action, '{{}}' AS details, max(bucket) AS at FROM o GROUP BY org_id UNION ALL SELECT 'org1', 'rca_run', '{{\"metric\":\"value\"}}', DATE '2024-02-01'")
 
+add(
+    "catalog_sync",
+    lambda s, d: store.sync_columns(s.createDataFrame([("ds1", "gone", "text", True), ("ds2", "stays", "text", False)], "dataset_id string, column string, classification string, nullable boolean"), profile.profile_columns(_dirty(s, d)), "ds1"),
+    "SELECT 'ds2' AS dataset_id, 'stays' AS \"column\", 'text' AS classification, false AS nullable UNION ALL " + " UNION ALL ".join(f"SELECT 'ds1', '{c}', '{k}', count(*) > count({c}) FROM {{D}}" for c, k in _KINDS.items()),
+)
+add("rca_date_column", lambda s, d: s.createDataFrame([(rca_date_column(_dirty(s, d)),)], "date_column string"), "SELECT 'order_date' AS date_column")
+
 # --- relational
 add("join_inner", lambda s, d: read_table(s, d, "nation").join(read_table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name"), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 add(

@@ -50,3 +50,9 @@ def audit(table: DataFrame, org: str, action: str, details: Column, at: Column)
     """table with a record appended."""
     one = table.sparkSession.range(1).select(F.lit(org).alias("org_id"), F.lit(action).alias("action"), details.alias("details"), at.alias("at"))
     return table.unionByName(one)
+
+
+def sync_columns(catalog: DataFrame, profile: DataFrame, dataset: str) -> DataFrame:
+    """catalog (dataset_id, column, classification, nullable) with a dataset's columns replaced by those of its profile."""
+    new = profile.select(F.lit(dataset).alias("dataset_id"), "column", "classification", (F.col("null_count") > 0).alias("nullable"))
+    return replace(catalog, new, F.col("dataset_id") == dataset)
