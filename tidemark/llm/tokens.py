@@ -1,65 +1,106 @@
 """Token ids by a public tokenizer, with a bounded cache of encoded chunks in each Python worker.
 
-A text is cut before every space that follows a character other than white space. A byte-level BPE
-pre-tokenizer never joins what stands left and right of such a place, so encoding the chunks gives the
-ids of the whole text. Texts with white space before a space are encoded in one piece.
+A text is cut before every space that follows a character other than white space. The pre-tokenizer of
+a byte-level BPE never joins what stands left and right of such a place, so encoding the chunks gives
+the ids of the whole text. Neither does it join a letter with punctuation behind it, or a single line
+feed with its neighbours, so a chunk new to the cache is cut there too, which leaves few distinct words
+to encode. Texts with white space before a space are encoded in one piece.
 """
 
 from __future__ import annotations
 
-from __future__ import annotations
-
 import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: Chunks kept in a worker; beyond it the cache starts anew.
 CACHE_CHUNKS = 600_000
 _UNSAFE = re.compile(r"\s ")
+#: Marks that no rule of the pre-tokenizer ties to a letter before them.
+_MARKS = ".,;:!?"
 _encoders: dict[str, Encoder] = {}
 
 
+class _Cache(dict):
+    """Chunk to ids; a chunk that it lacks gives None and is noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.lacking: set[str] = set()
+
+    def __missing__(self, chunk: str) -> None:
+        self.lacking.add(chunk)
+
+
+def _pieces(chunk: str) -> list[str]:
+    """Parts of a chunk that are encoded apart."""
+    out = []
+    lines = chunk.split("\n")
+    if len(lines) > 1 and (any(not x or x[0].isspace() or x[-1].isspace() for x in lines[1:-1]) or lines[0][-1:].isspace() or not lines[0] or lines[-1][:1].isspace() or not lines[-1]):
+        return [chunk]
+    for k, line in enumerate(lines):
+        if k:
+            out.append("\n")
+        word = line.rstrip(_MARKS)
+        if word and word != line and word[-1].isalpha():
+            out += [word, line[len(word) :]]
+        else:
+            out.append(line)
+    return out
+
+
 class Encoder:
     """Encodes texts to little-endian 32-bit ids."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-
-    def _fill(self, cache: dict[str, bytes], new: list[str], lead: str) -> None:
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([lead + x for x in part], add_special_tokens=False)]
+        self.words = Tokenizer.from_file(path)  # for single words, which need no cutting by pattern
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Chunks that begin a text, and those with a space before them (kept without it).
+        self.heads, self.chunks, self.parts = _Cache(), _Cache(), {}
+
+    def _encode(self, tokenizer: Tokenizer, texts: list[str]) -> None:
+        for k in range(0, len(texts), 10_000):
+            own = texts[k : k + 10_000]
+            ids = [e.ids for e in tokenizer.encode_batch_fast(own, add_special_tokens=False)]
             flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
             ends = (np.cumsum([len(x) for x in ids]) * 4).tolist()
-            cache.update(zip(part, [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            self.parts.update(zip(own, [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def _fill(self, cache: _Cache, lead: str) -> None:
+        new = {chunk: _pieces(lead + chunk) for chunk in cache.lacking}
+        cache.lacking.clear()
+        lacking = {p for own in new.values() for p in own if p not in self.parts}
+        words = [p for p in lacking if p.removeprefix(" ").isalpha()]
+        self._encode(self.words, words)
+        self._encode(self.tokenizer, list(lacking.difference(words)))
+        get = self.parts.__getitem__
+        for chunk, own in new.items():
+            cache[chunk] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.first) + len(self.spaced) > CACHE_CHUNKS:
-            self.first.clear()
-            self.spaced.clear()
-        split, heads, tails = [], set(), set()
+        if len(self.chunks) + len(self.heads) > CACHE_CHUNKS:
+            for cache in (self.heads, self.chunks, self.parts):
+                cache.clear()
+        head, get, split, found = self.heads.__getitem__, self.chunks.__getitem__, [], []
         for t in texts:
-            if _UNSAFE.search(t) or t[:1] == " ":
-                heads.add(t)
-                split.append([t])
-            else:
-                parts = t.split(" ")
-                split.append(parts)
-                heads.add(parts[0])
-                tails.update(parts[1:])
-        self._fill(self.first, [x for x in heads if x not in self.first], "")
-        self._fill(self.spaced, [x for x in tails if x not in self.spaced], " ")
-        get = self.spaced.__getitem__
-        for parts in split:
-            head = self.first[parts[0]]
-            yield head + b"".join(map(get, parts[1:])) if len(parts) > 1 else head
+            parts = [t] if _UNSAFE.search(t) or t[:1] == " " else t.split(" ")
+            split.append(parts)
+            found.append([head(parts[0]), *map(get, parts[1:])])
+        for cache, lead in ((self.heads, ""), (self.chunks, " ")):
+            if cache.lacking:
+                self._fill(cache, lead)
+        for parts, own in zip(split, found, strict=True):
+            try:
+                yield b"".join(own)
+            except TypeError:
+                own = [get(p) if x is None else x for p, x in zip(parts[1:], own[1:], strict=True)]
+                yield head(parts[0]) + b"".join(own)
 
 
 def encoder(path: str) -> Encoder:

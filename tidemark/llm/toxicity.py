@@ -78,7 +78,7 @@ class Model:
                 top = z[: max(1, len(z) - _PADDING)].max(axis=0)
                 best = top if best is None else np.maximum(best, top)
             pooled[k] = best
-        return np.maximum(pooled + self.bias, 0) @ self.out + self.out_bias
+        return (np.maximum(pooled + self.bias, 0) @ self.out).astype(np.float64) + self.out_bias
 
     def scores(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         if self.constant is not None:
