@@ -198,18 +198,19 @@ def _star(edges: DataFrame, small: bool, total: int) -> DataFrame:
     return told.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges are stars: no node has two ends above it, or is both below and above another."""
+    below, above = F.col("u").alias("node"), F.col("v").alias("node")
+    ends = edges.select(below, F.lit(1).alias("low"), F.lit(0).alias("top")).unionByName(edges.select(above, F.lit(0).alias("low"), F.lit(1).alias("top")))
+    return ends.groupBy("node").agg(F.sum("low").alias("low"), F.max("top").alias("top")).filter("low > 1 or (low > 0 and top > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (u, v): the lowest node of its connected component. Alternates large and small stars until nothing changes."""
-    now = materialize(edges.select("u", "v").filter("u != v").distinct(), "edges")
-    sign = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    before = tuple(now.agg(*sign).first())
-    while before[0]:
-        now = materialize(_star(now, False, 2 * before[0]), "edges")
-        now = materialize(_star(now, True, before[0]), "edges")
-        after = tuple(now.agg(*sign).first())
-        if after == before:
-            break
-        before = after
+    """(node, root) for every node of edges (u, v): the lowest node of its connected component. Alternates large and small stars until only stars are left."""
+    now = materialize(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _settled(now):
+        now = materialize(_star(now, False, 2 * now.count()), "edges")
+        now = materialize(_star(now, True, now.count()), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
