@@ -1,7 +1,7 @@
 """Exact deduplication by two passes over a Bloom filter.
 
-Pass one builds, for every task, a bitmap of the hashes it has seen (``once``) and of those it has
-seen again (``twice``); merged, ``twice`` also gets what two tasks share. Pass two tests each hash
+Pass one notes, for every task, the bits of the hashes it has seen (``once``) and of those it has
+seen again (``twice``); merged to bitmaps, ``twice`` also gets what two tasks share. Pass two tests each hash
 against ``twice``: only rows that may be repeated shuffle, all others pass straight through.
 
 A filter is at most ``filter_bytes`` large. Where the hashes need more, hash space is cut into
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import join_by_skewed_key, materialize, mix, partitions, text_or_empty
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SEGMENT_BITS = 1 << 19
+#: Positions within a segment fit 16 bits.
+_SEGMENT_BITS = 1 << 16
+_LEAST_BITS = 1 << 19
 _BITS_PER_ROW = 16
 _PROBES = 3
 _PARTS = pa.schema([("segment", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
@@ -42,35 +44,33 @@ def _build(size: int):
             return
         values, counts = np.unique(np.concatenate(seen), return_counts=True)
         once, twice = (np.unique(_bits(v, size)) for v in (values, values[counts > 1]))
-        for segment in np.unique(once // _SEGMENT_BITS):
-            packed = []
-            for found in (once, twice):
-                own = np.zeros(min(size, _SEGMENT_BITS), bool)
-                lo, hi = np.searchsorted(found, [segment * _SEGMENT_BITS, (segment + 1) * _SEGMENT_BITS])
-                own[found[lo:hi] - segment * _SEGMENT_BITS] = True
-                packed.append(zlib.compress(np.packbits(own).tobytes(), 1))
-            yield pa.RecordBatch.from_arrays([pa.array([int(segment)]), pa.array([packed[0]], pa.binary()), pa.array([packed[1]], pa.binary())], schema=_PARTS)
+        segments = np.unique(once // _SEGMENT_BITS)
+        columns = [pa.array(segments)]
+        for found in (once, twice):
+            ends = np.append(np.searchsorted(found, segments * _SEGMENT_BITS), len(found)) * 2
+            columns.append(pa.Array.from_buffers(pa.binary(), len(segments), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer((found % _SEGMENT_BITS).astype("<u2").tobytes())]))
+        yield pa.RecordBatch.from_arrays(columns, schema=_PARTS)
 
     return task
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by segment; two bitmaps are held at a time."""
+    """Rows of positions come sorted by segment; two bitmaps are held at a time. Gives the bitmap of twice."""
     at, once, twice = None, None, None
 
     def done():
-        return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([b""], pa.binary()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], schema=_PARTS)
+        return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([zlib.compress(np.packbits(twice).tobytes(), 1)], pa.binary())], names=["segment", "twice"])
 
     for b in batches:
         for segment, o, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
             if segment != at:
                 if at is not None:
                     yield done()
-                at, once, twice = segment, o.copy(), t.copy()
-            else:
-                twice |= t | (once & o)
-                once |= o
+                at, once, twice = segment, np.zeros(_SEGMENT_BITS, bool), np.zeros(_SEGMENT_BITS, bool)
+            o, t = np.frombuffer(o, "<u2"), np.frombuffer(t, "<u2")
+            twice[o] |= once[o]
+            once[o] = True
+            twice[t] = True
     if at is not None:
         yield done()
 
@@ -92,11 +92,11 @@ def possibly_repeated(hashes: DataFrame, rows: int, filter_bytes: int) -> DataFr
     flagged = None
     for k in range(slice_count(rows, filter_bytes)):
         own = hashes.filter(F.col("slice") == k)
-        size = _SEGMENT_BITS
+        size = _LEAST_BITS
         while size < rows * _BITS_PER_ROW and size < filter_bytes * 8:
             size *= 2
         parts = own.select("hash").mapInArrow(_build(size), "segment long, once binary, twice binary")
-        merged = parts.repartition(partitions(spark), "segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, once binary, twice binary")
+        merged = parts.repartition(partitions(spark), "segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, twice binary")
         twice = np.zeros(size // 8, np.uint8)
         for r in merged.toLocalIterator():
             twice[r["segment"] * _SEGMENT_BITS // 8 :][: _SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
