@@ -107,18 +107,15 @@ def _induce(t: np.ndarray, rising: np.ndarray, lms: np.ndarray, memory: int) ->
 
 
 def _ranks(names: np.ndarray) -> np.ndarray:
-    """Ranks of all suffixes of a sequence of names, by doubling."""
-    rank, width = np.unique(names, return_inverse=True)[1].astype(np.int64), 1
-    while len(rank) and rank.max() < len(rank) - 1:
-        second = np.full(len(rank), -1, np.int64)
-        second[:-width] = rank[width:]
-        order = np.lexsort((second, rank))
-        changed = (np.diff(rank[order]) != 0) | (np.diff(second[order]) != 0)
+    """Ranks of all suffixes of a sequence of names (0 and up, none left out), by doubling."""
+    rank, width = names, 1
+    while len(rank) and rank.max() < len(rank) - 1 and width < len(rank):
+        pair = rank * (len(rank) + 1)
+        pair[:-width] += rank[width:] + 1
+        order = np.argsort(pair)
         rank = np.empty_like(rank)
-        rank[order] = np.concatenate([[0], np.cumsum(changed)])
+        rank[order] = np.cumsum(np.diff(pair[order], prepend=pair[order[0]]) != 0)
         width *= 2
-        if width >= len(rank):
-            break
     return rank
 
 
@@ -156,16 +153,19 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def common_prefixes(t: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
-    """For each suffix in order but the first, how many symbols it shares with the one before, counted up to ``limit``."""
+def common_prefixes(raw: bytes, order: np.ndarray, limit: int) -> np.ndarray:
+    """For each position in order but the first, how many bytes it shares with the one before, up to ``limit``; at least as many follow each. Compares eight bytes at a time."""
+    words = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,))
     a, b = order[1:], order[:-1]
     shared = np.zeros(len(a), np.int64)
     open_ = np.arange(len(a))
-    for k in range(limit):
-        inside = np.maximum(a[open_], b[open_]) + k < len(t)
-        open_ = open_[inside]
-        open_ = open_[t[a[open_] + k] == t[b[open_] + k]]
+    for k in range(0, limit, 8):
+        differ = words[np.minimum(a[open_] + k, len(raw))] ^ words[np.minimum(b[open_] + k, len(raw))]
+        equal = differ == 0
+        bits = differ[~equal]
+        shared[open_[~equal]] += (np.log2((bits & (~bits + np.uint64(1))).astype(np.float64)) // 8).astype(np.int64)
+        open_ = open_[equal]
         if not len(open_):
             break
-        shared[open_] += 1
-    return shared
+        shared[open_] += 8
+    return np.minimum(shared, limit)

@@ -78,8 +78,8 @@ def _anchor_rows(length: int, gram: int):
                 doc, begin, end, q, h, context = anchors(raw[at[i] : at[j]], at[i : j + 1] - at[i], length, gram)
                 own = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("row").take(own), *(pa.array(x.astype(np.int32)) for x in (begin, end, q)), pa.array(h.view(np.int64)), pa.array(context.view(np.int64))],
-                    names=["row", "begin", "end", "place", "hash", "context"],
+                    [b.column("row").take(own), b.column("id").take(own), *(pa.array(x.astype(np.int32)) for x in (begin, end, q)), pa.array(h.view(np.int64)), pa.array(context.view(np.int64))],
+                    names=["row", "id", "begin", "end", "place", "hash", "context"],
                 )
 
     return task
@@ -118,17 +118,14 @@ def _sort_shards(length: int):
         rank[sorted(range(len(rows)), key=ids.__getitem__)] = np.arange(len(rows))
         sizes = np.array([len(x) for x in texts])
         at = np.concatenate([[0], np.cumsum(sizes + 1)])
-        t = np.zeros(at[-1], np.int64)
-        body = np.ones(at[-1], bool)
-        body[at[1:] - 1] = False
-        t[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + len(rows)
-        t[at[1:] - 1] = np.arange(len(rows))  # an end of its own for each context: no string crosses it
+        joined = b"\0".join([*texts, b""])
+        t = np.frombuffer(joined, np.uint8).astype(np.int64) + 1
+        t[at[1:] - 1] = 0  # a lower symbol ends each context
         order = suffix_array(t)
-        shared = common_prefixes(t, order, length)
-        group = np.concatenate([[0], np.cumsum(shared < length)])
         owner = np.searchsorted(at, order, side="right") - 1
         whole = order - at[owner] + length <= sizes[owner]
-        order, group, owner = order[whole], group[whole], owner[whole]
+        order, owner = order[whole], owner[whole]  # suffixes that begin with a whole string; equal strings stay neighbours
+        group = np.cumsum(np.append(False, common_prefixes(joined, order, length) < length)[: len(order)])
         start = order - at[owner] + np.array([r[2] for r in rows])[owner]
         best = np.lexsort((start, rank[owner], group))
         again = np.ones(len(best), bool)
@@ -186,15 +183,14 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, fil
     """(row, begin, stop): byte ranges covered by strings that also start earlier, of keyed (row unique, id, text)."""
     spark = keyed.sparkSession
     kind = keyed.schema["id"].dataType.simpleString()
-    texts = keyed.select("row", "text")
+    texts = keyed.select("row", "id", "text")
     before = written()
-    made = texts.mapInArrow(_anchor_rows(length, gram), "row long, begin int, end int, place int, hash long, context long")
+    made = texts.mapInArrow(_anchor_rows(length, gram), f"row long, id {kind}, begin int, end int, place int, hash long, context long")
     # the slices of the filter follow from the bytes that may hold an anchor: two in a window on average, counted as three
     total_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = int(3 * total_bytes / (length - gram + 2)) + 1
     made = materialize(made.withColumn("slice", F.pmod(F.xxhash64("hash"), F.lit(slice_count(expected, filter_bytes))).cast("int")), "anchors", ["slice"])
-    maybe = possibly_repeated(made, expected, filter_bytes).filter("maybe").drop("maybe", "slice")
-    maybe = materialize(maybe.join(keyed.select("row", "id"), "row"), "anchors-again")
+    maybe = materialize(possibly_repeated(made, expected, filter_bytes).filter("maybe").drop("maybe", "slice"), "anchors-again")
     release(spark, [p for p in written() if p not in before and "/anchors-again-" not in p])
     total = maybe.count()
     best = F.min(F.struct("id", "row", "begin", "end", "place", "hash")).alias("best")
