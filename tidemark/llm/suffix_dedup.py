@@ -245,7 +245,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     """
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     keyed = materialize(own, "suffix-docs")
-    spans = materialize(repeated_spans(keyed, length, gram), "spans").groupBy("row").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    before = written()
+    found = materialize(repeated_spans(keyed, length, gram), "spans")
+    release(docs.sparkSession, [p for p in written() if p not in before and "/spans-" not in p])
+    spans = found.groupBy("row").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
     kind = keyed.schema["id"].dataType.simpleString()
     joined = keyed.join(spans, "row", "left").select("text", "spans", "id")
     return joined.mapInArrow(_remove, f"kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, id {kind}").withColumnRenamed("id", id_col)
