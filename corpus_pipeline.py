@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, decontaminate, line_dedup, ngram_jaccard, packing, toxicity
@@ -47,10 +47,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _end(before, cut.select(*docs.columns))
 
 
+#: A digit, a letter or any character beyond ASCII.
+_WORDED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+
+
+def _less_emptied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs less those with an empty text whose raw text had words: all their lines occurred before.
+
+    Rows are told by the columns that no stage changes. Of empty ones that share all of these, as many stay as had no words at first.
+    """
+    key = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]).alias("key")
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wordless = raw.filter(~F.col("text").rlike(_WORDED)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    empty = docs.filter("text = ''").select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).join(wordless, "key")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return docs.filter("text is null or text != ''").unionByName(empty.withColumn("rank", rank).filter("rank <= n").select("doc.*"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """One document of each class of near duplicates stays, and none of those that line dedup emptied."""
     before = _begin(spark)
-    return _end(before, ngram_jaccard.drop_near_duplicates(docs).select(*docs.columns))
+    return _end(before, ngram_jaccard.drop_near_duplicates(_less_emptied(spark, docs, sf_dir)).select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
