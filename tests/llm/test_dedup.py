@@ -116,6 +116,24 @@ def test_recall_at_the_threshold():
     assert 1 - (1 - 0.8**ngram_jaccard.ROWS) ** ngram_jaccard.BANDS > 0.999
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])
+def test_bands_reach_the_recall_at_any_threshold(threshold):
+    for recall in (0.9, 0.99, ngram_jaccard.RECALL):
+        bands, rows = ngram_jaccard.banding(threshold, recall)
+        assert 1 - (1 - threshold**rows) ** bands > recall - 1e-9
+    assert ngram_jaccard.banding(0.8) == (30, 7)
+
+
+def test_pairs_at_a_low_threshold_are_found(spark):
+    rng, rows = random.Random(8), []
+    for k in range(100):
+        same, a, b = ([f"{c}{k}x{rng.randrange(10**9)}" for _ in range(m)] for c, m in (("s", 52), ("a", 23), ("b", 23)))
+        rows += [(2 * k, " ".join(same + a)), (2 * k + 1, " ".join(same + b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ngram_jaccard.drop_near_duplicates(docs, threshold=0.5).count() == 100
+    assert ngram_jaccard.jaccard_join(docs, threshold=0.5).filter("n_links = 1").count() == 200
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(40)]

@@ -12,6 +12,7 @@ to the texts. Classes of documents are the connected components of verified link
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +24,29 @@ from tidemark.llm.common import join_by_skewed_key, materialize, mix, partitions
 
 #: A pair at similarity 0.8 shares one of 30 bands of 7 rows with probability 0.999, one at 0.3 with 0.007.
 N, THRESHOLD, BANDS, ROWS = 5, 0.8, 30, 7
+RECALL = 1 - (1 - THRESHOLD**ROWS) ** BANDS
 _DENSE = 48
 _BLOCK = 128
 _BYTES = 400_000
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_MOST_BANDS = 400
 _WEIGHTS = mix(np.arange(1001, 1065, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
+def banding(threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """Bands and rows: the most rows, up to ROWS, with which a pair at ``threshold`` shares a band with probability ``recall`` in at most _MOST_BANDS bands."""
+    if not (0 < threshold <= 1 and 0 < recall < 1):
+        raise ValueError("threshold must be above 0 and at most 1, recall between 0 and 1")
+    for rows in range(ROWS, 0, -1):
+        missed = 1 - threshold**rows
+        bands = 1 if missed == 0 else max(1, math.ceil(math.log(1 - recall) / math.log(missed) - 1e-9))
+        if bands <= _MOST_BANDS or rows == 1:
+            return bands, rows
+
+
+def _seeds(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def shingles(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every text's n-grams (with repeats), and where each text's begin. A text of fewer than n words has one n-gram of them all."""
     *_, hashes, first = words(raw, at)
@@ -51,9 +68,9 @@ def shingles(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 def signatures(grams: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """Band hashes (texts by bands) of texts that have an n-gram each."""
-    low = np.empty((bands * rows, len(begin) - 1), np.uint64)
+    low, seeds = np.empty((bands * rows, len(begin) - 1), np.uint64), _seeds(bands * rows)
     for k in range(bands * rows):
-        low[k] = np.minimum.reduceat((grams ^ _SEEDS[k]) * (_SEEDS[k] | np.uint64(1)), begin[:-1])
+        low[k] = np.minimum.reduceat((grams ^ seeds[k]) * (seeds[k] | np.uint64(1)), begin[:-1])
     out = np.zeros((bands, len(begin) - 1), np.uint64)
     for b in range(bands):
         h = np.full(len(begin) - 1, b + 1, np.uint64)
@@ -214,7 +231,9 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(
+    docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int | None = None, rows: int | None = None, id_col: str = "doc_id", text_col: str = "text", target_recall: float = RECALL
+) -> DataFrame:
     """One row per document: row, id, class_id, n_links long, keep boolean.
 
     Two documents are linked if the Jaccard similarity of their sets of ``n`` consecutive words (A-Z
@@ -222,17 +241,28 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, band
     one, n_links the number of documents linked to this one, copies included. keep is true for one
     document of each class, that with the lowest id (of rows that share it, one). A text of fewer words
     has the one n-gram of them all; null, empty and wordless texts are classes of their own. Null ids
-    come before others. Other columns are not read.
+    come before others. Other columns are not read. A pair at the threshold is found with probability
+    ``target_recall`` or more, unless both bands and rows are given.
     """
+    bands, rows = _chosen(threshold, target_recall, bands, rows)
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return _join(materialize(own, "jaccard-docs"), n, threshold, bands, rows)
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _chosen(threshold: float, recall: float, bands: int | None, rows: int | None) -> tuple[int, int]:
+    if (bands is None) != (rows is None):
+        raise ValueError("give both bands and rows, or neither")
+    return banding(threshold, recall) if bands is None else (bands, rows)
+
+
+def drop_near_duplicates(
+    docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", target_recall: float = RECALL, bands: int | None = None, rows: int | None = None
+) -> DataFrame:
     """The rows of docs that jaccard_join would keep, with all their columns."""
+    bands, rows = _chosen(threshold, target_recall, bands, rows)
     packed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "jaccard-docs")
     keyed = packed.select("row", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").cast("string").alias("text"))
-    gone = materialize(_join(keyed, n, threshold, BANDS, ROWS).filter(~F.col("keep")).select("row"), "near-duplicates")
+    gone = materialize(_join(keyed, n, threshold, bands, rows).filter(~F.col("keep")).select("row"), "near-duplicates")
     return packed.join(sized(gone, gone.count()), "row", "left_anti").select("doc.*")
 
 
