@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 from cases import SCHEMA, documents
@@ -14,35 +15,64 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing, token_store
-from tidemark.llm.tokens import encode_documents, encoder
+from tidemark.llm import packing, token_store, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
-def ids(data: bytes) -> list[int]:
-    return np.frombuffer(data, "<u4").tolist()
+def encoded(texts: list[str | None]) -> list[list[int]]:
+    out = []
+    for i, j, ids, begin in tokens.encode_column(PATH, pa.array(texts, pa.string())):
+        assert i == len(out) and j - i == len(begin) - 1
+        out += [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    return out
 
 
-def test_chunks_give_the_ids_of_whole_texts(plain):
+def test_pieces_give_the_ids_of_whole_texts(plain):
     rng = random.Random(2)
-    parts = [" ", " ", "\n", "\t", "a", "é", "1", ".", ",", "'", "'s", "!", "…", "\xa0", "　", "͡", "😀", "\r", ";", "don't", "²", "<|endoftext|>"]
-    for _ in range(5000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        assert ids(next(encode_documents(PATH, [text]))) == [*plain.encode(text, add_special_tokens=False).ids, 0], repr(text)
+    parts = [" ", " ", "\n", "\t", "a", "é", "1", ".", ",", "'", "'s", "!", "…", "\xa0", "　", "͡", "😀", "\r", ";", "don't", "²", "字", "\x1c", "<|endoftext|>", "'LL", "\u0085"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(8000)]
+    for some in (texts, [t for t in texts if "<|" not in t]):  # the second in one run of pieces
+        for t, got in zip(some, encoded(some), strict=True):
+            assert got == [*plain.encode(t, add_special_tokens=False).ids, 0], repr(t)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(max_size=40))
-def test_any_text(text):
-    assert ids(next(encode_documents(PATH, [text]))) == [*encoder(PATH).tokenizer.encode(text, add_special_tokens=False).ids, 0]
+def test_special_strings_are_special_tokens(plain):
+    text = "a <|endoftext|> b"
+    assert encoded([text, None, "b"]) == [[64, 220, 50256, 275, 0], [0], [65, 0]]
+    assert plain.encode(text, add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
+def test_the_store_starts_anew(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "STORED_PIECES", 5)
+    monkeypatch.setattr(tokens, "_BYTES", 40)
+    texts = [f"word{k} and others, {k}" for k in range(60)]
+    assert encoded(texts) == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, texts = Tokenizer.from_file(path), ["Some words, in  here", "", "'s\n x"]
+    for i, j, ids, begin in tokens.encode_column(path, pa.array(texts)):
+        assert [ids[a : b - 1].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts[i:j]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=40), max_size=4))
+def test_any_text(plain, texts):
+    assert encoded(texts) == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_ids_of_any_type(spark, tmp_path):
+    docs = spark.createDataFrame([("b", "two words"), ("a", "one"), (None, "x")], "doc_id string, text string")
+    token_store.write_tokens(docs, str(tmp_path / "s"), PATH)
+    assert [r["doc_id"] for r in token_store.token_manifest(spark, str(tmp_path / "s")).orderBy("start").collect()] == [None, "a", "b"]
+    assert {r["doc_id"] for r in packing.pack(docs, PATH).collect()} == {None, "a", "b"}
 
 
 def test_store(spark, plain, tmp_path):

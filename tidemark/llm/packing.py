@@ -20,12 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, text_or_empty
-from tidemark.llm.tokens import crc, encode_documents
-
-_ROWS = 500
-_PIECES = pa.schema(
-    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("place", pa.int64())]
-)
+from tidemark.llm.tokens import crc, encode_column
 
 
 class Slot(NamedTuple):
@@ -82,21 +77,41 @@ def plan(counts: dict[int, int], capacity: int) -> list[Slot]:
     return slots
 
 
+def _ranks_within(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """How often each value came before, here or in ``seen``, which is brought up to date."""
+    order = np.argsort(values, kind="stable")
+    own = values[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own)))) + seen[own]
+    seen += np.bincount(values, minlength=len(seen))
+    return out
+
+
 def _pieces(tokenizer: str, capacity: int, end_id: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for k in range(0, batch.num_rows, _ROWS):
-                b = batch.slice(k, _ROWS)
-                rows = []
-                for doc_id, ids in zip(b.column(0).to_pylist(), encode_documents(tokenizer, b.column(1).to_pylist(), end_id), strict=True):
-                    n, at, piece = len(ids) // 4, 0, 0
-                    while at < n:
-                        length = (n - at) % capacity or capacity
-                        rows.append((doc_id, piece, at, length, crc(ids[at * 4 : (at + length) * 4]), part, seen[length]))
-                        seen[length] += 1
-                        at, piece = at + length, piece + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
+            for i, j, ids, begin in encode_column(tokenizer, batch.column(1), end_id):
+                n = np.diff(begin)
+                each = -(-n // capacity)
+                own = np.repeat(np.arange(j - i), each)
+                piece = np.arange(len(own)) - np.repeat(np.cumsum(each) - each, each)
+                head = n - (each - 1) * capacity
+                start = np.where(piece > 0, head[own] + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, head[own])
+                at = begin[own] + start
+                sums = [crc(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(i, j - i).take(pa.array(own)),
+                        pa.array(piece.astype(np.int32)),
+                        *(pa.array(x.astype(np.int64)) for x in (start, length, np.array(sums, np.int64))),
+                        pa.array(np.full(len(own), part, np.int32)),
+                        pa.array(_ranks_within(length, seen)),
+                    ],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"],
+                )
 
     return task
 
@@ -105,13 +120,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "d
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A text (null: empty) is its ids and ``end_id``; one longer than ``capacity`` is cut into pieces of
-    that length, of which the first may be shorter. Each row of a repeated id is packed as a document
-    of its own. No sequence holds more than ``capacity`` ids, and its pieces lie one after the other
+    that length, of which the first may be shorter. Strings of special tokens in a text become those
+    tokens. Each row of a repeated id (of any type) is packed as a document of its own. No sequence holds more than ``capacity`` ids, and its pieces lie one after the other
     from 0. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, place long"
     pieces = materialize(rows.mapInArrow(_pieces(tokenizer, capacity, end_id), schema), "pieces")
     per_part = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
