@@ -40,6 +40,23 @@ def words(text):
     return [*out, now] if now else out
 
 
+def test_one_filter_is_alive_at_a_time(spark, docs, monkeypatch):
+    alive, most = set(), []
+    make = spark.sparkContext.broadcast
+
+    def broadcast(value):
+        held = make(value)
+        end = held.destroy
+        alive.add(id(held))
+        most.append(len(alive))
+        held.destroy = lambda *a: (alive.discard(id(held)), end(*a))
+        return held
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    exact_dedup.exact_dedup(docs, filter_bytes=16).count()
+    assert len(most) > 4 and set(most) == {1} and not alive
+
+
 @pytest.mark.parametrize("filter_bytes", [64 << 20, 64])
 def test_exact(docs, filter_bytes):
     groups = defaultdict(list)
@@ -152,18 +169,59 @@ def test_components(spark):
     assert ngram_jaccard.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_suffix_array():
-    rng = np.random.default_rng(1)
-    for memory in (0, 64, 1 << 20):
-        for _ in range(60):
-            t = rng.integers(0, int(rng.integers(1, 5)), int(rng.integers(1, 50)))
-            order = induced_sort.suffix_array(t, memory)
-            assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+def by_brute_force(t):
+    order = sorted(range(len(t)), key=lambda i: t[i:], reverse=True)
+    shared = [0]
+    for a, b in zip(order[:-1], order[1:], strict=True):
+        k = 0
+        while max(a, b) + k < len(t) and t[a + k] == t[b + k]:
+            k += 1
+        shared.append(min(k, induced_sort.CAP))
+    return order, shared
+
 
+def by_induction(t, symbols, budget):
+    out = [(p, q) for block in induced_sort.suffixes(t, symbols, budget) for p, q in zip(block[0].tolist(), block[1].tolist(), strict=True)]
+    return [p for p, _ in out], [q for _, q in out]
 
-@pytest.mark.parametrize("hot", [2000, 2])
-def test_suffixes(docs, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "_HOT", hot)
+
+@pytest.mark.parametrize(("lane", "block"), [(1 << 15, 1 << 17), (8, 7), (1, 5)])
+@pytest.mark.parametrize("memory", [0, 500, 1 << 30])
+def test_suffix_order_and_common_prefixes(monkeypatch, lane, block, memory):
+    monkeypatch.setattr(induced_sort, "_LANE", lane)
+    monkeypatch.setattr(induced_sort, "_BLOCK", block)
+    rng = np.random.default_rng(1)
+    for k in range(60):
+        symbols = int(rng.integers(1, 6))
+        t = rng.integers(1, symbols + 1, int(rng.integers(0, 90)))
+        if k % 3 == 0:
+            t = np.tile(t[: len(t) // 7], 8)
+        if k % 7 == 0:
+            t = np.repeat(t, rng.integers(1, 12, len(t)))
+        t = np.append(t, 0).astype(np.uint16 if k % 2 else np.int32)
+        budget = induced_sort.Budget(memory)
+        assert by_induction(t, symbols + 1, budget) == by_brute_force(t.tolist())
+        assert memory < 1000 or budget.left == memory
+
+
+def test_a_shard_larger_than_memory_goes_to_disk():
+    rng = np.random.default_rng(2)
+    half = rng.integers(1, 250, 150_000)
+    t = np.concatenate([half, half[1000:], [0]]).astype(np.uint16)  # names repeat, so the sort recurs
+    small, large = induced_sort.Budget(50_000), induced_sort.Budget(1 << 40)
+    got = by_induction(t, 250, small)
+    assert small.written > 2 * t.nbytes and small.writes > 20 and large.written == 0
+    assert got == by_induction(t, 250, large)
+    for p, q, shared in zip(got[0][:-1:97], got[0][1::97], got[1][1::97], strict=False):
+        a, b = t[p : p + 254].tolist(), t[q : q + 254].tolist()
+        same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert a >= b and shared == min(same, induced_sort.CAP)
+
+
+@pytest.mark.parametrize(("meet", "memory"), [(2000, 8 << 20), (2000, 0), (2, 0)])
+def test_suffixes(docs, monkeypatch, meet, memory):
+    monkeypatch.setattr(suffix_dedup, "_MEET", meet)
+    monkeypatch.setattr(suffix_dedup, "MEMORY", memory)
     seen, want = set(), []
     for r in unique(documents()):
         b = (r[1] or "").encode()

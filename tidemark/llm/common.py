@@ -18,9 +18,11 @@ _written: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one, but only if all tasks run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -159,6 +161,18 @@ def prefix_hash(raw: np.ndarray, lower: bool = True) -> np.ndarray:
     return out
 
 
+#: A number for each byte, for a second hash that does not follow from the first.
+_SCATTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def second_hash(raw: np.ndarray) -> np.ndarray:
+    """Prefix sums like prefix_hash's, of other numbers: with both, span_hash tells spans apart by 128 bits."""
+    up, _ = powers(len(raw))
+    out = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_SCATTER[raw] * up[: len(raw)], out=out[1:])
+    return out
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     _, down = powers(len(prefix) - 1)
     return mix((prefix[end] - prefix[start]) * down[start])

@@ -5,7 +5,7 @@ seen again (``twice``); merged to bitmaps, ``twice`` also gets what two tasks sh
 against ``twice``: only rows that may be repeated shuffle, all others pass straight through.
 
 A filter is at most ``filter_bytes`` large. Where the hashes need more, hash space is cut into
-that many slices, written as folders, and each slice has a filter of its own, so what is
+that many slices, written as folders, and slices get their filters one after the other, so what is
 broadcast is bounded whatever the input.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_by_skewed_key, materialize, mix, partitions, text_or_empty
+from tidemark.llm.common import join_by_skewed_key, materialize, mix, partitions, scratch_path, text_or_empty
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Positions within a segment fit 16 bits.
@@ -27,6 +27,7 @@ _SEGMENT_BITS = 1 << 16
 _LEAST_BITS = 1 << 19
 _BITS_PER_ROW = 16
 _PROBES = 3
+FILTER_BYTES = 32 << 20
 _PARTS = pa.schema([("segment", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
 
 
@@ -75,42 +76,55 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _flag(filter_bits, size: int):
+def _flag(held, size: int, columns: list[str], only: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = filter_bits.value
+        twice = held.value
         for b in batches:
             at = _bits(b.column("hash").to_numpy(zero_copy_only=False).astype(np.int64), size)
             hit = ((twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0) if b.num_rows else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, pa.bool_())], names=[*b.schema.names, "maybe"])
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(hit, pa.bool_())], names=[*columns, "maybe"])
+            yield out.filter(out.column("maybe")) if only else out
 
     return task
 
 
-def possibly_repeated(hashes: DataFrame, rows: int, filter_bytes: int) -> DataFrame:
-    """``hashes`` (any columns beside hash long, slice int) with maybe boolean: false only for hashes that occur once."""
+def _merged(own: DataFrame, size: int) -> np.ndarray:
+    """The bitmap of what occurs again, put together on executors; at most filter_bytes reach the driver."""
+    parts = own.select("hash").mapInArrow(_build(size), "segment long, once binary, twice binary")
+    merged = parts.repartition(partitions(own.sparkSession), "segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, twice binary")
+    twice = np.zeros(size // 8, np.uint8)
+    for r in merged.toLocalIterator():
+        twice[r["segment"] * _SEGMENT_BITS // 8 :][: _SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
+    return twice
+
+
+def possibly_repeated(hashes: DataFrame, rows: int, filter_bytes: int, only: bool = False) -> DataFrame:
+    """``hashes`` (any columns beside hash long, slice int) with maybe boolean: false only for hashes that occur once; with ``only``, these are left out.
+
+    Slices come one after the other: the filter of one is broadcast, its rows are written, and the
+    broadcast is destroyed before the next, so one filter is alive at a time.
+    """
     spark = hashes.sparkSession
-    flagged = None
+    path = scratch_path(spark, "flagged")
+    columns = [f.name for f in hashes.schema if f.name not in ("hash", "slice")] + (["hash"] if only else [])
+    schema = ", ".join(f"`{c}` {hashes.schema[c].dataType.simpleString()}" for c in columns)
+    size = _LEAST_BITS
+    while size < rows * _BITS_PER_ROW and size < filter_bytes * 8:
+        size *= 2
     for k in range(slice_count(rows, filter_bytes)):
-        own = hashes.filter(F.col("slice") == k)
-        size = _LEAST_BITS
-        while size < rows * _BITS_PER_ROW and size < filter_bytes * 8:
-            size *= 2
-        parts = own.select("hash").mapInArrow(_build(size), "segment long, once binary, twice binary")
-        merged = parts.repartition(partitions(spark), "segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, twice binary")
-        twice = np.zeros(size // 8, np.uint8)
-        for r in merged.toLocalIterator():
-            twice[r["segment"] * _SEGMENT_BITS // 8 :][: _SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-        one = own.mapInArrow(_flag(spark.sparkContext.broadcast(twice), size), f"{schema}, maybe boolean")
-        flagged = one if flagged is None else flagged.unionByName(one)
-    return flagged
+        own = hashes.filter(F.col("slice") == k).drop("slice")
+        held = spark.sparkContext.broadcast(_merged(own, size))
+        flagged = own.select("hash", *[f"`{c}`" for c in columns if c != "hash"]).mapInArrow(_flag(held, size, columns, only), f"{schema}, maybe boolean")
+        flagged.write.mode("append").option("compression", "zstd").partitionBy("maybe").parquet(path)
+        held.destroy()
+    return spark.read.schema(f"{schema}, maybe boolean").parquet(path)
 
 
 def slice_count(rows: int, filter_bytes: int) -> int:
     return max(1, -(-rows * _BITS_PER_ROW // (filter_bytes * 8)))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = 64 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row per document: id, keep_id, group_size long, kept boolean, text_sha256 string.
 
     Texts are equal when identical after lowering A-Z only; null counts as empty. The row with the
@@ -127,7 +141,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("slice", F.pmod(F.xxhash64("hash"), F.lit(slice_count(total, filter_bytes))).cast("int"))
     )
     hashed = materialize(hashed, "exact-hashes", ["slice"])
-    flagged = materialize(possibly_repeated(hashed, total, filter_bytes).drop("hash", "slice"), "exact-flagged", ["maybe"])
+    flagged = possibly_repeated(hashed, total, filter_bytes)
     once = flagged.filter(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = flagged.filter("maybe").drop("maybe")
     best = F.max(F.struct("id", "row")).alias("best")

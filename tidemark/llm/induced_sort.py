@@ -48,11 +48,11 @@ class Budget:
         size = n * np.dtype(dtype).itemsize
         if n and not self.take(size):
             self.written, self.writes = self.written + size, self.writes + 1
-            return np.memmap(tempfile.TemporaryFile(), dtype, "w+", shape=(n,))
+            return np.asarray(np.memmap(tempfile.TemporaryFile(), dtype, "w+", shape=(n,)))
         return np.zeros(n, dtype)
 
     def free(self, array: np.ndarray) -> None:
-        if not isinstance(array, np.memmap):
+        if array.base is None:
             self.left += array.nbytes
 
 

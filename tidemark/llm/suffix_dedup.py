@@ -5,15 +5,21 @@ leftmost of equals. Equal strings have equal anchors at equal places, so a strin
 once in the corpus occurs once. Anchors are tested with the two-pass Bloom filter of exact dedup; the
 rest carry the bytes around them (their context), which shows every string that has this anchor.
 
-Of equal contexts only the earliest is looked at further: all strings of the others occur earlier. The
-distinct contexts of an anchor meet in one task, which sorts the suffixes of its shard by external
-induction and finds equal strings by the prefixes that neighbours share. Anchors with more than
-``_HOT`` distinct contexts deal their strings by hash instead, so no group of theirs has to fit a task.
+Of equal contexts (128 bits of hash) only the earliest is looked at further: all strings of the others
+occur earlier. The distinct contexts of an anchor meet in one shard, which is sorted by recursive
+external induction; neighbours that share ``length`` symbols are equal strings, so what is removed there
+rests on bytes, not on hashes.
+
+An anchor with more than ``_MEET`` distinct contexts is split by where strings have it: strings that
+begin ``a`` to ``b`` bytes before their anchor all hold the bytes from ``a`` before it to ``length - b``
+behind it, so contexts cut to such strings need to meet only if these agree too. Halving the range again
+and again ends with whole strings, of which distinct ones do not meet. No group is left out or cut short.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,21 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_by_skewed_key, materialize, mix, partitions, prefix_hash, release, sized, slices, span_hash, utf8, written
-from tidemark.llm.exact_dedup import possibly_repeated, slice_count
-from tidemark.llm.induced_sort import common_prefixes, suffix_array
+from tidemark.llm.common import join_by_skewed_key, materialize, mix, partitions, prefix_hash, release, second_hash, sized, slices, span_hash, utf8, written
+from tidemark.llm.exact_dedup import FILTER_BYTES, possibly_repeated, slice_count
+from tidemark.llm.induced_sort import Budget, suffixes
 
 LENGTH, GRAM = 100, 40
-_HOT = 2000
+#: Distinct contexts of an anchor that may meet in one shard.
+_MEET = 2000
 _BYTES = 500_000
-_SHARD = 4_000_000
+#: Bytes of contexts that a shard is planned for, and what its sort may keep in memory.
+_SHARD, MEMORY = 32 << 20, 8 << 20
 
 
 def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of string starts that share an anchor: text, first start, last start, anchor place, anchor hash, context hash."""
+    """Runs of string starts that share an anchor: text, first start, last start, anchor place, anchor hash, two context hashes."""
     n = len(raw) - length + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 3
     window = length - gram + 1
     prefix = prefix_hash(raw, lower=False)
     grams = np.arange(len(raw) - gram + 1)
@@ -60,14 +68,15 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np
     valid = start + length <= at[1:][doc]
     start, anchor, doc = start[valid], anchor[valid], doc[valid]
     if not len(start):
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 3
     new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
     begin, end, q, doc = start[first], start[last], anchor[first], doc[first]
     shape = mix(((q - begin).astype(np.uint64) << np.uint64(32)) | (end - begin).astype(np.uint64))
-    return doc, begin - at[doc], end - at[doc], q - at[doc], h[q], mix(span_hash(prefix, begin, end + length) ^ shape)
+    twin = mix(span_hash(second_hash(raw), begin, end + length) + shape)
+    return doc, begin - at[doc], end - at[doc], q - at[doc], h[q], mix(span_hash(prefix, begin, end + length) ^ shape), twin
 
 
 def _anchor_rows(length: int, gram: int):
@@ -75,11 +84,11 @@ def _anchor_rows(length: int, gram: int):
         for b in batches:
             raw, at = utf8(b.column("text"))
             for i, j in slices(np.diff(at), _BYTES):
-                doc, begin, end, q, h, context = anchors(raw[at[i] : at[j]], at[i : j + 1] - at[i], length, gram)
+                doc, begin, end, q, h, context, twin = anchors(raw[at[i] : at[j]], at[i : j + 1] - at[i], length, gram)
                 own = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("row").take(own), b.column("id").take(own), *(pa.array(x.astype(np.int32)) for x in (begin, end, q)), pa.array(h.view(np.int64)), pa.array(context.view(np.int64))],
-                    names=["row", "id", "begin", "end", "place", "hash", "context"],
+                    [b.column("row").take(own), b.column("id").take(own), *(pa.array(x.astype(np.int32)) for x in (begin, end, q)), *(pa.array(x.view(np.int64)) for x in (h, context, twin))],
+                    names=["row", "id", "begin", "end", "place", "hash", "context", "twin"],
                 )
 
     return task
@@ -109,108 +118,176 @@ def _cut_contexts(length: int):
     return task
 
 
-def _sort_shards(length: int):
-    """Rows id, row, begin, hash, bytes sorted by hash; whole hashes are gathered up to about _SHARD bytes, then sorted."""
-
-    def found(rows: list[tuple]) -> pa.RecordBatch:
-        ids, texts = [(r[0] is not None, r[0], r[1], r[2]) for r in rows], [r[4] for r in rows]
-        rank = np.empty(len(rows), np.int64)
-        rank[sorted(range(len(rows)), key=ids.__getitem__)] = np.arange(len(rows))
-        sizes = np.array([len(x) for x in texts])
-        at = np.concatenate([[0], np.cumsum(sizes + 1)])
-        joined = b"\0".join([*texts, b""])
-        t = np.frombuffer(joined, np.uint8).astype(np.int64) + 1
-        t[at[1:] - 1] = 0  # a lower symbol ends each context
-        order = suffix_array(t)
-        owner = np.searchsorted(at, order, side="right") - 1
-        whole = order - at[owner] + length <= sizes[owner]
-        order, owner = order[whole], owner[whole]  # suffixes that begin with a whole string; equal strings stay neighbours
-        group = np.cumsum(np.append(False, common_prefixes(joined, order, length) < length)[: len(order)])
-        start = order - at[owner] + np.array([r[2] for r in rows])[owner]
-        best = np.lexsort((start, rank[owner], group))
-        again = np.ones(len(best), bool)
-        again[np.flatnonzero(np.diff(group[best], prepend=-1))] = False
-        owner, start = owner[best][again], start[best][again]
-        by = np.lexsort((start, owner))
-        owner, start = owner[by], start[by]
-        new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(owner)) - 1
-        own = np.array([r[1] for r in rows], np.int64)[owner[first]]
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(start[first].astype(np.int32)), pa.array((start[last] + length).astype(np.int32))], names=["row", "begin", "stop"])
+def _split_contexts(length: int, low: int, high: int):
+    """Contexts (row, id, begin, end, place, hash, bytes) cut to strings that begin low..high bytes before the anchor, those of each half of the range apart."""
+    middle = (low + high) // 2
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-                if size >= _SHARD and row[3] != rows[-1][3]:
-                    yield found(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[4])
-        if rows:
-            yield found(rows)
+            begin, end, place, old = (b.column(c).to_numpy() for c in ("begin", "end", "place", "hash"))
+            texts = b.column("bytes").to_pylist()
+            for first, last in ((low, middle), (middle + 1, high)):
+                from_, to = np.maximum(begin, place - last), np.minimum(end, place - first)
+                own = np.flatnonzero(from_ <= to) if first <= last else np.zeros(0, np.int64)
+                from_, to = from_[own], to[own]
+                cut = [texts[k][i : j + length] for k, i, j in zip(own.tolist(), (from_ - begin[own]).tolist(), (to - begin[own]).tolist(), strict=True)]
+                at = np.concatenate([[0], np.cumsum([len(x) for x in cut], dtype=np.int64)])
+                raw = np.frombuffer(b"".join(cut), np.uint8)
+                known = at[:-1] + place[own] - from_
+                prefix, shape = prefix_hash(raw, lower=False), mix((place[own] - from_).astype(np.uint64) + mix(old[own].view(np.uint64)))
+                key = mix(span_hash(prefix, known - first, known - last + length) ^ mix(old[own].view(np.uint64) + np.uint64(first)))
+                whole, twin = mix(span_hash(prefix, at[:-1], at[1:]) ^ shape), mix(span_hash(second_hash(raw), at[:-1], at[1:]) + shape)
+                rows = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(b.column(c).take(rows) for c in ("row", "id")),
+                        *(pa.array(x.astype(np.int32)) for x in (from_, to, place[own])),
+                        *(pa.array(x.view(np.int64)) for x in (key, whole, twin)),
+                        pa.array(np.full(len(own), first, np.int32)),
+                        pa.array(cut, pa.binary()),
+                    ],
+                    names=["row", "id", "begin", "end", "place", "hash", "context", "twin", "low", "bytes"],
+                )
 
     return task
 
 
-def _strings(length: int):
-    """Each string of the contexts: row, id, start, and two hashes of its bytes."""
+def _sort_shard(length: int, memory: int):
+    """Contexts row, begin, bytes of one shard, in the order of documents and places; gives the runs of strings that also start earlier."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = np.array([len(x) for x in b.column("bytes").to_pylist()], np.int64)
-            raw = np.frombuffer(b"".join(b.column("bytes").to_pylist()), np.uint8)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            each = sizes - length + 1
-            own = np.repeat(np.arange(len(sizes)), each)
-            inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            start = at[own] + inner
-            prefix, turned = prefix_hash(raw, lower=False), prefix_hash(raw ^ np.uint8(255), lower=False)
-            h = span_hash(prefix, start, start + length)
-            g = mix(span_hash(turned, start, start + length) + mix(h))
-            rows = pa.array(own)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row").take(rows), b.column("id").take(rows), pa.array((b.column("begin").to_numpy()[own] + inner).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))],
-                names=["row", "id", "begin", "h", "g"],
-            )
+        sizes, rows, begins = [], [], []
+        with tempfile.TemporaryFile() as file:  # the text: an end mark below all bytes behind each context, and a lower one at the end
+            for b in batches:
+                texts = b.column(2).to_pylist()
+                size = np.array([len(x) for x in texts], np.int64)
+                symbols = np.ones(size.sum() + len(size), np.uint16)
+                symbols[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 2
+                file.write(symbols.data)
+                sizes.append(size)
+                rows.append(b.column(0).to_numpy())
+                begins.append(b.column(1).to_numpy())
+            if not sizes:
+                return
+            file.write(np.zeros(1, np.uint16).data)
+            file.flush()
+            t = np.asarray(np.memmap(file, np.uint16, "r"))
+            size, row, begin = (np.concatenate(x) for x in (sizes, rows, begins))
+            at = np.concatenate([[0], np.cumsum(size + 1)])
+            again = _again(t, at, size, length, Budget(memory))
+            for k in range(0, len(size), 10_000):
+                low, high = at[k], at[min(k + 10_000, len(size))]
+                place = np.flatnonzero(again[low:high]) + low
+                if not len(place):
+                    continue
+                first = np.flatnonzero(np.append(True, place[1:] != place[:-1] + 1))
+                last = np.append(first[1:], len(place)) - 1  # an end mark is never set, so runs stay within a context
+                own = np.searchsorted(at, place[first], side="right") - 1
+                start = begin[own] + place[first] - at[own]
+                stop = start + place[last] - place[first] + length
+                yield pa.RecordBatch.from_arrays([pa.array(row[own]), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["row", "begin", "stop"])
 
     return task
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, filter_bytes: int = 64 << 20) -> DataFrame:
+def _again(t: np.ndarray, at: np.ndarray, size: np.ndarray, length: int, budget: Budget) -> np.ndarray:
+    """Marks each place of t where a string begins that also begins at a lower place."""
+    again, lowest = budget.array(len(t), bool), -1  # lowest place of the strings last seen, of which more may follow
+    for positions, prefixes in suffixes(t, 258, budget):
+        owner = np.searchsorted(at, positions, side="right") - 1
+        whole = np.flatnonzero((owner < len(size)) & (positions - at[owner] + length <= size[np.minimum(owner, len(size) - 1)]))
+        if not len(whole):
+            if len(prefixes) and prefixes.min() < length:
+                lowest = -1
+            continue
+        group = np.cumsum(prefixes < length)
+        goes_on = lowest >= 0 and group[whole[0]] == 0
+        positions, group = positions[whole], group[whole]
+        head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        low = np.minimum.reduceat(positions, head)
+        again[positions] = True
+        if goes_on:
+            again[lowest] = True
+            low[0] = min(int(low[0]), lowest)
+        again[low] = False
+        lowest = int(low[-1])
+    return again
+
+
+def _apart(contexts: DataFrame, total: int, tag: str) -> tuple[DataFrame, DataFrame]:
+    """Of equal contexts (context, twin) the earliest, and (row, begin, end) of the others."""
+    rest = [c for c in contexts.columns if c not in ("context", "twin", "id", "row", "begin")]
+    best = F.min_by(F.struct("id", "row", "begin", *rest), F.struct("id", "row", "begin")).alias("best")
+    first = materialize(contexts.groupBy("context", "twin").agg(best, F.count(F.lit(1)).alias("size")), tag)
+    repeated = first.filter("size > 1").select("context", "twin", "size", F.col("best.row").alias("first_row"), F.col("best.begin").alias("first_begin"))
+    copies = join_by_skewed_key(contexts.select("context", "twin", "row", "begin", "end"), repeated, ["context", "twin"], "size", total)
+    return first.select("best.*"), copies.filter((F.col("first_row") != F.col("row")) | (F.col("first_begin") != F.col("begin"))).select("row", "begin", "end")
+
+
+def _meeting(contexts: DataFrame, total: int, tag: str) -> DataFrame:
+    """contexts whose hash others have too, with how many have it."""
+    groups = materialize(contexts.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), tag)
+    return join_by_skewed_key(contexts, groups, ["hash"], "n", total)
+
+
+def _divided(crowded: DataFrame, length: int, gram: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Crowded anchors, split until at most _MEET contexts meet: contexts by smaller groups, and (row, begin, end) of equal ones."""
+    kind = crowded.schema["id"].dataType.simpleString()
+    schema = f"row long, id {kind}, begin int, end int, place int, hash long, context long, twin long, low int, bytes binary"
+    meeting, copies = [], []
+    ranges = [(0, length - gram)]
+    waiting = {ranges[0]: crowded}
+    while waiting:
+        (low, high), rows = waiting.popitem()
+        split = materialize(rows.mapInArrow(_split_contexts(length, low, high), schema), "split")
+        total = split.count()
+        if not total:
+            continue
+        distinct, others = _apart(split, total, "split-contexts")
+        copies.append(others)
+        met = materialize(_meeting(distinct, total, "split-groups"), "split-met")
+        meeting.append(met.filter(F.col("n") <= _MEET))
+        still = met.filter(F.col("n") > _MEET)
+        if low < high and not still.isEmpty():
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle + 1, high)):
+                if a <= b:
+                    waiting[a, b] = still.filter(F.col("low") == a)
+    return meeting, copies
+
+
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, filter_bytes: int = FILTER_BYTES, memory: int | None = None) -> DataFrame:
     """(row, begin, stop): byte ranges covered by strings that also start earlier, of keyed (row unique, id, text)."""
     spark = keyed.sparkSession
     kind = keyed.schema["id"].dataType.simpleString()
     texts = keyed.select("row", "id", "text")
     before = written()
-    made = texts.mapInArrow(_anchor_rows(length, gram), f"row long, id {kind}, begin int, end int, place int, hash long, context long")
+    made = texts.mapInArrow(_anchor_rows(length, gram), f"row long, id {kind}, begin int, end int, place int, hash long, context long, twin long")
     # the slices of the filter follow from the bytes that may hold an anchor: two in a window on average, counted as three
     total_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = int(3 * total_bytes / (length - gram + 2)) + 1
     made = materialize(made.withColumn("slice", F.pmod(F.xxhash64("hash"), F.lit(slice_count(expected, filter_bytes))).cast("int")), "anchors", ["slice"])
-    maybe = materialize(possibly_repeated(made, expected, filter_bytes).filter("maybe").drop("maybe", "slice"), "anchors-again")
-    release(spark, [p for p in written() if p not in before and "/anchors-again-" not in p])
+    maybe = possibly_repeated(made, expected, filter_bytes, only=True).drop("maybe")
+    release(spark, [p for p in written() if p not in before and "/anchors-" in p])
     total = maybe.count()
-    best = F.min(F.struct("id", "row", "begin", "end", "place", "hash")).alias("best")
-    contexts = materialize(maybe.groupBy("context").agg(best, F.count(F.lit(1)).alias("size")), "contexts")
-    copies = join_by_skewed_key(maybe, contexts.filter("size > 1"), ["context"], "size", total).filter((F.col("best.row") != F.col("row")) | (F.col("best.begin") != F.col("begin")))
-    whole = copies.select("row", "begin", (F.col("end") + length).cast("int").alias("stop"))
-    distinct = contexts.select("best.*")
-    meets = materialize(distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchor-groups")
-    met = join_by_skewed_key(distinct, meets, ["hash"], "n", total).select("row", "begin", "end", "place", "hash", "n")
+    distinct, copies = _apart(maybe, total, "contexts")
+    met = _meeting(distinct, total, "anchor-groups")
     spans = materialize(met.groupBy("row").agg(F.collect_list(F.struct("begin", "end", "place", "hash", "n")).alias("spans")), "context-spans")
     owners = spans.select("row")
-    held = keyed.join(sized(owners, owners.count()), "row", "left_semi").join(spans, "row").select("row", "id", "text", "spans")
+    held = keyed.join(sized(owners, owners.count()), "row", "left_semi").join(spans.hint("shuffle_hash"), "row").select("row", "id", "text", "spans")
     cut = materialize(held.mapInArrow(_cut_contexts(length), f"row long, id {kind}, begin int, end int, place int, hash long, n long, bytes binary"), "context-bytes")
-    shards = cut.filter(F.col("n") <= _HOT).select("id", "row", "begin", "hash", "bytes").repartition(partitions(spark), "hash").sortWithinPartitions("hash")
-    sorted_out = shards.mapInArrow(_sort_shards(length), "row long, begin int, stop int")
-    strings = materialize(cut.filter(F.col("n") > _HOT).select("row", "id", "begin", "bytes").mapInArrow(_strings(length), f"row long, id {kind}, begin int, h long, g long"), "hot-strings")
-    earliest = strings.groupBy("h", "g").agg(F.min(F.struct("id", "row", "begin")).alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    later = join_by_skewed_key(strings, materialize(earliest, "hot-groups"), ["h", "g"], "size", max(1, strings.count()))
-    later = later.filter((F.col("best.row") != F.col("row")) | (F.col("best.begin") != F.col("begin"))).select("row", "begin", (F.col("begin") + length).cast("int").alias("stop"))
-    return whole.unionByName(sorted_out).unionByName(later)
+    crowded = cut.filter(F.col("n") > _MEET).drop("n")
+    meeting, others = ([], []) if crowded.isEmpty() else _divided(crowded, length, gram)
+    columns = ["id", "row", "begin", "hash", "bytes"]
+    to_sort = cut.filter(F.col("n") <= _MEET).select(*columns)
+    for rows in meeting:
+        to_sort = to_sort.unionByName(rows.select(*columns))
+    for rows in others:
+        copies = copies.unionByName(rows)
+    size = to_sort.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    shards = to_sort.repartition(max(partitions(spark), -(-size // _SHARD)), "hash").sortWithinPartitions("id", "row", "begin")
+    sorted_out = shards.select("row", "begin", "bytes").mapInArrow(_sort_shard(length, MEMORY if memory is None else memory), "row long, begin int, stop int")
+    return copies.select("row", "begin", (F.col("end") + length).cast("int").alias("stop")).unionByName(sorted_out)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,5 +327,5 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     release(docs.sparkSession, [p for p in written() if p not in before and "/spans-" not in p])
     spans = found.groupBy("row").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
     kind = keyed.schema["id"].dataType.simpleString()
-    joined = keyed.join(spans, "row", "left").select("text", "spans", "id")
+    joined = keyed.join(spans.hint("shuffle_hash"), "row", "left").select("text", "spans", "id")
     return joined.mapInArrow(_remove, f"kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, id {kind}").withColumnRenamed("id", id_col)
