@@ -1,20 +1,21 @@
-"""Small inputs with known answers."""
+"""Small inputs with known answers: bike rentals, and a daily series with a weekly shape."""
 
 from datetime import date, timedelta
 
-ORDERS = [
-    ("ORD-1", "CUST-1", "Electronics", 1000.0, 1, 1000.0, "delivered", "Mumbai", "Maharashtra", "2024-01-15"),
-    ("ORD-2", "CUST-2", "Fashion", 250.0, 2, 500.0, "delivered", "Delhi", "Delhi", "2024-01-20"),
-    ("ORD-3", "CUST-3", "Electronics", 800.0, 1, 800.0, "cancelled", "Mumbai", "Maharashtra", "2024-02-10"),
-    ("ORD-4", "CUST-1", "Home & Kitchen", 300.0, 3, 900.0, "delivered", "Bengaluru", "Karnataka", "2024-02-15"),
-    ("ORD-5", "CUST-4", "Fashion", 500.0, 1, 500.0, "delivered", "Delhi", "Delhi", "2024-03-05"),
-    ("ORD-6", "CUST-5", "Electronics", 1200.0, 2, 2400.0, "returned", "Mumbai", "Maharashtra", "2024-03-22"),
-    ("ORD-7", "CUST-6", "Fashion", 150.0, 4, 600.0, "delivered", "Pune", "Maharashtra", "2024-04-10"),
-    ("ORD-8", "CUST-7", "Home & Kitchen", 450.0, 2, 900.0, "delivered", "Bengaluru", "Karnataka", "2024-04-25"),
+RENTALS = [
+    ("R01", "K7", "tandem", 12.0, 3, 36.0, "closed", "Harbour", "2023-05-02"),
+    ("R02", "K2", "city", 4.5, 2, 9.0, "closed", "Mill", "2023-05-09"),
+    ("R03", "K7", "cargo", 9.0, 5, 45.0, "open", "Harbour", "2023-06-01"),
+    ("R04", "K1", "city", 4.5, 6, 27.0, "closed", "Airport", "2023-06-17"),
+    ("R05", "K5", "tandem", 12.0, 1, 12.0, "void", "Mill", "2023-06-30"),
+    ("R06", "K2", "cargo", 9.0, 8, 72.0, "closed", "Harbour", "2023-08-04"),
+    ("R07", "K9", "city", 5.0, 4, 20.0, "open", "Airport", "2023-08-05"),
 ]
-ORDERS_SCHEMA = "order_id string, customer_id string, product_category string, unit_price double, quantity long, total_amount double, order_status string, city string, state string, order_date string"
+RENTALS_SCHEMA = "rental_id string, rider_id string, bike string, rate double, hours long, fare double, state string, station string, pickup_date string"
 
+SHAPE = (3, -2, 0, 5, 8, -6, 1)
+START = date(2023, 3, 6)
 
-def daily(days: int, base: float = 100.0, trend: float = 1.0, spikes: dict[int, float] | None = None) -> list[tuple[date, float]]:
-    week = [0, 10, 5, 15, 25, 50, 30]
-    return [(date(2024, 1, 1) + timedelta(i), base + trend * i + week[i % 7] + (spikes or {}).get(i, 0.0)) for i in range(days)]
+
+def series(n: int, slope: float = 0.0, bumps: dict[int, float] | None = None) -> list[tuple[date, float]]:
+    return [(START + timedelta(k), 80 + slope * k + SHAPE[k % 7] + (bumps or {}).get(k, 0.0)) for k in range(n)]

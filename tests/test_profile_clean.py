@@ -10,21 +10,21 @@ from tidemark.sources import tables
 
 
 def test_kinds(spark):
-    df = spark.createDataFrame([(1, 1.5, "x", True, "2024-01-01", "C1"), (2, 2.5, "y", False, "2024-01-02", "C2"), (3, 3.5, "x", True, "2024-01-03", "C3")], "int_val long, float_val double, str_val string, bool_val boolean, date_val string, order_id string")
+    df = spark.createDataFrame([(4, 0.5, "oak", False, "2023-10-05", "T-11"), (8, 7.25, "elm", False, "2023-10-09", "T-12"), (4, 2.75, "oak", True, "2023-11-02", "T-13")], "rings long, girth double, species string, felled boolean, seen_date string, tree_id string")
     got = {r["column"]: r["classification"] for r in profile.profile_columns(df).collect()}
-    assert got == {"int_val": "numeric", "float_val": "numeric", "str_val": "categorical", "bool_val": "boolean", "date_val": "datetime", "order_id": "identifier"}
+    assert got == {"rings": "numeric", "girth": "numeric", "species": "categorical", "felled": "boolean", "seen_date": "datetime", "tree_id": "identifier"}
 
 
 def test_numbers(spark):
-    df = spark.createDataFrame([(float(x),) for x in (10, 20, 30, 40, 50)], "score double")
+    df = spark.createDataFrame([(float(x),) for x in (3, 18, 7, 11, 9, 42)], "score double")
     r = profile.profile_numeric(df, ["score"]).first()
-    assert (r["mean"], r["median"], r["p25"], r["p75"], r["is_integer"]) == (30.0, 30.0, 20.0, 40.0, True)
+    assert (r["mean"], r["median"], r["p25"], r["p75"], r["is_integer"]) == (15.0, 10.0, 7.5, 16.25, True)
 
 
 def test_categories(spark):
-    df = spark.createDataFrame([("Mumbai",), ("Mumbai",), ("Mumbai",), ("Delhi",), ("Pune",)], "city string")
+    df = spark.createDataFrame([("Turku",), ("Bergen",), ("Lund",), ("Bergen",)], "city string")
     r = profile.profile_categories(df, ["city"]).orderBy("rank").first()
-    assert (r["value"], r["n"], r["pct"]) == ("Mumbai", 3, 60.0)
+    assert (r["value"], r["n"], r["pct"]) == ("Bergen", 2, 50.0)
 
 
 def test_duplicates(spark):
@@ -39,24 +39,24 @@ def test_score_of_clean_data(spark):
 
 
 def test_names(spark):
-    assert clean.normalize_name("Total $ Sales (2024)") == "total_sales_2024" and clean.normalize_name("$$") == "unnamed_col"
+    assert clean.normalize_name("Net % Weight [kg]") == "net_weight_kg" and clean.normalize_name("$$") == "unnamed_col"
     with pytest.raises(ValueError):
         clean.normalize_names(spark.createDataFrame([(1, 2)], "`Unit Price` long, unit_price long"))
 
 
 def test_imputation(spark):
-    df = spark.createDataFrame([(10.0, "Mumbai"), (20.0, "Mumbai"), (None, None), (60.0, "Delhi")], "v double, c string")
+    df = spark.createDataFrame([(10.0, "Bergen"), (20.0, "Bergen"), (None, None), (60.0, "Turku")], "v double, c string")
     assert clean.impute_number(df, "v", "median").filter("v = 20").count() == 2
     assert clean.impute_number(df, "v", "mean").filter("v = 30").count() == 1
-    assert clean.impute_category(df, "c", "mode").filter("c = 'Mumbai'").count() == 3
+    assert clean.impute_category(df, "c", "mode").filter("c = 'Bergen'").count() == 3
     assert clean.impute_category(df, "c", "unknown").filter("c = 'Unknown'").count() == 1
     nulls = df.select(F.lit(None).cast("double").alias("v"), F.lit(None).cast("string").alias("c"))
     assert clean.impute_number(nulls, "v", "median").first()["v"] == 0.0 and clean.impute_category(nulls, "c", "mode").first()["c"] == "Unknown"
 
 
 def test_spellings(spark):
-    df = spark.createDataFrame([("home & kitchen-x",), (" Home & Kitchen-X ",), ("HOME & KITCHEN-X",), ("pune",), (None,)], "c string")
-    assert sorted(str(r["c"]) for r in clean.normalize_categories(df, "c").collect()) == ["Home & Kitchen-X"] * 3 + ["None", "pune"]
+    df = spark.createDataFrame([("nuts & bolts-m8",), (" Nuts & Bolts-M8 ",), ("NUTS & BOLTS-M8",), ("lund",), (None,)], "c string")
+    assert sorted(str(r["c"]) for r in clean.normalize_categories(df, "c").collect()) == ["None", *["Nuts & Bolts-M8"] * 3, "lund"]
 
 
 def test_dates(spark):
@@ -95,7 +95,7 @@ def _workbook() -> bytes:
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("id,city,spend,day\n1,Pune,2.5,2024-01-01\n2,NA,,2024-01-02\n")
+    (tmp_path / "a.csv").write_text("id,city,spend,day\n1,Lund,2.5,2024-01-01\n2,NA,,2024-01-02\n")
     df = tables.read_csv(spark, str(tmp_path / "a.csv"))
     assert dict(df.dtypes) == {"id": "bigint", "city": "string", "spend": "double", "day": "string"} and df.filter("city is null").count() == 1
     (tmp_path / "l.csv").write_bytes("name\nCafé\n".encode("latin-1"))
@@ -112,6 +112,44 @@ def test_files(spark, tmp_path):
     assert not (tmp_path / "out/org/ds").exists()
 
 
+def _dated_workbook() -> bytes:
+    out = io.BytesIO()
+    ns, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = '<worksheet xmlns="{ns}"><sheetData><row><c r="A1" t="inlineStr"><is><t>{name}</t></is></c></row><row><c r="A2" s="1"><v>45292</v></c></row><row><c r="A3" s="2"><v>45292.75</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="first" sheetId="2" r:id="b"/><sheet name="second" sheetId="1" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{ns}"><numFmts><numFmt numFmtId="170" formatCode="dd.mm.yyyy hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet.format(ns=ns, name="listed second"))
+        z.writestr("xl/worksheets/sheet2.xml", sheet.format(ns=ns, name="listed first"))
+    return out.getvalue()
+
+
+def test_workbooks_with_dates_and_listed_order(spark, tmp_path, monkeypatch):
+    (tmp_path / "d.xlsx").write_bytes(_dated_workbook())
+    sheet = tables.read_xlsx(spark, str(tmp_path / "d.xlsx"))
+    assert sheet.columns == ["listed first"] and [r[0] for r in sheet.collect()] == ["2024-01-01", "2024-01-01 18:00:00"]
+    assert tables.row_count(spark, str(tmp_path / "d.xlsx")) == 2
+    monkeypatch.setattr(tables, "MAX_UPLOAD", 10)
+    with pytest.raises(ValueError):
+        tables.read_xlsx(spark, str(tmp_path / "d.xlsx"))
+
+
+def test_quoted_line_ends_and_missing_files(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n1,"two\nlines, ""said"""\n2,x\n')
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "q.csv")).collect()] == [(1, 'two\nlines, "said"'), (2, "x")]
+    assert tables.row_count(spark, str(tmp_path / "q.csv")) == 2
+    with pytest.raises(FileNotFoundError):
+        tables.read_csv(spark, str(tmp_path / "none.csv"))
+
+
+def test_ingest(spark, tmp_path):
+    got = tables.ingest(spark, _dated_workbook(), str(tmp_path), "org", "ds", "my book.xlsx", "application/zip").first()
+    assert (got["kind"], got["rows"]) == ("xlsx", 2) and (tmp_path / "org/ds/raw/my_book.xlsx").read_bytes() == _dated_workbook()
+    with pytest.raises(ValueError):
+        tables.ingest(spark, b"PK broken", str(tmp_path), "org", "ds", "x.xlsx")
+
+
 def test_uploads():
     assert tables.validate_upload(b"a,b\n1,2\n", "x.csv", "text/csv") == ("csv", 8)
     assert tables.validate_upload(_workbook(), "x.xlsx")[0] == "xlsx"

@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from data import ORDERS, ORDERS_SCHEMA
+from data import RENTALS, RENTALS_SCHEMA
 from tidemark.operators import aggregate as agg
 from tidemark.operators import timeseries
 from tidemark.operators.filters import apply_filters, date_window
@@ -11,38 +11,38 @@ from tidemark.plans.requests import AggregationQuery, BreakdownQuery, CrossTabQu
 
 
 @pytest.fixture(scope="module")
-def orders(spark):
-    return spark.createDataFrame(ORDERS, ORDERS_SCHEMA)
+def rentals(spark):
+    return spark.createDataFrame(RENTALS, RENTALS_SCHEMA)
 
 
-def test_overview_sum(orders):
-    got = {r["column"]: r for r in agg.overview_numeric(orders).collect()}
-    assert got["total_amount"]["sum"] == 7600.0
-    assert agg.overview_temporal(orders).first().asDict() == {"date_column": "order_date", "min_date": date(2024, 1, 15), "max_date": date(2024, 4, 25), "range_days": 101}
+def test_overview(rentals):
+    got = {r["column"]: r for r in agg.overview_numeric(rentals).collect()}
+    assert got["fare"]["sum"] == 221.0 and got["hours"]["median"] == 4.0
+    assert agg.overview_temporal(rentals).first().asDict() == {"date_column": "pickup_date", "min_date": date(2023, 5, 2), "max_date": date(2023, 8, 5), "range_days": 95}
 
 
-def test_scalar(orders):
-    q = AggregationQuery([Metric("total_amount", "sum", "s"), Metric("quantity", "mean", "m"), Metric("order_id", "count", "n")])
-    assert agg.aggregate(orders, q).collect() == [(7600.0, 2.0, 8.0)]
-    assert agg.total_rows(orders, q).first()[0] == 1
+def test_scalar(rentals):
+    q = AggregationQuery([Metric("fare", "sum", "s"), Metric("hours", "mean", "m"), Metric("rental_id", "count", "n")])
+    assert agg.aggregate(rentals, q).collect() == [(221.0, 4.1429, 7.0)]
+    assert agg.total_rows(rentals, q).first()[0] == 1
 
 
-def test_groups_are_sorted(orders):
-    rows = agg.aggregate(orders, AggregationQuery([Metric("total_amount", "sum", "s")], ["product_category"])).collect()
-    assert [tuple(r) for r in rows] == [("Electronics", 4200.0), ("Home & Kitchen", 1800.0), ("Fashion", 1600.0)]
+def test_groups_are_sorted(rentals):
+    rows = agg.aggregate(rentals, AggregationQuery([Metric("fare", "sum", "s")], ["bike"])).collect()
+    assert [tuple(r) for r in rows] == [("cargo", 117.0), ("city", 56.0), ("tandem", 48.0)]
 
 
-def test_filters(orders):
-    q = AggregationQuery([Metric("total_amount", "sum", "s")], [], [Filter("order_status", "eq", "delivered"), Filter("total_amount", "gt", 500)])
-    assert agg.aggregate(orders, q).first()[0] == 3400.0
-    assert agg.aggregate(orders, AggregationQuery([Metric("total_amount", "sum")], [], [Filter("city", "eq", "Nowhere")])).count() == 0
+def test_filters(rentals):
+    q = AggregationQuery([Metric("fare", "sum", "s")], [], [Filter("state", "eq", "closed"), Filter("fare", "gt", 20)])
+    assert agg.aggregate(rentals, q).first()[0] == 135.0
+    assert agg.aggregate(rentals, AggregationQuery([Metric("fare", "sum")], [], [Filter("station", "eq", "Moon")])).count() == 0
 
 
-def test_filters_reach_the_scan(spark, orders, tmp_path):
-    orders.write.parquet(str(tmp_path / "t"))
+def test_filters_reach_the_scan(spark, rentals, tmp_path):
+    rentals.write.parquet(str(tmp_path / "t"))
     t = spark.read.parquet(str(tmp_path / "t"))
-    plan = apply_filters(t, [Filter("quantity", "eq", 2), Filter("total_amount", "gt", 500)]).select("order_id")._jdf.queryExecution().toString()
-    assert "EqualTo(quantity,2)" in plan and "GreaterThan(total_amount,500.0)" in plan
+    plan = apply_filters(t, [Filter("hours", "eq", 6), Filter("fare", "gt", 20)]).select("rental_id")._jdf.queryExecution().toString()
+    assert "EqualTo(hours,6)" in plan and "GreaterThan(fare,20.0)" in plan
 
 
 def test_neq_keeps_nulls_and_bad_values_are_refused(spark):
@@ -55,20 +55,20 @@ def test_neq_keeps_nulls_and_bad_values_are_refused(spark):
             apply_filters(df, [f])
 
 
-def test_page(orders):
-    rows = agg.aggregate(orders, AggregationQuery([Metric("total_amount", "max", "m")], ["order_id"], limit=2)).collect()
-    assert len(rows) == 2 and rows[0]["order_id"] == "ORD-6"
+def test_page(rentals):
+    rows = agg.aggregate(rentals, AggregationQuery([Metric("fare", "max", "m")], ["rental_id"], limit=2)).collect()
+    assert [r["rental_id"] for r in rows] == ["R06", "R03"]
     with pytest.raises(ValueError):
         AggregationQuery([Metric("a", "sum")], limit=5000)
     with pytest.raises(ValueError):
-        agg.aggregate(orders, AggregationQuery([Metric("city", "sum")]))
+        agg.aggregate(rentals, AggregationQuery([Metric("station", "sum")]))
 
 
-def test_months(orders):
-    q = TimeSeriesQuery("order_date", Metric("total_amount", "sum"), "month", rolling=2, cumulative=True, growth=True)
-    rows = timeseries.time_series(orders, q).orderBy("timestamp").collect()
-    assert len(rows) == 4 and rows[0]["timestamp"] == date(2024, 1, 1) and rows[0]["value"] == 1500.0
-    assert rows[-1]["cumulative"] == 7600.0 and rows[0]["growth_pct"] is None and rows[1]["rolling_avg"] == 1600.0
+def test_months(rentals):
+    q = TimeSeriesQuery("pickup_date", Metric("fare", "sum"), "month", rolling=2, cumulative=True, growth=True)
+    rows = timeseries.time_series(rentals, q).orderBy("timestamp").collect()
+    assert [(r["timestamp"].month, r["value"]) for r in rows] == [(5, 45.0), (6, 84.0), (7, 0.0), (8, 92.0)]
+    assert rows[-1]["cumulative"] == 221.0 and rows[0]["growth_pct"] is None and [r["rolling_avg"] for r in rows[1:3]] == [64.5, 42.0]
 
 
 def test_weeks_end_on_monday(spark):
@@ -77,27 +77,27 @@ def test_weeks_end_on_monday(spark):
     assert [(str(r[0]), r[1]) for r in rows] == [("2024-01-01", 1.0), ("2024-01-08", 2.0), ("2024-01-15", 0.0), ("2024-01-22", 4.0)]
 
 
-def test_breakdown(orders):
-    rows = agg.breakdown(orders, BreakdownQuery("product_category", Metric("total_amount", "sum"), 1, True)).collect()
-    assert {(r["category"], r["value"]) for r in rows} == {("Electronics", 4200.0), ("Other", 3400.0)}
+def test_breakdown(rentals):
+    rows = agg.breakdown(rentals, BreakdownQuery("bike", Metric("fare", "sum"), 1, True)).collect()
+    assert {(r["category"], r["value"]) for r in rows} == {("cargo", 117.0), ("Other", 104.0)}
 
 
-def test_crosstab(spark, orders):
-    cells = {(r["row"], r["column"]): r["value"] for r in agg.crosstab(orders, CrossTabQuery("product_category", "order_status")).collect()}
-    assert len(cells) == 9 and cells["Fashion", "delivered"] == 3.0 and cells["Fashion", "returned"] == 0.0
+def test_crosstab(spark, rentals):
+    cells = {(r["row"], r["column"]): r["value"] for r in agg.crosstab(rentals, CrossTabQuery("bike", "state")).collect()}
+    assert len(cells) == 9 and cells["city", "closed"] == 2.0 and cells["tandem", "open"] == 0.0
     many = spark.range(60).select(F.col("id").cast("string").alias("a"), F.lit("x").alias("b"))
     with pytest.raises(ValueError):
         agg.crosstab(many, CrossTabQuery("a", "b"))
 
 
 def test_correlation_without_variance(spark):
-    df = spark.createDataFrame([(1.0, 2.0, 7.0), (2.0, 4.0, 7.0), (3.0, 6.0, 7.0), (4.0, 8.0, 7.0)], "x double, y double, const double")
+    df = spark.createDataFrame([(float(k), 5.0 - 3 * k, 0.25) for k in (2, 9, 4, 11, 6)], "x double, y double, const double")
     for method in ("pearson", "spearman"):
         got = {(r["x"], r["y"]): r["value"] for r in agg.correlation(df, method=method).collect()}
-        assert got["x", "y"] == 1.0 and got["x", "x"] == 1.0 and got["const", "const"] is None and got["x", "const"] is None
+        assert got["x", "y"] == -1.0 and got["x", "x"] == 1.0 and got["const", "const"] is None and got["x", "const"] is None
     with pytest.raises(ValueError):
         agg.correlation(df, ["x"])
 
 
-def test_date_window(orders):
-    assert date_window(orders, "order_date", date(2024, 2, 10), date(2024, 3, 5)).count() == 3
+def test_date_window(rentals):
+    assert date_window(rentals, "pickup_date", date(2023, 6, 1), date(2023, 6, 30)).count() == 3

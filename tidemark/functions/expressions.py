@@ -95,3 +95,27 @@ def percent_change(now: Column, before: Column) -> Column:
 def aggregate_of(value: Column, how: str) -> Column:
     known = {"sum": F.sum, "mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "std": F.stddev_samp, "count": F.count}
     return known[how](value)
+
+
+def slug(name: Column) -> Column:
+    """Lower case, every run of other signs than letters and digits one hyphen, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def json_ready(df: DataFrame) -> DataFrame:
+    """df with values that JSON can hold: no NaN or infinity, dates and times as ISO text, decimals as doubles, bytes as base64."""
+    out = []
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+        elif isinstance(f.dataType, T.DateType):
+            c = F.date_format(c, "yyyy-MM-dd")
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        elif isinstance(f.dataType, T.DecimalType):
+            c = c.cast("double")
+        elif isinstance(f.dataType, T.BinaryType):
+            c = F.base64(c)
+        out.append(c.alias(f.name))
+    return df.select(*out)

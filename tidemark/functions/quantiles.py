@@ -2,7 +2,7 @@
 
 A built-in exact percentile keeps all distinct values of a column in one task. Here a column's values
 are counted, cut into ranges at approximate quantiles, and summed up within each range; only the sums
-of the ranges (at most 64 a column) are put in order together.
+of the ranges are put in order together. There is a range for every ``PER_RANGE`` counted values.
 """
 
 from __future__ import annotations
@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import number
 
-RANGES = 64
+PER_RANGE, MOST_RANGES = 100_000, 10_000
 
 
 def below(counts: DataFrame, keys: list[str]) -> DataFrame:
     """counts (keys, value, n: a row for each value) with below: how many values of the key are smaller."""
-    edges = F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 1000)
+    ranges = min(MOST_RANGES, max(2, -(-counts.count() // PER_RANGE)))
+    edges = F.percentile_approx("value", [i / ranges for i in range(1, ranges)], max(1000, 2 * ranges))
     cut = counts.groupBy(*keys).agg(edges.alias("_edges"))  # a row for each key
     parted = (counts.join(F.broadcast(cut), keys) if keys else counts.join(F.broadcast(cut))).withColumn("_part", F.size(F.filter("_edges", lambda e: e <= F.col("value")))).drop("_edges")
     sums = parted.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))
     order = Window.partitionBy(*keys).orderBy("_part")
-    ahead = sums.select(*keys, "_part", (F.sum("_n").over(order) - F.col("_n")).alias("_ahead"))  # at most RANGES for each key
+    ahead = sums.select(*keys, "_part", (F.sum("_n").over(order) - F.col("_n")).alias("_ahead"))  # a row for each range of a key
     inside = F.sum("n").over(Window.partitionBy(*keys, "_part").orderBy("value")) - F.col("n")
     return parted.withColumn("_inside", inside).join(F.broadcast(ahead), [*keys, "_part"]).withColumn("below", F.col("_ahead") + F.col("_inside")).drop("_part", "_inside", "_ahead")
 

@@ -154,13 +154,15 @@ def crosstab(df: DataFrame, query: CrossTabQuery) -> DataFrame:
     kept = kept.filter(F.col(f"`{query.row}`").isNotNull() & F.col(f"`{query.column}`").isNotNull())
     named = kept.withColumns({"_row": F.col(f"`{query.row}`").cast("string"), "_column": F.col(f"`{query.column}`").cast("string")})
     value = F.count(F.lit(1)).cast("double") if query.metric is None else _grouped_value(kept, query.metric).cast("double")
-    cells = named.groupBy("_row", "_column").agg(value.alias("value"))
-    axes = [named.select(c).distinct().limit(MAX_AXIS + 1) for c in ("_row", "_column")]
+    cells = named.groupBy("_row", "_column").agg(value.alias("value")).limit(MAX_AXIS * MAX_AXIS + 1).collect()  # one more than a grid may have
+    axes = [sorted({r[c] for r in cells}) for c in ("_row", "_column")]
     for name, axis in zip((query.row, query.column), axes, strict=True):
-        if axis.count() > MAX_AXIS:
+        if len(axis) > MAX_AXIS:
             raise ValueError(f"{name} has more than {MAX_AXIS} values")
-    grid = axes[0].join(F.broadcast(axes[1]))  # at most 50 by 50
-    return grid.join(cells, ["_row", "_column"], "left").select(F.col("_row").alias("row"), F.col("_column").alias("column"), r4(F.coalesce("value", F.lit(0.0))).alias("value"))
+    known = {(r["_row"], r["_column"]): r["value"] for r in cells}
+    grid = [(x, y, known.get((x, y))) for x in axes[0] for y in axes[1]]
+    made = df.sparkSession.createDataFrame(grid, "row string, column string, value double")
+    return made.select("row", "column", r4(F.coalesce("value", F.lit(0.0))).alias("value"))
 
 
 def _ranked(df: DataFrame, name: str, out: str) -> DataFrame:

@@ -52,8 +52,10 @@ def rolling_scores(series: DataFrame, window: int, keys: list[str] = ()) -> Data
 
 
 def detect_anomalies(df: DataFrame, request: AnomalyRequest, keys: list[str] = ()) -> DataFrame:
-    """keys, bucket, value, expected, z_score, deviation_pct, severity. Short series (below max(14, 2 windows)) and flat ones have none."""
+    """keys, bucket, value, expected, z_score, deviation_pct, severity. Flat series have none. A series below max(14, 2 windows) periods is refused; with keys, such ones have none."""
     series = prepare_series(df, request.date_column, request.metric_column, request.aggregation, request.cadence, keys)
+    if not keys and (have := series.count()) < (least := max(14, 2 * request.window)):
+        raise ValueError(f"{have} periods are too few, {least} are needed")
     scored = rolling_scores(series, request.window, keys)
     found = scored.filter((F.col("n") >= max(14, 2 * request.window)) & (F.col("overall") >= FLAT) & (F.abs("z") >= THRESHOLDS[request.sensitivity]))
     deviation = (F.col("value") - F.col("expected")) / F.greatest(F.abs("expected"), F.lit(1e-6)) * 100

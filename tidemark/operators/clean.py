@@ -37,6 +37,14 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def duplicate_report(df: DataFrame) -> DataFrame:
+    """rows, duplicates, duplicate_pct, rows_after: what drop_duplicates would take."""
+    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    one = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("rows_after"))
+    gone = F.col("rows") - F.col("rows_after")
+    return one.select("rows", gone.alias("duplicates"), F.coalesce(F.round(gone / F.nullif("rows", F.lit(0)) * 100, 2), F.lit(0.0)).alias("duplicate_pct"), "rows_after")
+
+
 def impute_number(df: DataFrame, name: str, how: str) -> DataFrame:
     """Nulls (and what is no number) become the median, the mean (4 digits) or zero; a column of nulls becomes zero."""
     n = number(df, name)
@@ -116,6 +124,13 @@ def outlier_report(df: DataFrame, name: str) -> DataFrame:
     return out.select(F.lit(name).alias("column"), "lower", "upper", "outliers", "negatives")
 
 
+def outlier_samples(df: DataFrame, name: str, n: int = 5) -> DataFrame:
+    """value: up to n distinct outliers, those farthest out first."""
+    value = number(df, name)
+    far = df.join(F.broadcast(outlier_bounds(df, name))).select(value.alias("value"), F.greatest(F.col("lower") - value, value - F.col("upper")).alias("beyond"))  # one row
+    return far.filter("beyond > 0").groupBy("value").agg(F.max("beyond").alias("beyond")).orderBy(F.desc("beyond"), "value").limit(n).select("value")
+
+
 def cap_outliers(df: DataFrame, name: str) -> DataFrame:
     bounds = outlier_bounds(df, name).withColumnsRenamed({"lower": "_lower", "upper": "_upper"})
     n = number(df, name)

@@ -167,6 +167,8 @@ class Analysis:
         if names is None:
             names = [f.name for f in self.df.schema if is_numeric(f.dataType) and f.name not in (self.request.metric_column, self.request.date_column)][:3]
         total = self.total()
+        if not names:
+            return self.df.sparkSession.createDataFrame([], "metric string, baseline double, event double, delta double, growth_pct double, direction string, elasticity double, elasticity_status string")
         one = self.rows.agg(*[self.of(w, number(self.df, n)).alias(f"{w}{i}") for i, n in enumerate(names) for w in ("base", "event")])
         long = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"base{i}").alias("b"), F.col(f"event{i}").alias("e")) for i, n in enumerate(names)])))
         delta = F.col("e") - F.col("b")
@@ -191,4 +193,11 @@ class Analysis:
         unusual = [f"{r['dimension']}={r['segment']}" for r in top if r["significant"]][:3]
         if unusual:
             said.append(f"Unusual against the baseline's days: {', '.join(unusual)}.")
+        if top and top[0]["z_score"] is not None:
+            said.append(f"It lies {top[0]['z_score']:+.2f} deviations off the baseline's daily mean.")
+        for r in self.secondary().collect():  # a row for each named metric
+            said.append(f"{r['metric']} moved {r['growth_pct']:+.2f}% ({r['direction']}).")
+        if self.dims:
+            r = self.reconciliation().first()
+            said.append(f"Segments of {self.dims[0]} add up to {r['sum_of_deltas']:+,.2f} of {r['total_delta']:+,.2f} ({'reconciled' if r['reconciled'] else 'not reconciled'}).")
         return self.df.sparkSession.createDataFrame([(" ".join(said),)], "narrative string")

@@ -6,12 +6,14 @@ both sides share.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.expressions import json_ready, slug
 from tidemark.operators import aggregate as agg
 from tidemark.operators import anomaly, clean, profile, relational, timeseries
 from tidemark.operators import filters as filt
@@ -20,7 +22,8 @@ from tidemark.operators.rca import Analysis
 from tidemark.operators.rca import date_column as rca_date_column
 from tidemark.plans.requests import AggregationQuery, AnomalyRequest, BreakdownQuery, CrossTabQuery, Filter, ForecastRequest, Metric, RCARequest, TimeSeriesQuery
 from tidemark.sources import store
-from tidemark.sources.tables import read_table
+from tidemark.sources.scratch import folder
+from tidemark.sources.tables import ingest, read_csv, read_table, write_clean
 from tidemark.streaming import windows as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -443,6 +446,99 @@ add(
 )
 add("rca_date_column", lambda s, d: s.createDataFrame([(rca_date_column(_dirty(s, d)),)], "date_column string"), "SELECT 'order_date' AS date_column")
 
+
+# --- files: a table is written, read back through the reader, and compared with what was written
+def _folder(s: SparkSession, tag: str) -> str:
+    return folder(s, f"{tag}-{uuid.uuid4().hex}")
+
+
+def _scan_csv(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "csv")
+    texts = read_table(s, d, "supplier").select("s_suppkey", F.concat(F.lit('a "'), "s_name", F.lit('"\n, x')).alias("note"), F.when(F.col("s_suppkey") % 7 == 0, F.lit("NA")).otherwise(F.round("s_acctbal", 2).cast("string")).alias("balance"))
+    texts.write.options(header=True, escape='"', quoteAll=True).csv(path)
+    return read_csv(s, path)
+
+
+add("scan_csv", _scan_csv, "SELECT s_suppkey, 'a \"' || s_name || '\"' || chr(10) || ', x' AS note, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE round(s_acctbal, 2) END AS balance FROM supplier")
+
+
+def _ingest(s: SparkSession, d: str) -> DataFrame:
+    lines = [f"{r['n_nationkey']},{r['n_name']}" for r in read_table(s, d, "nation").select("n_nationkey", "n_name").collect()]  # 25 rows
+    return ingest(s, ("key,name\n" + "\n".join(lines) + "\n").encode(), _folder(s, "uploads"), "org1", "ds1", "nations 1.csv", "text/csv").select("kind", "size_bytes", "rows")
+
+
+add("ingest_csv", _ingest, "SELECT 'csv' AS kind, CAST(9 + sum(length(CAST(n_nationkey AS VARCHAR)) + length(n_name) + 2) AS BIGINT) AS size_bytes, count(*) AS rows FROM nation")
+
+
+def _sink_clean(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(write_clean(_orders(s, d), _folder(s, "clean"), "org1", "ds1"))
+
+
+add("sink_clean", _sink_clean, "SELECT * FROM {O}")
+
+_SAVED = "org_id string, dataset_id string, metric string, bucket date, value double"
+
+
+def _forecasts(s: SparkSession, d: str) -> DataFrame:
+    return _events(s, d).groupBy(F.lit("org1").alias("org_id"), F.lit("ds1").alias("dataset_id"), F.col("event_type").alias("metric"), F.to_date("ts").alias("bucket")).agg(F.round(F.sum("value"), 2).alias("value"))
+
+
+def _persisted(s: SparkSession, d: str) -> DataFrame:
+    """All metrics saved, one of them saved again: its rows are replaced, the others stay."""
+    path = _folder(s, "forecasts")
+    store.save(_forecasts(s, d), path)
+    store.save(_forecasts(s, d).filter("metric = 'click'").withColumn("value", F.col("value") + 1), path)
+    return store.listed_forecasts(store.load(s, path, _SAVED), "org1", limit=40, offset=5)
+
+
+add(
+    "forecast_persist_list",
+    _persisted,
+    "SELECT * FROM (SELECT 'org1' AS org_id, 'ds1' AS dataset_id, event_type AS metric, CAST(ts AS DATE) AS bucket, round(sum(value), 2) + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS value FROM events GROUP BY 3, 4) ORDER BY bucket, metric LIMIT 40 OFFSET 5",
+)
+
+
+def _looked_up(s: SparkSession, d: str) -> DataFrame:
+    """The first anomaly found is looked up by its id and organisation, and its day is explained."""
+    found = store.with_id(_found(s, d))
+    key = found.orderBy("bucket", "metric").select("id").first()["id"]
+    one = store.by_id(found, "org1", key).first()
+    day = one["bucket"]
+    rows = _events(s, d).filter(F.col("event_type") == one["metric"])
+    totals = Analysis(rows, RCARequest("ts", "value", event_start=day, event_end=day, dimensions=["cohort"])).totals()
+    return totals.select(F.lit(one["metric"]).alias("metric"), F.lit(day).alias("bucket"), "event", "baseline", F.lit(store.by_id(found, "org2", key).count()).alias("found_by_others"))
+
+
+add(
+    "anomaly_lookup_rca",
+    _looked_up,
+    f"WITH {_FOUND}, f AS (SELECT metric, bucket FROM a ORDER BY bucket, metric LIMIT 1) SELECT f.metric, f.bucket, round(coalesce(sum(value) FILTER (CAST(ts AS DATE) = f.bucket), 0), 4) AS event, round(coalesce(sum(value) FILTER (CAST(ts AS DATE) = f.bucket - 1), 0), 4) AS baseline, CAST(0 AS BIGINT) AS found_by_others FROM events, f WHERE event_type = f.metric GROUP BY 1, 2",
+)
+_TOTALS = "CASE WHEN o_orderkey % 3 = 0 THEN 'cleaned' ELSE 'ready' END AS status, o_custkey AS row_count"
+add(
+    "dataset_totals",
+    lambda s, d: store.totals(read_table(s, d, "orders").selectExpr("'org1' AS org_id", "o_orderkey AS dataset_id", *_columns(_TOTALS)), "org1"),
+    f"SELECT count(*) AS datasets, count(*) FILTER (status = 'cleaned') AS cleaned, round(count(*) FILTER (status = 'cleaned') / count(*) * 100, 2) AS cleaned_pct, CAST(sum(row_count) AS BIGINT) AS rows FROM (SELECT {_TOTALS} FROM orders)",
+)
+add(
+    "default_columns",
+    lambda s, d: store.default_columns(profile.profile_columns(_dirty(s, d)).join(s.createDataFrame(list(zip(_KINDS, range(9))), "column string, position int"), "column")),
+    "SELECT 'order_date' AS date_column, 'amount_text' AS metric_column, 'priority' AS dimension",
+)
+add(
+    "forecast_band",
+    lambda s, d: forecast(_events(s, d).filter("event_type = 'click'"), ForecastRequest("ts", "value", horizon=5)).select("step", (F.col("upper") >= F.col("predicted")).alias("above"), (F.col("predicted") >= F.col("lower")).alias("below")),
+    "SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step, true AS above, true AS below",
+)
+add("clean_dedup_report", lambda s, d: clean.duplicate_report(_orders(s, d).select("status", "priority")), "SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT status, priority FROM {O})) AS duplicates, round((count(*) - (SELECT count(*) FROM (SELECT DISTINCT status, priority FROM {O}))) / count(*) * 100, 2) AS duplicate_pct, (SELECT count(*) FROM (SELECT DISTINCT status, priority FROM {O})) AS rows_after FROM {O}")
+add("clean_outlier_samples", lambda s, d: clean.outlier_samples(read_table(s, d, "events"), "value"), f"SELECT value FROM events, {_BOUNDS.replace('{c}', 'value').replace('{t}', 'events')} WHERE value < lo OR value > hi GROUP BY value, lo, hi ORDER BY greatest(lo - value, value - hi) DESC, value LIMIT 5")
+add("scalar_slug", lambda s, d: read_table(s, d, "part").select("p_partkey", slug(F.concat(F.lit(" Part: "), "p_name", F.lit("!"))).alias("slug")), "SELECT p_partkey, trim(regexp_replace(lower(' Part: ' || p_name || '!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+add(
+    "proj_json",
+    lambda s, d: json_ready(_orders(s, d).select("order_id", "order_date", F.when(F.col("order_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("total_amount")).alias("amount"))),
+    "SELECT order_id, CAST(order_date AS VARCHAR) AS order_date, CASE WHEN order_id % 5 = 0 THEN NULL ELSE total_amount END AS amount FROM {O}",
+)
+
 # --- relational
 add("join_inner", lambda s, d: read_table(s, d, "nation").join(read_table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name"), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 add(
@@ -463,10 +559,6 @@ add("window_tumbling", lambda s, d: streams.tumbling(_events(s, d), "ts", "event
 
 
 def _streamed(s: SparkSession, d: str) -> DataFrame:
-    import uuid
-
-    from tidemark.sources.scratch import folder
-
     like, name = read_table(s, d, "events"), f"tumbling_{uuid.uuid4().hex}"
     stream = streams.read_stream(s, f"{d}/events.parquet*", like)
     streams.run_to_table(streams.tumbling(stream, "ts", "event_type", "value"), name, folder(s, name))

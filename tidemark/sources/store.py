@@ -56,3 +56,48 @@ def sync_columns(catalog: DataFrame, profile: DataFrame, dataset: str) -> DataFr
     """catalog (dataset_id, column, classification, nullable) with a dataset's columns replaced by those of its profile."""
     new = profile.select(F.lit(dataset).alias("dataset_id"), "column", "classification", (F.col("null_count") > 0).alias("nullable"))
     return replace(catalog, new, F.col("dataset_id") == dataset)
+
+
+SCOPE = ["org_id", "dataset_id", "metric"]
+
+
+def save(new: DataFrame, path: str) -> None:
+    """Write result rows so that each scope they hold is replaced and all others stay: scopes are folders, and only theirs are written."""
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SCOPE).parquet(path)
+
+
+def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows saved under a path; filters on the scope read its folder alone."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def with_id(results: DataFrame, when: str = "bucket") -> DataFrame:
+    """results with an id that follows from scope and date."""
+    return results.withColumn("id", F.sha2(F.concat_ws("|", *SCOPE, F.col(when).cast("string")), 256))
+
+
+def by_id(results: DataFrame, org: str, key: str) -> DataFrame:
+    """The result of an organisation with this id; another's is not found."""
+    return results.filter((F.col("org_id") == org) & (F.col("id") == key))
+
+
+def listed_forecasts(table: DataFrame, org: str, metric: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """An organisation's forecasts, by date."""
+    found = table.filter(F.col("org_id") == org)
+    return (found.filter(F.col("metric") == metric) if metric else found).orderBy("bucket", "metric").offset(offset).limit(limit)
+
+
+def totals(catalog: DataFrame, org: str) -> DataFrame:
+    """datasets, cleaned, cleaned_pct of an organisation's catalog (org_id, dataset_id, status, row_count), and its rows."""
+    own = catalog.filter(F.col("org_id") == org)
+    cleaned = F.count(F.when(F.col("status") == "cleaned", 1))
+    return own.agg(F.count(F.lit(1)).alias("datasets"), cleaned.alias("cleaned"), F.coalesce(F.round(cleaned / F.nullif(F.count(F.lit(1)), F.lit(0)) * 100, 2), F.lit(0.0)).alias("cleaned_pct"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows"))
+
+
+def default_columns(profile: DataFrame) -> DataFrame:
+    """date_column, metric_column, dimension: of a profile (column, classification, position) the first of each class, or null."""
+
+    def first(kind: str) -> Column:
+        return F.min_by(F.when(F.col("classification") == kind, F.col("column")), F.when(F.col("classification") == kind, F.col("position")))
+
+    return profile.agg(first("datetime").alias("date_column"), first("numeric").alias("metric_column"), first("categorical").alias("dimension"))

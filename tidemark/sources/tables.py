@@ -6,10 +6,12 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from tidemark.functions.expressions import NULL_TOKENS
 
 #: Fixed values of the interface.
 MAX_UPLOAD = 50 * 1024 * 1024
-KINDS = {"csv": {"text/csv", "application/csv", "application/vnd.ms-excel", "text/plain", "application/octet-stream"}, "xlsx": {"application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/octet-stream"}}
+KINDS = {"csv": {"text/csv", "application/csv", "application/vnd.ms-excel", "text/plain", "application/octet-stream"}, "xlsx": {"application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.ms-excel", "application/zip", "application/octet-stream"}}
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -26,15 +28,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """Text columns of a CSV. One look at its lines tells the encoding, and whether quoted cells hold line ends: only then is a file read as a whole."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    look = spark.read.text(path).agg(F.max(~F.is_valid_utf8("value")).alias("latin"), F.max(quotes % 2 == 1).alias("open")).first()
+    options = {"header": True, "multiLine": bool(look["open"]), "encoding": "ISO-8859-1" if look["latin"] else "UTF-8", "escape": '"', "mode": "PERMISSIVE"}
+    return spark.read.options(**options).csv(path)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with header: null tokens become null, columns of numbers and booleans get their types, dates stay text.
 
-    UTF-8, or Latin-1 where the file is no UTF-8. An empty file or one without rows is refused.
+    UTF-8, or Latin-1 where the file is no UTF-8. An empty file or one without rows is refused, and so
+    is a path where nothing is.
     """
-    undecodable = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
-    encoding = "ISO-8859-1" if undecodable.count() else "UTF-8"
-    raw = spark.read.options(header=True, multiLine=False, encoding=encoding, escape='"', mode="PERMISSIVE").csv(path)
-    return typed(_guarded(raw, path))
+    try:
+        return typed(_guarded(_csv(spark, path), path))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(f"there is no table at {path}") from None
+        raise
 
 
 def _guarded(df: DataFrame, path: str) -> DataFrame:
@@ -46,7 +59,7 @@ def _guarded(df: DataFrame, path: str) -> DataFrame:
 def typed(raw: DataFrame) -> DataFrame:
     """Text columns with null tokens taken out, each cast to the narrowest of long, double and boolean that holds all its values."""
     known = raw.select(*[F.when(~F.col(f"`{c}`").isin(NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
-    checks = []
+    checks = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(raw.columns):
         v = F.col(f"`{c}`")
         checks += [
@@ -62,32 +75,69 @@ def typed(raw: DataFrame) -> DataFrame:
         to = None
         if n:
             # integers with nulls are read as floating point, as a data frame library would
-            to = "long" if one[f"l{i}"] == n == raw.count() else "double" if one[f"d{i}"] == n else "boolean" if one[f"b{i}"] == n else None
+            to = "long" if one[f"l{i}"] == n == one["rows"] else "double" if one[f"d{i}"] == n else "boolean" if one[f"b{i}"] == n else None
         out.append(v.cast(to).alias(c) if to else v)
     return known.select(*out)
 
 
+#: Fixed values of the format: number formats that are dates, and the day that serial 0 stands for.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+EPOCH = datetime(1899, 12, 30)
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _first_sheet(z: zipfile.ZipFile, names: set[str]) -> str:
+    """The sheet that the workbook lists first; where it lists none, the file with the lowest number."""
+    files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+    if "xl/_rels/workbook.xml.rels" in names:
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"):
+            target = targets.get(sheet.get(f"{_REL}id"), "")
+            name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if name in names:
+                return name
+    if not files:
+        raise ValueError("the workbook has no sheet")
+    return files[0]
+
+
+def _date_styles(z: zipfile.ZipFile, names: set[str]) -> set[int]:
+    """Cell styles that show a number as a date."""
+    if "xl/styles.xml" not in names:
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId", 0)): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")) for f in root.iter(f"{_SHEET}numFmt")}
+    dates = DATE_FORMATS | {k for k, code in own.items() if re.search("[dmyhs]", code, re.IGNORECASE)}
+    cells = root.find(f"{_SHEET}cellXfs")
+    return {k for k, xf in enumerate(cells if cells is not None else []) if int(xf.get("numFmtId", 0)) in dates}
+
+
+def _moment(serial: str) -> str:
+    when = EPOCH + timedelta(days=float(serial))
+    return when.date().isoformat() if when == datetime(when.year, when.month, when.day) else when.isoformat(sep=" ", timespec="seconds")
+
+
+def _column(reference: str | None, otherwise: int) -> int:
+    letters = re.match("[A-Z]+", reference or "")
+    if not letters:
+        return otherwise
+    at = 0
+    for x in letters[0]:
+        at = at * 26 + ord(x) - 64
+    return at - 1
+
+
 def _cells(content: bytes) -> list[list[str | None]]:
-    """Rows of the first sheet as text: shared and inline strings, numbers, booleans, texts of formulas."""
+    """Rows of the first sheet as text: shared and inline strings, numbers, dates as ISO text, booleans, texts of formulas."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared: list[str] = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
-        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        if not sheets:
-            raise ValueError("the workbook has no sheet")
-        rows = []
-        for row in ElementTree.fromstring(z.read(sheets[0])).iter(f"{_SHEET}row"):
+        dates, rows = _date_styles(z, names), []
+        for row in ElementTree.fromstring(z.read(_first_sheet(z, names))).iter(f"{_SHEET}row"):
             cells: dict[int, str | None] = {}
             for k, c in enumerate(row.iter(f"{_SHEET}c")):
-                letters = re.match("[A-Z]+", c.get("r", ""))
-                at = k
-                if letters:
-                    at = 0
-                    for x in letters[0]:
-                        at = at * 26 + ord(x) - 64
-                    at -= 1
                 value, kind = c.find(f"{_SHEET}v"), c.get("t")
                 text = None if value is None else value.text
                 if kind == "s" and text is not None:
@@ -96,7 +146,9 @@ def _cells(content: bytes) -> list[list[str | None]]:
                     text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
                 elif kind == "b" and text is not None:
                     text = "true" if text == "1" else "false"
-                cells[at] = text
+                elif kind in (None, "n") and text is not None and int(c.get("s", 0)) in dates:
+                    text = _moment(text)
+                cells[_column(c.get("r"), k)] = text
             rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
     return rows
 
@@ -108,9 +160,16 @@ def _sheet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["at", "cells"])
 
 
+def _sheet(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path)
+    if not files.filter(F.col("length") > MAX_UPLOAD).isEmpty():
+        raise ValueError(f"{path} exceeds {MAX_UPLOAD} bytes")
+    return files.select("content").mapInArrow(_sheet_rows, "at long, cells array<string>")
+
+
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a workbook (of at most MAX_UPLOAD bytes), parsed in a task; the first row has the names."""
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_sheet_rows, "at long, cells array<string>")
+    """The first sheet of a workbook (of at most MAX_UPLOAD bytes), parsed in a task; the first row has the names, dates become ISO text."""
+    rows = _sheet(spark, path)
     head = rows.filter("at = 0").select("cells").first()
     if head is None:
         raise ValueError(f"{path} has no rows")
@@ -120,8 +179,34 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def row_count(spark: SparkSession, path: str) -> int:
-    """Rows of a CSV, the header and blank lines not counted."""
-    return spark.read.option("header", True).csv(path).count()
+    """Rows of a CSV or the first sheet of a workbook, the header and blank lines not counted."""
+    if path.lower().endswith(".xlsx"):
+        return _sheet(spark, path).filter("at > 0").count()
+    return _csv(spark, path).count()
+
+
+def write_raw(spark: SparkSession, content: bytes, base: str, org: str, dataset: str, name: str) -> str:
+    """An upload's bytes as they came, under {base}/{org}/{dataset}/raw, wherever Spark can write."""
+    path = contained(base, org, dataset, "raw", sanitize_filename(name))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return path
+
+
+def ingest(spark: SparkSession, content: bytes, base: str, org: str, dataset: str, name: str, mime: str | None = None) -> DataFrame:
+    """Check an upload, keep it as it came, and tell of it: path, kind, size_bytes, rows. What cannot be read is refused and not kept."""
+    kind, size = validate_upload(content, name, mime)
+    path = write_raw(spark, content, base, org, dataset, name)
+    try:
+        rows = row_count(spark, path)
+    except Exception as e:
+        delete(spark, path)
+        raise ValueError(f"{name} cannot be read: {e}") from e
+    return spark.createDataFrame([(path, kind, size, rows)], "path string, kind string, size_bytes long, rows long")
 
 
 def sanitize_filename(name: str) -> str:
