@@ -46,8 +46,8 @@ def moment(df: DataFrame, name: str) -> Column:
     if is_moment(dtype):
         return c.cast("timestamp_ntz")
     if isinstance(dtype, T.StringType):
-        # a failed attempt is dear, so only short text with a year and a separator is tried
-        likely = c.rlike(r"^\s*[A-Za-z0-9][A-Za-z0-9 ,./:-]{6,28}\s*$") & c.rlike(r"[0-9]{4}") & c.rlike(r"[-/., :]")
+        # a failed attempt is dear, so only short text with a year and a separator is tried, and no decimal numbers
+        likely = ~c.rlike(_NUMBER) & c.rlike(r"^\s*[A-Za-z0-9][A-Za-z0-9 ,./:-]{6,28}\s*$") & c.rlike(r"[0-9]{4}") & c.rlike(r"[-/., :]")
         return F.when(likely, F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMATS]))
     return F.lit(None).cast("timestamp_ntz")
 

@@ -75,9 +75,13 @@ class Figures:
 
 
 def figures(df: DataFrame) -> list[Figures]:
+    """What classification and scores rest on, for every column: each value is parsed once, in a projection, and then counted."""
     asked: list[Column] = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(df.schema):
-        c, text, n, d = F.col(f"`{f.name}`"), F.col(f"`{f.name}`").cast("string"), number(df, f.name), day(df, f.name)
+    parsed = df.select(
+        *[x for i, f in enumerate(df.schema) for x in (F.col(f"`{f.name}`").alias(f"c{i}"), number(df, f.name).alias(f"n{i}"), (F.lit(None).cast("date") if is_numeric(f.dataType) else day(df, f.name)).alias(f"d{i}"))]
+    )
+    for i in range(len(df.columns)):
+        c, text, n, d = F.col(f"c{i}"), F.col(f"c{i}").cast("string"), F.col(f"n{i}"), F.col(f"d{i}")
         asked += [
             F.count(c).alias(f"known_{i}"),
             F.count(n).alias(f"numbers_{i}"),
@@ -91,7 +95,7 @@ def figures(df: DataFrame) -> list[Figures]:
             F.count(F.when(F.lower(F.trim(text)).isin(BOOLEANS), 1)).alias(f"booleans_{i}"),
             F.count(F.when(text.rlike("[-/:]"), 1)).alias(f"separators_{i}"),
         ]
-    one = df.agg(*asked).first().asDict()
+    one = parsed.agg(*asked).first().asDict()
     counts = {r["column"]: r["n"] for r in value_counts(df, df.columns).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each column
     names = ("known", "numbers", "dates", "valid_dates", "whole", "negatives", "uuids", "spaces", "booleans", "separators")
     return [

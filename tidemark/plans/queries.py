@@ -561,8 +561,9 @@ add("window_tumbling", lambda s, d: streams.tumbling(_events(s, d), "ts", "event
 def _streamed(s: SparkSession, d: str) -> DataFrame:
     like, name = read_table(s, d, "events"), f"tumbling_{uuid.uuid4().hex}"
     stream = streams.read_stream(s, f"{d}/events.parquet*", like)
-    streams.run_to_table(streams.tumbling(stream, "ts", "event_type", "value"), name, folder(s, name))
-    return s.table(name).withColumn("window_start", F.to_date("window_start"))
+    path = folder(s, f"{name}-rows")
+    streams.run_to_path(streams.tumbling(stream, "ts", "event_type", "value"), path, folder(s, name))
+    return s.read.parquet(path).withColumn("window_start", F.to_date("window_start"))
 
 
 add("streaming_tumbling", _streamed, ORACLE_SQL["window_tumbling"])

@@ -32,7 +32,8 @@ def sessions(events: DataFrame, time_col: str, key: str, gap: str = "1 hour", de
     return made.select("key", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> None:
-    """Read what is there, write it to a table in memory, and stop."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_path(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
+    """Read what is there, write the result as Parquet, each batch's whole result in place of the last (complete) or behind it (append), and stop."""
+    kept = "overwrite" if mode == "complete" else "append"
+    query = stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode(kept).parquet(path)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
