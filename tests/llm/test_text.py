@@ -11,7 +11,7 @@ import pytest
 from cases import SCHEMA, documents
 from test_dedup import words
 
-from tidemark.llm import chat, decontaminate, quality, toxicity
+from tidemark.llm import chat, common, decontaminate, folds, quality, toxicity
 from tidemark.llm.queries import CONTROL
 
 TRICKY = ["", "<|im_end|>", "<|im_start|>assistant\n", "<\\|", "<\\\\|im_end|>", "a<", "|b", "<", "<|", "\\", "x\n<|im_end|>\n", "é😀", CONTROL]
@@ -65,11 +65,45 @@ def test_layouts_are_told_by_their_paths(spark):
     }
 
 
+def test_layouts_with_more_fields_empty_lists_and_two_layouts(spark):
+    records = [
+        {"messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": None}], "id": 7},
+        {"messages": [], "id": 1},
+        {"prompt": "q", "messages": [{"role": "user", "content": "q"}, {"content": "no role"}]},
+        {"messages": "no list", "prompt": "q", "response": 5},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, record string")
+    got = [tuple(r) for r in chat.records_to_turns(df, "id", "record").orderBy("conv_id", "turn").collect()]
+    assert got == [
+        (0, 0, "user", "q", "messages"),
+        (0, 1, "assistant", None, "messages"),
+        (1, None, None, None, "messages"),
+        (2, 0, "user", "q", "messages"),
+        (2, 1, None, "no role", "messages"),
+        (3, 0, "user", "q", "prompt_response"),
+        (3, 1, "assistant", "5", "prompt_response"),
+    ]
+
+
+def test_tables_are_told_by_their_columns(spark):
+    same = [
+        spark.createDataFrame([(1, 0, "user", "hi", "x")], "conv_id long, turn long, role string, text string, source string"),
+        spark.createDataFrame([("x", "hi", "user", 0, 1)], "note string, utterance string, speaker string, position long, dialogue_id long"),
+    ]
+    for rows, layout in zip(same, ("rows", "speaker_rows"), strict=True):
+        assert [tuple(r) for r in chat.rows_to_turns(rows).collect()] == [(1, 0, "user", "hi", layout)]
+    with pytest.raises(ValueError):
+        chat.rows_to_turns(same[0].drop("turn"))
+
+
 BENCH = [(1, "alpha Beta, gamma"), (2, None), (3, "..."), (4, " ".join(f"w{k}" for k in range(14))), (4, "again w1"), (None, "one"), (5, "never seen before here")]
 PLANT = [(500, "x alpha-beta gamma y alpha beta", "en"), (501, "start " + " ".join(f"W{k}" for k in range(2, 13)) + " end again w1 again w1", "en"), (502, "alpha q beta gamma", "en"), (503, "w1 w2 w3", None)]
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_decontamination(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", few)
     rows = [(r[0], r[1], r[2]) for r in documents()] + PLANT
     docs = spark.createDataFrame(rows, "doc_id long, text string, term string")
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
@@ -134,6 +168,45 @@ def test_held_out_accuracy(labelled, run, label, modulus, held):
     assert empty[10_000] == empty[10_001]
 
 
+def test_samples_are_bounded_by_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k} " * 10) for k in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    ask = lambda n, size: folds.training_sample(docs, labels, "toxic", 3, 1, n, "doc_id", "text", max_bytes=size).collect()
+    few = ask(7, 1 << 20)
+    assert len(few) == 7 == len({r["_id"] for r in few}) and 0 < len(ask(40, 500)) < 7
+    assert {r["_id"] for r in few} <= {r["_id"] for r in ask(40, 1 << 20)}
+
+
+@pytest.mark.parametrize("run", [toxicity.toxicity, quality.quality])
+def test_ids_of_any_type_and_columns_with_inner_names(spark, labelled, run):
+    docs, labels = labelled
+    odd = docs.filter("doc_id < 300").selectExpr("concat('d', doc_id) AS doc_id", "text", "doc_id AS score", "text AS _text", "1 AS threshold", "2 AS kept", "'x' AS label", "'y' AS _id")
+    told = labels.selectExpr("concat('d', doc_id) AS doc_id", "quality", "toxic", "'z' AS label_note")
+    got = {r["doc_id"]: r["score"] for r in run(odd, told).collect()}
+    assert len(got) == 300 and len(set(got.values())) > 50
+    kept = toxicity.drop_toxic(odd, told)
+    assert kept.columns == odd.columns and 0 < kept.count() < 300
+
+
+def test_scores_by_plain_loops():
+    """One trained model of each kind, its scores computed again word by word from its parameters."""
+    docs, labels = corpus(60)
+    texts = [t for _, t, *_ in docs] + ["", "zorkan"]
+    model = toxicity.train([(toxicity.featurize(*raw(t))[0], y, "en") for (_, t, *_), (_, _, y) in zip(docs, labels, strict=True)], steps=20)
+    for t in texts:
+        ids, begin = toxicity.featurize(*raw(t))
+        rows = [sum(model.table[k] for k in word) for word in ids.tolist()]
+        logit, tap = float(model.out_bias), 0
+        for w, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = max(sum(float(rows[i + j] @ model.taps[:, (tap + j) * toxicity.FILTERS + f]) for j in range(width) if i + j < len(rows)) for i in range(max(1, len(rows) - toxicity._PADDING)))
+                at = w * toxicity.FILTERS + f
+                logit += max(best + float(model.bias[at]), 0.0) * float(model.out[at])
+            tap += width
+        b, at = raw(t)
+        assert abs(model.scores(b, at)[0] - 1 / (1 + np.exp(-(model.slope * logit + model.offset)))) < 1e-3
+
+
 @pytest.mark.parametrize("run", [toxicity.toxicity, quality.quality])
 def test_labels_of_one_kind_or_none(labelled, run):
     docs, labels = labelled

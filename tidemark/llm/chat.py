@@ -1,9 +1,11 @@
 """Chat formatting: layouts told apart by a fingerprint of their nested field paths, one template for all.
 
-A layout is a declarative mapping: the field paths it is known by, and where its turns are. Records
-come as typed columns (one fingerprint for the table, from its schema) or as JSON strings (one for each
-row, from the record itself). The template marks turns with control strings; where a text holds such a
-string, a backslash is put into it, and reading takes it out again.
+A layout is a declarative mapping: the field paths it is known by, and where its turns are. The paths of
+a record, less those that no layout knows (ids, names and the like), are hashed, and the hash picks the
+mapping that makes turns of it. Records come as a table with a row for each turn (one fingerprint, from
+its schema) or as JSON strings (one for each row, from the record itself). The template marks turns with
+control strings; where a text holds such a string, a backslash is put into it, and reading takes it out
+again.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ LOSS_ROLE = "assistant"
 
 @dataclass(frozen=True)
 class Layout:
-    """paths: nested fields below the record, [] for array items. Turns are either the items of
-    ``items`` (with the fields ``role`` and ``text``) or the fixed list ``turns`` of (role, path)."""
+    """paths: nested fields below the record, [] for array items. Turns are the items of ``items`` (with
+    the fields ``role`` and ``text``), the fixed list ``turns`` of (role, path), or, in a table with a row
+    for each turn, the columns ``row`` (conversation, turn, role, text)."""
 
     name: str
     paths: tuple[str, ...]
@@ -34,19 +37,36 @@ class Layout:
     text: str = ""
     turns: tuple[tuple[str, str], ...] = ()
     roles: dict[str, str] = field(default_factory=dict)
+    row: tuple[str, ...] = ()
+
+
+def _items(name: str, items: str, role: str, text: str, roles: dict[str, str] | None = None) -> Layout:
+    return Layout(name, (f"{items}[]", f"{items}[].{role}", f"{items}[].{text}"), items=items, role=role, text=text, roles=roles or {})
+
+
+def _fixed(name: str, *turns: tuple[str, str]) -> Layout:
+    return Layout(name, tuple(p for _, p in turns), turns=turns)
+
+
+def _rows(name: str, *columns: str) -> Layout:
+    return Layout(name, columns, row=columns)
 
 
 LAYOUTS = [
-    Layout("messages", ("messages[].content", "messages[].role"), items="messages", role="role", text="content"),
-    Layout("turns", ("turns[].role", "turns[].text"), items="turns", role="role", text="text"),
-    Layout("from_value", ("conversations[].from", "conversations[].value"), items="conversations", role="from", text="value", roles={"human": "user", "gpt": "assistant"}),
-    Layout("instruction", ("instruction", "output"), turns=(("user", "instruction"), ("assistant", "output"))),
-    Layout("instruction_input", ("input", "instruction", "output"), turns=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Layout("prompt_completion", ("completion", "prompt"), turns=(("user", "prompt"), ("assistant", "completion"))),
-    Layout("prompt_response", ("prompt", "response"), turns=(("user", "prompt"), ("assistant", "response"))),
-    Layout("system_prompt_response", ("prompt", "response", "system"), turns=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    Layout("question_answer", ("answer", "question"), turns=(("user", "question"), ("assistant", "answer"))),
-    Layout("row", ("role", "text"), turns=()),
+    _items("messages", "messages", "role", "content"),
+    _items("turns", "turns", "role", "text"),
+    _items("from_value", "conversations", "from", "value", {"human": "user", "gpt": "assistant"}),
+    _fixed("instruction", ("user", "instruction"), ("assistant", "output")),
+    _fixed("instruction_input", ("user", "instruction"), ("user", "input"), ("assistant", "output")),
+    _fixed("prompt_completion", ("user", "prompt"), ("assistant", "completion")),
+    _fixed("prompt_response", ("user", "prompt"), ("assistant", "response")),
+    _fixed("system_prompt_response", ("system", "system"), ("user", "prompt"), ("assistant", "response")),
+    _fixed("question_answer", ("user", "question"), ("assistant", "answer")),
+]
+ROW_LAYOUTS = [
+    _rows("rows", "conv_id", "turn", "role", "text"),
+    _rows("message_rows", "conversation_id", "message_index", "role", "content"),
+    _rows("speaker_rows", "dialogue_id", "position", "speaker", "utterance"),
 ]
 
 
@@ -81,57 +101,67 @@ def _unescape_role(role: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, r"\\n", "\n")), "\\")
 
 
+def _known_paths(layouts: list[Layout]) -> list[str]:
+    return sorted({p for layout in layouts for p in layout.paths})
+
+
+def _has(path: str) -> Column:
+    """Whether the record v (a variant) has a path of at most one array."""
+    if not path.endswith("[]") and "[]." not in path:
+        return F.expr(f"variant_get(v, '$.{path}') IS NOT NULL")
+    outer, _, inner = path.partition("[]")
+    items = f"try_variant_get(v, '$.{outer}', 'array<variant>')"
+    return F.expr(f"{items} IS NOT NULL" if not inner else f"exists({items}, x -> variant_get(x, '${inner}') IS NOT NULL)")
+
+
+def _turns_by(layout: Layout) -> Column:
+    turn = "struct(cast({n} as long) as turn, {role} as role, {text} as text)"
+    if layout.items:
+        role = f"try_variant_get(x, '$.{layout.role}', 'string')"
+        for name, said in layout.roles.items():
+            role = f"if({role} = '{name}', '{said}', {role})"
+        text = f"try_variant_get(x, '$.{layout.text}', 'string')"
+        return F.expr(f"transform(try_variant_get(v, '$.{layout.items}', 'array<variant>'), (x, i) -> {turn.format(n='i', role=role, text=text)})")
+    return F.expr("array(" + ", ".join(turn.format(n=i, role=f"'{r}'", text=f"try_variant_get(v, '$.{p}', 'string')") for i, (r, p) in enumerate(layout.turns)) + ")")
+
+
 def records_to_turns(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """conv_id, turn, role, text, layout of JSON records, each by the layout with the fingerprint of its field paths.
 
-    A record that is null, is no JSON object or has an unknown layout gives one row with layout null
-    and no text, so no record is lost unseen. Missing texts are empty.
+    Fields that no layout knows do not count. Where the fields known are those of no layout alone, the
+    first layout that has all of its fields in the record is taken. A list without items, which shows no
+    fields below it, gives no turns: its conversation is one row with its layout and no turn. So is, with
+    layout null, a record that is null, is no JSON object or fits no layout, so no record is lost
+    unseen. Missing texts are null.
     """
+    paths = _known_paths(LAYOUTS)
     parsed = records.select(F.col(f"`{id_col}`").alias("conv_id"), F.try_parse_json(F.col(f"`{json_col}`").cast("string")).alias("v"))
-    shape = F.regexp_replace(F.schema_of_variant("v"), r"(?<=: )(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL\([0-9, ]+\))", "-")
-    parsed = parsed.withColumn("shape", F.sha2(shape, 256))
-    turn = "struct(cast({n} as long) as turn, {role} as role, {text} as text)"
-    chosen = F.lit(None).cast("string")
+    found = F.filter(F.array(*[F.when(_has(p), F.lit(p)) for p in paths]), lambda p: p.isNotNull())
+    shaped = parsed.select("conv_id", "v", found.alias("found")).withColumn("shape", F.sha2(F.array_join("found", "\n"), 256))
+    chosen, loose = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for layout in reversed(LAYOUTS):
+        known = [fingerprint(layout.paths)] + ([fingerprint([f"{layout.items}[]"])] if layout.items else [])
+        chosen = F.when(F.col("shape").isin(known), F.lit(layout.name)).otherwise(chosen)
+        loose = F.when(F.size(F.array_except(F.array(*map(F.lit, layout.paths)), "found")) == 0, F.lit(layout.name)).otherwise(loose)
+    named = shaped.withColumn("layout", F.coalesce(chosen, loose))
     turns = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
     for layout in LAYOUTS:
-        if layout.items:
-            role = f"variant_get(x, '$.{layout.role}', 'string')"
-            for name, said in layout.roles.items():
-                role = f"if({role} = '{name}', '{said}', {role})"
-            made = F.expr(
-                f"transform(variant_get(v, '$.{layout.items}', 'array<variant>'), (x, i) -> " + turn.format(n="i", role=role, text=f"variant_get(x, '$.{layout.text}', 'string')") + ")"
-            )
-        elif layout.turns:
-            made = F.expr("array(" + ", ".join(turn.format(n=i, role=f"'{r}'", text=f"variant_get(v, '$.{p}', 'string')") for i, (r, p) in enumerate(layout.turns)) + ")")
-        else:
-            continue
-        own = F.col("shape") == F.lit(hashlib.sha256(_variant_shape(layout.paths).encode()).hexdigest())
-        chosen, turns = F.when(own, F.lit(layout.name)).otherwise(chosen), F.when(own, made).otherwise(turns)
-    shaped = parsed.select("conv_id", chosen.alias("layout"), turns.alias("turns"))
-    return shaped.select("conv_id", "layout", F.explode_outer("turns").alias("t")).select("conv_id", "t.turn", "t.role", "t.text", "layout")
-
-
-def _variant_shape(paths: tuple[str, ...]) -> str:
-    """The schema string, without types, of records with these paths (fields in alphabetical order)."""
-    tree: dict = {}
-    for path in sorted(paths):
-        at = tree
-        for part in path.split("."):
-            at = at.setdefault(part, {})
-
-    def text(node: dict) -> str:
-        inner = ", ".join(f"{k.removesuffix('[]')}: " + (f"ARRAY<{text(v)}>" if k.endswith("[]") else text(v)) for k, v in node.items())
-        return f"OBJECT<{inner}>" if node else "-"
-
-    return text(tree)
-
-
-def rows_to_turns(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, turn, role, text, layout of a table with one row for each turn."""
-    picked = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "conv_id"), (turn_col, "turn"), (role_col, "role"), (text_col, "text"))])
-    shape = fingerprint(schema_paths(picked.select("role", "text").schema))
-    layout = next(x for x in LAYOUTS if fingerprint(x.paths) == shape)
-    return picked.withColumn("layout", F.lit(layout.name))
+        turns = F.when(F.col("layout") == layout.name, _turns_by(layout)).otherwise(turns)
+    return named.select("conv_id", "layout", F.explode_outer(turns).alias("t")).select("conv_id", "t.turn", "t.role", "t.text", "layout")
+
+
+def rows_to_turns(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, layout of a table with one row for each turn, by the layout with the fingerprint of its columns.
+
+    Columns that no such layout knows do not count. A table that fits no layout, or two, is refused.
+    """
+    known = set(_known_paths(ROW_LAYOUTS))
+    shape = fingerprint([p for p in schema_paths(rows.schema) if p in known])
+    layout = {fingerprint(x.paths): x for x in ROW_LAYOUTS}.get(shape)
+    if layout is None:
+        raise ValueError(f"columns {rows.columns} fit no layout of turns")
+    names = ("conv_id", "turn", "role", "text")
+    return rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(layout.row, names, strict=True)], F.lit(layout.name).alias("layout"))
 
 
 def format_chat(turns: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, sized, text_or_empty
+from tidemark.llm.common import BROADCAST_ROWS, HEAVY_SHARE, join_by_skewed_key, materialize, sized, text_or_empty
 
 #: What is a word, once A-Z are lowered.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,18 +45,36 @@ def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, id_col: str, te
     return materialize(found.select("row", "doc_id", "pos", F.coalesce("term", F.lit(-1)).alias("term")), "postings")
 
 
-def find_windows(index: DataFrame, windows: DataFrame, terms: DataFrame, slop: int = 0) -> DataFrame:
+def _by_term(postings: DataFrame, own: DataFrame, count: int, tf: DataFrame, total: int) -> DataFrame:
+    """postings joined to window terms (own, ``count`` rows): by broadcast if these are few, else by term, where postings of a frequent term are dealt over several keys."""
+    if count <= BROADCAST_ROWS:
+        return postings.join(F.broadcast(own), "term")
+    limit = max(10_000, int(total * HEAVY_SHARE))
+    heavy = F.broadcast(tf.filter(F.col("tf") > limit).select("term", F.ceil(F.col("tf") / limit).cast("int").alias("deals")))  # at most 1 / HEAVY_SHARE terms
+    dealt = postings.join(heavy, "term", "left").withColumn("deal", F.pmod(F.xxhash64("row", "pos"), F.coalesce("deals", F.lit(1))).cast("int")).drop("deals")
+    copies = own.join(heavy, "term", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
+    return dealt.join(copies, ["term", "deal"]).drop("deal")
+
+
+def find_windows(index: DataFrame, windows: DataFrame, terms: DataFrame, n_terms: int, slop: int = 0) -> DataFrame:
     """Occurrences (row, start, wid, n) of windows; with slop, start is where the rarest term puts the window and exact says if all terms are in place."""
     postings = index.filter(F.col("term") >= 0).drop("doc_id")
-    tf = postings.groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-    places = windows.select("wid", F.size("words").alias("n"), F.posexplode("words").alias("offset", "word")).join(terms, "word").join(tf, "term", "left")
+    tf = materialize(postings.groupBy("term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+    total = tf.agg(F.sum("tf")).first()[0] or 0
+    spread = windows.select("wid", F.size("words").alias("n"), F.posexplode("words").alias("offset", "word"))
+    counted = terms.join(sized(tf, n_terms), "term", "left")  # terms are distinct, so none of them is a hot key
+    if n_terms <= BROADCAST_ROWS:
+        places = spread.join(F.broadcast(counted), "word")
+    else:
+        uses = spread.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+        places = join_by_skewed_key(spread, materialize(counted.join(uses, "word"), "counted-terms"), ["word"], "uses", spread.count()).drop("uses")
     by_rarity = Window.partitionBy("wid").orderBy("tf", "offset")
     whole = Window.partitionBy("wid")
     places = places.withColumn("absent", F.count(F.when(F.col("tf").isNull(), 1)).over(whole)).filter("absent = 0")
     places = materialize(places.select("wid", "n", "offset", "term", F.row_number().over(by_rarity).alias("rank")), "window-terms")
     count = places.count()
     own = places.filter("rank = 1").select("wid", "n", "term", F.col("offset").alias("lead"))
-    found = postings.join(sized(own, count), "term").select("row", (F.col("pos") - F.col("lead")).alias("start"), "wid", "n", F.lit(True).alias("exact")).filter("start >= 0")
+    found = _by_term(postings, own, count, tf, total).select("row", (F.col("pos") - F.col("lead")).alias("start"), "wid", "n", F.lit(True).alias("exact")).filter("start >= 0")
     around = F.sequence(F.lit(-slop), F.lit(slop))
     for rank in range(2, _EARLY + 1):
         found = materialize(found, "candidates")
@@ -94,8 +112,9 @@ def decontaminate(
     windows, owners = benchmark_windows(benchmark, n, item_col, item_text_col)
     terms = windows.select(F.explode("words").alias("word")).distinct()
     terms = materialize(terms.withColumn("term", F.monotonically_increasing_id()), "terms")
-    index = build_index(docs, terms, terms.count(), id_col, text_col, row)
-    found = materialize(find_windows(index, windows, terms, slop), "occurrences")
+    n_terms = terms.count()
+    index = build_index(docs, terms, n_terms, id_col, text_col, row)
+    found = materialize(find_windows(index, windows, terms, n_terms, slop), "occurrences")
     hit = found.select("row", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
     pairs = found.select("row", "wid").distinct().join(sized(owners, owners.count()), "wid").select("row", "item").distinct()
     items = pairs.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))

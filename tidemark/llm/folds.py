@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,16 +12,22 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(modulus))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_out: int, max_docs: int, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
-    """At most ``max_docs`` labelled documents outside the held-out fold, in the order of a hash of the id.
+def training_sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_out: int, max_docs: int, id_col: str, text_col: str, keep: list[str] = (), max_bytes: int = 64 << 20
+) -> DataFrame:
+    """_id, text, label and the columns ``keep`` of at most ``max_docs`` labelled documents outside the held-out fold, in the order of a hash of the id, and of at most ``max_bytes`` of text.
 
     The sample is the same for the same labels, whatever else the tables hold. Of several labels of an
-    id the largest counts; null labels and ids are left out.
+    id the largest counts, and of several rows that share an id one; null labels and ids are left out.
     """
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, modulus) != held_out))
-    picked = known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64(id_col), id_col).limit(max_docs)
-    wanted = F.broadcast(picked.withColumnRenamed(id_col, "_id"))  # max_docs narrow rows
-    return docs.join(wanted, F.col(f"`{id_col}`") == F.col("_id")).select("_id", F.col(f"`{text_col}`").cast("string").alias("text"), "label", *[F.col(f"`{c}`") for c in keep])
+    known = labels.filter(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & (fold(id_col, modulus) != held_out))
+    known = known.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+    picked = known.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
+    row = F.struct(F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
+    held = docs.select(F.col(f"`{id_col}`").alias("_id"), row.alias("doc")).join(F.broadcast(picked), "_id")  # max_docs narrow rows
+    one = held.groupBy("_id", "label").agg(F.min_by("doc", F.xxhash64("doc.text")).alias("doc"))
+    size = F.sum(F.octet_length(F.coalesce("doc.text", F.lit("")))).over(Window.orderBy(F.xxhash64("_id"), "_id"))  # at most max_docs rows
+    return one.withColumn("_size", size).filter(F.col("_size") <= max_bytes).select("_id", "label", "doc.*")
 
 
 def platt(logits: np.ndarray, labels: np.ndarray, steps: int = 200) -> tuple[float, float]:

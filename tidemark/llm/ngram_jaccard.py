@@ -5,8 +5,8 @@ representatives are cut into bands; those that agree on a band meet by a shuffle
 
 Pairs that met are verified once, in one of two exact ways. Where more than ``_DENSE`` representatives
 share a band, they are parts of a dense group (groups that share a member are one): its members are
-dealt into blocks, every two blocks are compared in a task of their own, and what leaves the task are
-link counts and a spanning forest, not pairs. All other pairs are listed, without repeats, and joined
+dealt into blocks, every two blocks meet in a task of their own, where those pairs are compared that
+share a band, and what leaves the task are link counts and a spanning forest, not pairs. All other pairs are listed, without repeats, and joined
 to the texts. Classes of documents are the connected components of verified links.
 """
 
@@ -92,11 +92,13 @@ def _sign(n: int, bands: int, rows: int):
                 starts = np.append(begin[some], begin[-1])
                 keys = signatures(grams, starts, bands, rows)
                 sets = [np.unique(grams[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                identity = np.array([mix(s).sum() ^ mix(s ^ np.uint64(len(s))).max() for s in sets], np.uint64)
+                identity = np.array([(mix(s).sum(), mix(s ^ _WEIGHTS[63]).sum() ^ np.uint64(len(s))) for s in sets], np.uint64)  # 128 bits of a set
+                ends = pa.py_buffer(np.arange(0, 16 * len(sets) + 1, 16, dtype=np.int32))
+                same = pa.Array.from_buffers(pa.binary(), len(sets), [None, ends, pa.py_buffer(identity.tobytes())])
                 own = pa.array(some + i)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").take(own), batch.column("id").take(own), pa.array(identity.view(np.int64)), lists], names=["row", "id", "same", "bands"]
+                    [batch.column("row").take(own), batch.column("id").take(own), same, lists], names=["row", "id", "same", "bands"]
                 )
 
     return task
@@ -149,7 +151,7 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify_units(n: int, threshold: float):
-    """Rows (unit, left boolean, right boolean, rep, size, text) sorted by unit; one unit is in memory at a time.
+    """Rows (unit, left boolean, right boolean, rep, size, bands, text) sorted by unit; one unit is in memory at a time. Pairs that share no band are left out, as they are elsewhere.
 
     Yields (a, b, weight): link weights of a with b null, and edges of a spanning forest with weight null.
     """
@@ -161,6 +163,11 @@ def _verify_units(n: int, threshold: float):
         both = _shared([sets[k] for k in left], [sets[k] for k in right])
         sizes = [np.array([len(sets[k]) for k in own], np.float32) for own in (left, right)]
         linked = both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both)
+        bands = np.array([r[5] for r in rows])
+        met = np.zeros(linked.shape, bool)
+        for k in range(bands.shape[1]):
+            met |= bands[left, k][:, None] == bands[right, k][None, :]
+        linked &= met
         reps, weight = np.array([r[3] for r in rows]), np.array([r[4] for r in rows], np.int64)
         linked &= reps[left][:, None] < reps[right][None, :] if left == right else True
         total = np.zeros(len(rows), np.int64)
@@ -189,14 +196,14 @@ def _verify_units(n: int, threshold: float):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows, texts = None, [], []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(5)]
+            columns = [batch.column(c).to_pylist() for c in range(6)]
             for k, row in enumerate(zip(*columns, strict=True)):
                 if row[0] != unit and rows:
                     yield verified(rows, texts)
                     rows, texts = [], []
                 unit = row[0]
                 rows.append(row)
-                texts.append(batch.column(5).slice(k, 1))
+                texts.append(batch.column(6).slice(k, 1))
         if rows:
             yield verified(rows, texts)
 
@@ -268,7 +275,7 @@ def drop_near_duplicates(
 
 def _join(keyed: DataFrame, n: int, threshold: float, bands: int, rows: int) -> DataFrame:
     kind = keyed.schema["id"].dataType.simpleString()
-    signed = materialize(keyed.mapInArrow(_sign(n, bands, rows), f"row long, id {kind}, same long, bands array<long>"), "signatures")
+    signed = materialize(keyed.mapInArrow(_sign(n, bands, rows), f"row long, id {kind}, same binary, bands array<long>"), "signatures")
     best = F.min(F.struct("id", "row", "bands")).alias("best")
     classes = signed.groupBy("same").agg(best, F.count(F.lit(1)).alias("size"))
     classes = materialize(classes.select("same", "size", F.col("best.row").alias("rep"), F.col("best.id").alias("id"), "best.bands"), "classes")
@@ -309,7 +316,7 @@ def _links(texts: DataFrame, classes: DataFrame, n: int, threshold: float) -> tu
     needed = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).unionByName(dense.select(F.col("rep").alias("row"))).distinct()
     needed = materialize(needed, "needed")
     held = texts.join(sized(needed, needed.count()), "row", "left_semi").withColumnRenamed("row", "rep")
-    held = materialize(held.join(classes.select("rep", "size"), "rep"), "needed-texts")
+    held = materialize(held.join(classes.select("rep", "size", "bands"), "rep"), "needed-texts")
     left, right = (held.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("text").alias(f"text_{c}")) for c in "ab")
     paired = pairs.join(left, "a").join(right, "b").select("text_a", "text_b", "a", "b", "size_a", "size_b")
     links = materialize(paired.mapInArrow(_verify_pairs(n, threshold), "a long, b long, size_a long, size_b long"), "links")
@@ -318,7 +325,7 @@ def _links(texts: DataFrame, classes: DataFrame, n: int, threshold: float) -> tu
     meets = dealt.select("rep", "group", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
     units = meets.select("rep", F.xxhash64("group", lo, hi).alias("unit"), (F.col("block") == lo).alias("left"), (F.col("block") == hi).alias("right"))
-    shipped = units.join(held, "rep").select("unit", "left", "right", "rep", "size", "text").repartition(partitions(texts.sparkSession), "unit").sortWithinPartitions("unit", "rep")
+    shipped = units.join(held, "rep").select("unit", "left", "right", "rep", "size", "bands", "text").repartition(partitions(texts.sparkSession), "unit").sortWithinPartitions("unit", "rep")
     found = materialize(shipped.mapInArrow(_verify_units(n, threshold), "a long, b long, weight long"), "dense-links")
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(found.filter("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     weights = (

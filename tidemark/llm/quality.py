@@ -136,9 +136,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 5, held_out: int = 0, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Train on at most ``max_docs`` labelled documents, which the driver gets as buckets and shares."""
     sample = training_sample(docs, labels, label_col, modulus, held_out, max_docs, id_col, text_col)
-    rows = sample.mapInArrow(_features, "ids binary, share binary, label int, id long").collect()  # at most max_docs
-    rows.sort(key=lambda r: (r["id"], r["ids"]))
+    sample = sample.select(F.col("_id").cast("string").alias("_id"), "text", "label")
+    rows = sample.mapInArrow(_features, "ids binary, share binary, label int, id string").collect()  # at most max_docs
+    rows.sort(key=lambda r: (len(r["id"]), r["id"], r["ids"]))
     return train([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32), r["label"]) for r in rows])
 
 
@@ -146,25 +148,25 @@ def _score(model):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            raw, at = utf8(b.column(b.num_columns - 1))
-            score = np.concatenate([m.scores(raw[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(np.diff(at), _BYTES)]) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*b.schema.names[:-1], "score"])
+            raw, at = utf8(b.column("text"))
+            found = np.concatenate([m.scores(raw[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(np.diff(at), _BYTES)]) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("kept"), pa.array(found)], names=["kept", "score"])
 
     return task
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and score double: the probability of quality 1.
+def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
+    """kept (a struct of the columns ``keep``, whatever their names) and score double: the probability of quality 1.
 
     Every whole text is scored; null counts as empty, and an empty text has the score of the output's
     bias. Without labels of both kinds all scores are that of the one kind (0 without any).
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"{schema}, score double")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"kept {rows.schema['kept'].dataType.simpleString()}, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, score, held_out, for every row of docs."""
-    scored = score(docs, fit(docs, labels, modulus=modulus, held_out=held_out, id_col=id_col), [id_col])
-    return scored.withColumn("held_out", F.coalesce(fold(id_col, modulus) == held_out, F.lit(False)))
+    """The id column (of any type), score, held_out, for every row of docs."""
+    found = scored(docs, fit(docs, labels, modulus=modulus, held_out=held_out, id_col=id_col), [id_col])
+    found = found.select(F.col(f"kept.`{id_col}`").alias(id_col), "score")
+    return found.withColumn("held_out", F.coalesce(fold(id_col, modulus) == held_out, F.lit(False)))

@@ -44,9 +44,32 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = _table(spark, sf_dir, "conversations")
     own = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
-    return chat.chat_digest(chat.rows_to_turns(rows.unionByName(own)))
+    return chat.chat_digest(chat.rows_to_turns(rows.unionByName(own, allowMissingColumns=True)))
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    """conv_id, record: each conversation as JSON, by its id in one of three layouts."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    one = rows.groupBy("conv_id").agg(turns.alias("t"))
+
+    def record(layout: str, role: str, text: str, human: str, reply: str):
+        said = lambda r: F.when(r == "user", human).when(r == "assistant", reply).otherwise(r)
+        items = F.transform("t", lambda x: F.struct(said(x["role"]).alias(role), x["text"].alias(text), F.lit(1).alias("weight")))
+        return F.to_json(F.struct(F.col("conv_id").cast("string").alias("record_id"), items.alias(layout)))
+
+    by = F.pmod("conv_id", F.lit(3))
+    chosen = F.when(by == 0, record("messages", "role", "content", "user", "assistant")).when(by == 1, record("conversations", "from", "value", "human", "gpt")).otherwise(record("turns", "role", "text", "user", "assistant"))
+    return one.select("conv_id", chosen.alias("record"))
+
+
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 gives, from conversations as JSON records of three layouts, with the layout found."""
+    rows = _table(spark, sf_dir, "conversations").withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+    turns = chat.records_to_turns(_records(rows), "conv_id", "record")
+    layouts = turns.groupBy("conv_id").agg(F.first("layout").alias("layout"))
+    return chat.chat_digest(turns).join(layouts, "conv_id").select("conv_id", "layout", "n_turns", "turns_sha256", "loss_sha256")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_format": op5_chat_format,
+    "chat_layouts": chat_layouts,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
@@ -88,6 +112,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_suffix_dedup": r"""
+        WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+        s AS (SELECT r, i, substr(h, 2 * i + 1, 200) AS g FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+        a AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY g ORDER BY r, i) AS k FROM s) WHERE k > 1),
+        e AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS step FROM a),
+        p AS (SELECT r, i, sum(CASE WHEN step <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS span FROM e),
+        m AS (SELECT r, span, min(i) AS b, max(i) + 100 AS z FROM p GROUP BY r, span),
+        q AS (SELECT r, b, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY b) AS before FROM m),
+        k AS (SELECT q.r, sum(z - b) AS gone, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) AS head, max(z) AS last FROM q JOIN d USING (r) GROUP BY q.r)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+            sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN k USING (r)
+    """,
     "op2_line_dedup": r"""
         WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, text, string_split(text, chr(10)) AS lines FROM documents),
         w AS (SELECT r, i, least(len(lines), 3) AS n, array_to_string(lines[i : i + 2], chr(10)) AS body FROM (SELECT r, lines, unnest(range(1, greatest(2, len(lines) - 1))) AS i FROM d WHERE text IS NOT NULL)),
@@ -117,6 +154,13 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
     """,
+    "chat_layouts": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+        SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'messages' WHEN 1 THEN 'from_value' ELSE 'turns' END AS layout, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256
+        FROM c GROUP BY conv_id
+    """,
     "op6_decontamination": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

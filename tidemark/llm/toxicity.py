@@ -171,40 +171,49 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), b.column("label").slice(k, 1), b.column("lang").slice(k, 1), b.column("_id").slice(k, 1)], names=["ids", "label", "lang", "id"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 3, held_out: int = 1, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    sample = training_sample(docs, labels, label_col, modulus, held_out, max_docs, id_col, text_col, [lang_col])
-    sample = sample.select("_id", "text", "label", F.col(lang_col).cast("string").alias("lang"))
-    rows = sample.mapInArrow(_features, "ids binary, label int, lang string, id long").collect()  # at most max_docs
-    rows.sort(key=lambda r: (r["id"], r["ids"]))
-    return train([(np.frombuffer(r["ids"], np.int32).reshape(-1, 1 + len(STEMS)), r["label"], r["lang"]) for r in rows])
+def fit(
+    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 3, held_out: int = 1, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang"
+) -> Model:
+    """Train on at most ``max_docs`` labelled documents, which the driver gets as word buckets. Without a language column there is one threshold for all."""
+    lang = F.lit(None) if lang_col is None or lang_col not in docs.columns else F.col(f"`{lang_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), lang.cast("string").alias("_lang"))
+    sample = training_sample(rows.withColumnRenamed("_id", id_col), labels, label_col, modulus, held_out, max_docs, id_col, "_text", ["_lang"])
+    sample = sample.select(F.col("_id").cast("string").alias("_id"), "text", "label", F.col("_lang").alias("lang"))
+    got = sample.mapInArrow(_features, "ids binary, label int, lang string, id string").collect()  # at most max_docs
+    got.sort(key=lambda r: (len(r["id"]), r["id"], r["ids"]))
+    return train([(np.frombuffer(r["ids"], np.int32).reshape(-1, 1 + len(STEMS)), r["label"], r["lang"]) for r in got])
 
 
 def _score(model):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            raw, at = utf8(b.column("_text"))
-            score = np.concatenate([m.scores(raw[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(np.diff(at), _BYTES)]) if b.num_rows else np.zeros(0)
-            langs = b.column("_lang").to_pylist()
-            limit = np.array([m.thresholds.get(x, m.threshold) for x in langs], np.float64)
-            kept = [c for c, n in zip(b.columns, b.schema.names, strict=True) if n not in ("_text", "_lang")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(score), pa.array(limit)], names=[*[n for n in b.schema.names if n not in ("_text", "_lang")], "score", "threshold"])
+            raw, at = utf8(b.column("text"))
+            found = np.concatenate([m.scores(raw[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(np.diff(at), _BYTES)]) if b.num_rows else np.zeros(0)
+            limit = np.array([m.thresholds.get(x, m.threshold) for x in b.column("lang").to_pylist()], np.float64)
+            yield pa.RecordBatch.from_arrays([b.column("kept"), pa.array(found), pa.array(limit)], names=["kept", "score", "threshold"])
 
     return task
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The columns ``keep``, score double, threshold double (of the row's language; the overall one where that is unknown).
+def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """kept (a struct of the columns ``keep``, whatever their names), score double, threshold double (of the row's language; the overall one where that is unknown).
 
     Every whole text is scored; null counts as empty, and a text without words gets the score of
     padding alone. Without labels of both kinds all scores are that of the one kind (0 without any).
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_text"), F.col(f"`{lang_col}`").cast("string").alias("_lang"))
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"{schema}, score double, threshold double")
+    lang = F.lit(None) if lang_col is None or lang_col not in docs.columns else F.col(f"`{lang_col}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text_col}`").cast("string").alias("text"), lang.cast("string").alias("lang"))
+    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"kept {rows.schema['kept'].dataType.simpleString()}, score double, threshold double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, score, threshold, for every row of docs."""
-    scored = score(docs, fit(docs, labels, modulus=modulus, held_out=held_out, id_col=id_col), [id_col])
-    return scored.withColumn("held_out", F.coalesce(fold(id_col, modulus) == held_out, F.lit(False)))
+    """The id column (of any type), held_out, score, threshold, for every row of docs."""
+    found = scored(docs, fit(docs, labels, modulus=modulus, held_out=held_out, id_col=id_col), [id_col])
+    found = found.select(F.col(f"kept.`{id_col}`").alias(id_col), "score", "threshold")
+    return found.withColumn("held_out", F.coalesce(fold(id_col, modulus) == held_out, F.lit(False)))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold of their language."""
+    return scored(docs, fit(docs, labels), docs.columns).filter(F.col("score") < F.col("threshold")).select("kept.*")
