@@ -33,9 +33,7 @@ def _end(before: list[str], result: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of their language stay."""
     before = _begin(spark)
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, docs.columns)
-    return _end(before, scored.filter(F.col("score") < F.col("threshold")).select(*docs.columns))
+    return _end(before, toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
