@@ -185,3 +185,21 @@ def test_queries_without_sql(spark, folder, outputs, name):
         label = {i: t if name.startswith("op7") else q for i, q, t in labels}
         right = [r["predicted"] == label[r["doc_id"]] for r in got if r["doc_id"] in label]
         assert all(0 <= r["score"] <= 1 for r in got) and np.mean(right) > 0.85
+
+
+def test_stages_with_clashing_columns_repeated_ids_and_no_rows(spark, folder, tmp_path):
+    """Extra columns named like inner ones stay as they are through all stages but the last."""
+    docs = [(k % 30, f"some words of text number {k} and more of them {k % 7}", "en", "s", 5, 0.5, "t", 1, 2, "r", None) for k in range(60)]
+    extra = "score double, _text string, row long, hash long, doc string, spans int"
+    d = spark.createDataFrame(docs, f"{SCHEMA}, {extra}")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (d, d.limit(0)):
+            out = stage(spark, rows, str(tmp_path))
+            assert name == "packing" or out.columns == d.columns
+            path = str(tmp_path / f"{name}-{rows is d}")
+            out.write.parquet(path)
+            assert (spark.read.parquet(path).count() > 0) == (rows is d)
+        d = spark.read.parquet(str(tmp_path / f"{name}-True"))

@@ -207,6 +207,24 @@ def test_scores_by_plain_loops():
         assert abs(model.scores(b, at)[0] - 1 / (1 + np.exp(-(model.slope * logit + model.offset)))) < 1e-3
 
 
+def test_quality_scores_by_plain_loops():
+    docs, labels = corpus(60)
+    learned = []
+    for (_, t, *_), (_, y, _) in zip(docs, labels, strict=True):
+        ids, share = [], []
+        for kind, (own, _) in enumerate(quality.featurize(*raw(t))):
+            for bucket in sorted(set(own.tolist())):
+                ids.append(bucket + kind * quality.BUCKETS)
+                share.append(own.tolist().count(bucket) / len(own))
+        learned.append((np.array(ids, np.int32), np.array(share, np.float32), y))
+    model = quality.train(learned, epochs=3)
+    for t in [*(t for _, t, *_ in docs[:30]), "", "#"]:
+        logit = model.bias
+        for kind, (own, _) in enumerate(quality.featurize(*raw(t))):
+            logit += sum(float(model.weights[kind, k]) for k in own.tolist()) / max(1, len(own))
+        assert abs(model.scores(*raw(t))[0] - 1 / (1 + np.exp(-(model.slope * logit + model.offset)))) < 1e-6
+
+
 @pytest.mark.parametrize("run", [toxicity.toxicity, quality.quality])
 def test_labels_of_one_kind_or_none(labelled, run):
     docs, labels = labelled
