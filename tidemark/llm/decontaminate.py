@@ -13,18 +13,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, HEAVY_SHARE, join_by_skewed_key, materialize, sized, text_or_empty
+from tidemark.llm.common import BROADCAST_ROWS, HEAVY_SHARE, join_by_skewed_key, lower_az, materialize, sized, text_or_empty
 
-#: What is a word, once A-Z are lowered.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Fixed value: what stands between words, once A-Z are lowered.
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Terms, from the rarest on, whose postings are joined one by one before the rest.
 _EARLY = 3
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(f"({WORD})"), F.lit(1))
+    return F.array_remove(F.split(lower_az(text), _BETWEEN), "")
 
 
 def benchmark_windows(benchmark: DataFrame, n: int, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_by_skewed_key, materialize, mix, partitions, scratch_path, text_or_empty
+from tidemark.llm.common import join_by_skewed_key, lower_az, materialize, mix, partitions, scratch_path, text_or_empty
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Positions within a segment fit 16 bits.
 _SEGMENT_BITS = 1 << 16
 _LEAST_BITS = 1 << 19
@@ -133,7 +132,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     total = docs.count()
-    text = F.translate(text_or_empty(text_col), _UPPER, _LOWER)
+    text = lower_az(text_or_empty(text_col))
     hashed = (
         docs.select(F.col(f"`{id_col}`").alias("id"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
         .withColumn("hash", F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long"))
