@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Partitions of a training sample.
+SAMPLE_PARTS = 16
+
 
 def fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
@@ -27,7 +30,8 @@ def training_sample(
     held = docs.select(F.col(f"`{id_col}`").alias("_id"), row.alias("doc")).join(F.broadcast(picked), "_id")  # max_docs narrow rows
     one = held.groupBy("_id", "label").agg(F.min_by("doc", F.xxhash64("doc.text")).alias("doc"))
     size = F.sum(F.octet_length(F.coalesce("doc.text", F.lit("")))).over(Window.orderBy(F.xxhash64("_id"), "_id"))  # at most max_docs rows
-    return one.withColumn("_size", size).filter(F.col("_size") <= max_bytes).select("_id", "label", "doc.*")
+    bounded = one.withColumn("_size", size).filter(F.col("_size") <= max_bytes).select("_id", "label", "doc.*")
+    return bounded.repartition(SAMPLE_PARTS, "_id")  # so that what is made of the sample is made in parallel and reaches the driver in small results
 
 
 def platt(logits: np.ndarray, labels: np.ndarray, steps: int = 200) -> tuple[float, float]:
