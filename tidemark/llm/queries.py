@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, exact_dedup, line_dedup, ngram_jaccard, packing, quality, suffix_dedup, token_store, toxicity
+from tidemark.llm import chat, conversation_repair, decontaminate, exact_dedup, line_dedup, ngram_jaccard, packing, prefix_trie, quality, simhash, suffix_dedup, token_store, toxicity
 from tidemark.llm.common import scratch_path
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -97,6 +97,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.share_heads(prefix_trie.turn_sequences(_table(spark, sf_dir, "conversations"))))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversation_repair.repair(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
+    said = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(said.cast("binary"), 256).alias("repaired_sha256"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_dedup(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_line_dedup": op2_line_dedup,
@@ -109,9 +124,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_simhash": op13_simhash,
 }
 
+#: CRC-32 of the ASCII text {0} in DuckDB: eight steps for each byte.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295::BIGINT)"
+
+
+
+def _repair_sql() -> str:
+    """Best edits row by row from each conversation's end, for the four states of the grammar: cost, audit and repaired turns as structs that compare in that order."""
+    here = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    way = "{{'c': {c}, 'a': '{e}' || r.f{q}.a, 'o': {o}r.f{q}.o}}"
+    states = []
+    for state, keeps in here.items():
+        to = 3 if state == 2 else 2
+        role = "assistant" if to == 3 else "user"
+        kept = "".join(f" WHEN w.initial = '{i}' THEN " + way.format(c=f"r.f{q}.c + w.extra", e="K", q=q, o="[w.role || ':' || w.text] || ") for i, q in keeps.items())
+        never = "{'c': 1000000000, 'a': '', 'o': []::VARCHAR[]}"
+        renamed = way.format(c=f"r.f{to}.c + 3 + w.extra", e="R", q=to, o=f"['{role}:' || w.text] || ")
+        states.append(f"list_min([{way.format(c=f'r.f{state}.c + 4', e='D', q=state, o='')}, CASE WHEN w.goes THEN {never}{kept} ELSE {never} END, CASE WHEN w.goes THEN {never} ELSE {renamed} END]) AS g{state}")
+    insert = lambda q, role, f: f"list_min([g{q}, {{'c': {f}.c + 3, 'a': 'I' || {f}.a, 'o': ['{role}:'] || {f}.o}}])"
+    third = "(" + insert(2, "assistant", "g3") + ")"
+    last = f"{insert(0, 'user', third)} AS f0, {insert(1, 'user', third)} AS f1, {third} AS f2, {insert(3, 'user', 'g2')} AS f3"
+    end = ", ".join(f"{{'c': {c}::BIGINT, 'a': '{a}', 'o': {o}::VARCHAR[]}} AS f{q}" for q, c, a, o in ((0, 0, "", "[]"), (1, 6, "II", "['user:', 'assistant:']"), (2, 3, "I", "['assistant:']"), (3, 0, "", "[]")))
+    crc = _CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+    return rf"""
+        WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS kind FROM conversations),
+        d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(CASE kind WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM c),
+        n AS (SELECT *, row_number() OVER o AS i, left(role, 1) AS initial, lag(left(role, 1)) OVER o AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+            NOT regexp_matches(text, '[^ 	-]') AS blank, NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut FROM d WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+        w AS (SELECT *, blank OR again AS goes, CASE WHEN cut AND NOT blank AND NOT again THEN 3 ELSE 0 END AS extra FROM n),
+        r AS (SELECT conv_id, max(i) AS i, {end} FROM w GROUP BY conv_id
+            UNION ALL SELECT conv_id, i - 1, {last} FROM (SELECT r.conv_id, r.i, {', '.join(states)} FROM r JOIN w ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i)),
+        t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (extra > 0) AS truncated,
+            count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY conv_id)
+        SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(f0.c, 0) AS cost, coalesce(f0.a, '') AS audit, sha256(coalesce(array_to_string(f0.o, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN t ON k.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN r ON k.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = 0
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_prefix_trie": rf"""
+        WITH s AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (SELECT *, {_CRC32.format("c::VARCHAR")} % 4 AS h FROM s),
+        b AS (SELECT h.c, coalesce(s.own[1 : h.h], []) || h.own[h.h + 1 :] AS turns FROM h LEFT JOIN s ON s.c = h.c - h.c % 20),
+        p AS (SELECT c, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS d, turns FROM b),
+        k AS (SELECT turns[1 : d] AS path, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CASE WHEN n = d THEN c::VARCHAR END, ',' ORDER BY c), '') AS ends FROM p GROUP BY ALL),
+        f AS (SELECT k.*, u.conv_id AS parent_conv_id, (n_convs - 1) * CASE WHEN k.d = 0 THEN 0 ELSE len(regexp_extract_all(k.path[-1].t, '[^\x20\x09-\x0D]+')) END AS saved FROM k LEFT JOIN (SELECT path, conv_id FROM k) u ON k.d > 0 AND u.path = k.path[1 : k.d - 1]),
+        g AS (SELECT path, count(*) AS n FROM (SELECT path[1 : d - 1] AS path FROM k WHERE d > 0) GROUP BY path),
+        j AS (SELECT f.*, coalesce(g.n, 0) AS n_children FROM f LEFT JOIN g USING (path)),
+        t AS (SELECT path[1 : e] AS path, sum(saved) AS saved_tokens, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves FROM (SELECT path, saved, n_children, unnest(range(0, d + 1)) AS e FROM j) GROUP BY ALL)
+        SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256 FROM j JOIN t USING (path)
+    """,
+    "op12_conversation_repair": _repair_sql(),
     "op8_suffix_dedup": r"""
         WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
         s AS (SELECT r, i, substr(h, 2 * i + 1, 200) AS g FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
