@@ -109,7 +109,7 @@ def test_files(spark, tmp_path):
     path = tables.write_clean(df, str(tmp_path / "out"), "org", "ds")
     assert spark.read.parquet(path).count() == 2
     tables.delete(spark, path)
-    assert not (tmp_path / "out/org/ds").exists()
+    assert not (tmp_path / "out/org/ds/clean").exists()
 
 
 def _dated_workbook() -> bytes:
@@ -161,6 +161,21 @@ def test_uploads():
         tables.contained("/data", "..", "x")
 
 
+def test_raw_bytes_survive_cleaning_and_a_dataset_opens_as_what_it_is(spark, tmp_path):
+    base, content = str(tmp_path / "base"), b"Order ID,City\n1,Lund\n1,Lund\n2,Turku\n"
+    with pytest.raises(FileNotFoundError):
+        tables.open_dataset(spark, base, "o", "d")
+    tables.ingest(spark, content, base, "o", "d", "orders.csv")
+    raw, cleaned = tables.open_dataset(spark, base, "o", "d")
+    assert raw.count() == 3 and not cleaned
+    named, _ = clean.normalize_names(raw)
+    for fmt in ("parquet", "csv"):
+        tables.write_clean(named.dropDuplicates(), base, "o", "d", fmt)
+        opened, cleaned = tables.open_dataset(spark, base, "o", "d")
+        assert cleaned and opened.columns == ["Order ID", "City"] and sorted(tuple(r) for r in opened.collect()) == [(1, "Lund"), (2, "Turku")]
+    assert (tmp_path / "base/o/d/raw/orders.csv").read_bytes() == content
+
+
 def test_resolve(spark):
     raw, cleaned = spark.createDataFrame([(1,)], "`Order ID` long"), spark.createDataFrame([(1,)], "order_id long")
     got, is_clean = tables.resolve(raw, cleaned, {"Order ID": "order_id"})

@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.snapshots import SCOPE, ResultTable
+
 
 def in_scope(org: str, dataset: str, metric: str, low: date | None = None, high: date | None = None, when: str = "bucket") -> Column:
     own = (F.col("org_id") == org) & (F.col("dataset_id") == dataset) & (F.col("metric") == metric)
@@ -58,17 +60,14 @@ def sync_columns(catalog: DataFrame, profile: DataFrame, dataset: str) -> DataFr
     return replace(catalog, new, F.col("dataset_id") == dataset)
 
 
-SCOPE = ["org_id", "dataset_id", "metric"]
-
-
-def save(new: DataFrame, path: str) -> None:
-    """Write result rows so that each scope they hold is replaced and all others stay: scopes are folders, and only theirs are written."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SCOPE).parquet(path)
+def save(new: DataFrame, path: str, scopes: list[tuple[str, str, str]] | None = None) -> int:
+    """Replace the rows of scopes (by default those that new holds) by new's in the versioned table under a path; all others stay. A scope that is named and has no new rows is emptied."""
+    return ResultTable(new.sparkSession, path, new.schema).replace_all(new, scopes)
 
 
-def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows saved under a path; filters on the scope read its folder alone."""
-    return spark.read.schema(schema).parquet(path)
+def load(spark: SparkSession, path: str, schema: str, org: str | None = None) -> DataFrame:
+    """The newest rows saved under a path; of an organisation, from its folders alone."""
+    return ResultTable(spark, path, schema).read(org)
 
 
 def with_id(results: DataFrame, when: str = "bucket") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import NULL_TOKENS
+from tidemark.operators.clean import normalize_name
 
 #: Fixed values of the interface.
 MAX_UPLOAD = 50 * 1024 * 1024
@@ -248,13 +249,35 @@ def validate_upload(content: bytes, name: str, mime: str | None = None) -> tuple
 
 
 def write_clean(df: DataFrame, base: str, org: str, dataset: str, fmt: str = "parquet") -> str:
-    """The cleaned table under {base}/{org}/{dataset}, replacing an earlier one."""
-    path = contained(base, org, dataset)
+    """The cleaned table under {base}/{org}/{dataset}/clean, replacing an earlier one; the raw upload beside it stays."""
+    path = contained(base, org, dataset, "clean")
     writer = df.write.mode("overwrite")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
     return path
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Files of a folder, by name, none if it is not there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", "."))) if fs.exists(at) else []
+
+
+def open_dataset(spark: SparkSession, base: str, org: str, dataset: str) -> tuple[DataFrame, bool]:
+    """A dataset from its folders: the cleaned table under the headers of the raw upload if it was cleaned (and whether so), else the upload."""
+    raw_folder, clean_folder = contained(base, org, dataset, "raw"), contained(base, org, dataset, "clean")
+    uploads = _files(spark, raw_folder)
+    if not uploads:
+        raise FileNotFoundError(f"{dataset} has no upload")
+    path = f"{raw_folder}/{uploads[-1]}"
+    raw = read_xlsx(spark, path) if path.lower().endswith(".xlsx") else read_csv(spark, path)
+    parts = _files(spark, clean_folder)
+    if not parts:
+        return raw, False
+    cleaned = read_csv(spark, clean_folder) if parts[0].endswith(".csv") else spark.read.parquet(clean_folder)
+    return resolve(raw, cleaned, {c: normalize_name(c) for c in raw.columns})
+
+
 def delete(spark: SparkSession, *paths: str) -> None:
     """Delete artifacts wherever Spark can reach them; what is not there is no error."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
