@@ -1,17 +1,19 @@
-"""Small inputs with known answers: bike rentals, and a daily series with a weekly shape."""
+"""Small inputs with known answers: readings of river gauges, and a daily series with a weekly shape."""
 
 from datetime import date, timedelta
 
-RENTALS = [
-    ("R01", "K7", "tandem", 12.0, 3, 36.0, "closed", "Harbour", "2023-05-02"),
-    ("R02", "K2", "city", 4.5, 2, 9.0, "closed", "Mill", "2023-05-09"),
-    ("R03", "K7", "cargo", 9.0, 5, 45.0, "open", "Harbour", "2023-06-01"),
-    ("R04", "K1", "city", 4.5, 6, 27.0, "closed", "Airport", "2023-06-17"),
-    ("R05", "K5", "tandem", 12.0, 1, 12.0, "void", "Mill", "2023-06-30"),
-    ("R06", "K2", "cargo", 9.0, 8, 72.0, "closed", "Harbour", "2023-08-04"),
-    ("R07", "K9", "city", 5.0, 4, 20.0, "open", "Airport", "2023-08-05"),
+GAUGES = [
+    ("Aire", date(2022, 11, 3), 1.25, 40, False),
+    ("Aire", date(2022, 11, 20), 2.75, 95, True),
+    ("Aire", date(2023, 1, 8), 3.5, 120, True),
+    ("Wye", date(2022, 11, 3), 0.5, 15, False),
+    ("Wye", date(2023, 1, 8), 1.0, None, False),
+    ("Tees", date(2022, 12, 24), 2.0, 60, False),
+    ("Tees", date(2023, 1, 9), 4.0, 210, True),
+    ("Tees", date(2023, 1, 31), None, 30, False),
+    ("Exe", date(2023, 2, 2), 1.5, 20, None),
 ]
-RENTALS_SCHEMA = "rental_id string, rider_id string, bike string, rate double, hours long, fare double, state string, station string, pickup_date string"
+GAUGES_SCHEMA = "river string, taken date, depth double, silt long, flood boolean"
 
 SHAPE = (3, -2, 0, 5, 8, -6, 1)
 START = date(2023, 3, 6)

@@ -2,7 +2,7 @@
 
 A built-in exact percentile keeps all distinct values of a column in one task. Here a column's values
 are counted, cut into ranges at approximate quantiles, and summed up within each range; only the sums
-of the ranges are put in order together. There is a range for every ``PER_RANGE`` counted values.
+of the ranges are put in order together. Nothing is run when a plan is made.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import number
 
-PER_RANGE, MOST_RANGES = 100_000, 10_000
+#: Ranges of a column's or group's values; each is sorted by a task that may spill.
+RANGES = 64
+#: Rows of a group whose median one task may find; there are at most a row in so many such groups beyond.
+LARGE = 1_000_000
 
 
 def below(counts: DataFrame, keys: list[str]) -> DataFrame:
     """counts (keys, value, n: a row for each value) with below: how many values of the key are smaller."""
-    ranges = min(MOST_RANGES, max(2, -(-counts.count() // PER_RANGE)))
-    edges = F.percentile_approx("value", [i / ranges for i in range(1, ranges)], max(1000, 2 * ranges))
-    cut = counts.groupBy(*keys).agg(edges.alias("_edges"))  # a row for each key
+    edges = F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 1000)
+    cut = counts.groupBy(*keys).agg(edges.alias("_edges"))  # a row for each key: named columns, or groups of over LARGE rows
     parted = (counts.join(F.broadcast(cut), keys) if keys else counts.join(F.broadcast(cut))).withColumn("_part", F.size(F.filter("_edges", lambda e: e <= F.col("value")))).drop("_edges")
     sums = parted.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))
     order = Window.partitionBy(*keys).orderBy("_part")
@@ -47,3 +49,20 @@ def quantiles(df: DataFrame, names: list[str], probabilities: list[float]) -> Da
         out.append(F.col(f"lo{k}") * (1 - share) + F.col(f"hi{k}") * share)
     one = placed.groupBy("column").agg(F.max("_last").alias("last"), *picked)
     return one.select("column", F.array(*out).alias("q"))
+
+
+def medians(rows: DataFrame, keys: list[str], large: int = LARGE) -> DataFrame:
+    """keys, median: the exact median of rows (keys, value) by key, nulls left out.
+
+    A group of up to ``large`` rows is held by one task. The values of a larger one are counted and
+    dealt by range, so no task holds them; such groups are few, as each takes ``large`` rows.
+    """
+    known = rows.filter(F.col("value").isNotNull())
+    wide = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > large).select(*keys)
+    small = known.join(F.broadcast(wide), keys, "left_anti").groupBy(*keys).agg(F.median("value").alias("median"))
+    counts = known.join(F.broadcast(wide), keys, "left_semi").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(*keys).agg((F.sum("n") - 1).alias("_last"))
+    placed = below(counts, keys).join(F.broadcast(totals), keys)
+    picked = [F.max(F.when((F.col("below") <= r) & (r < F.col("below") + F.col("n")), F.col("value"))) for r in (F.floor(F.col("_last") / 2), F.ceil(F.col("_last") / 2))]
+    found = placed.groupBy(*keys).agg(picked[0].alias("_lo"), picked[1].alias("_hi"))
+    return small.unionByName(found.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias("median")))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.expressions import aggregate_of, is_moment, is_numeric, kind, moment, number, r2, r4
-from tidemark.functions.quantiles import below, quantiles
+from tidemark.functions.quantiles import below, medians, quantiles
 from tidemark.operators.filters import apply_filters, require
 from tidemark.plans.requests import AggregationQuery, BreakdownQuery, CrossTabQuery, Metric
 
@@ -44,15 +47,35 @@ def _scalar_value(df: DataFrame, m: Metric) -> Column:
     return r4(F.coalesce(value, F.lit(0.0)))
 
 
+def _grouped(kept: DataFrame, keys: dict[str, Column], metrics: list[Metric]) -> DataFrame:
+    """keys and a column for each metric; medians are found apart, where no task has to hold a group, and joined."""
+    middle = [m for m in metrics if m.aggregation == "median" and not is_moment(kind(kept, m.column))]
+    plain = [m for m in metrics if m not in middle]
+    if not middle:
+        return kept.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(*[_grouped_value(kept, m).alias(m.label) for m in plain])
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(keys.values())]).alias("_key")  # nulls within a struct are equal
+    made = kept.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *[_grouped_value(kept, m).alias(m.label) for m in plain])
+    for m in middle:
+        found = medians(kept.select(key, number(kept, m.column).alias("value")), ["_key"])
+        made = made.join(found.select("_key", r4(F.col("median")).alias(m.label)), "_key", "left")
+    return made.select(*[F.col(f"_key.k{i}").alias(k) for i, k in enumerate(keys)], *[F.col(f"`{m.label}`") for m in metrics])
+
+
 def groups(df: DataFrame, query: AggregationQuery) -> DataFrame:
     """All groups before paging. Null keys form groups; without dimensions there is one row, or none without rows."""
     require(df, query.dimensions)
     check_metrics(df, query.metrics)
     kept = apply_filters(df, query.filters)
     if not query.dimensions:
-        one = kept.agg(*[_scalar_value(kept, m).alias(m.label) for m in query.metrics], F.count(F.lit(1)).alias("_rows"))
-        return one.filter("_rows > 0").drop("_rows")
-    return kept.groupBy(*[F.col(f"`{d}`") for d in query.dimensions]).agg(*[_grouped_value(kept, m).alias(m.label) for m in query.metrics])
+        plain = [m for m in query.metrics if m.aggregation != "median"]
+        one = kept.agg(*[_scalar_value(kept, m).alias(m.label) for m in plain], F.count(F.lit(1)).alias("_rows")).filter("_rows > 0").drop("_rows")
+        middle = [m for m in query.metrics if m.aggregation == "median"]
+        if middle:
+            halves = quantiles(kept, list(dict.fromkeys(m.column for m in middle)), [0.5])
+            found = halves.agg(*[F.coalesce(r4(F.max(F.when(F.col("column") == m.column, F.col("q")[0]))), F.lit(0.0)).alias(m.label) for m in middle])
+            one = one.join(F.broadcast(found))  # one row
+        return one.select(*[F.col(f"`{m.label}`") for m in query.metrics])
+    return _grouped(kept, {d: F.col(f"`{d}`") for d in query.dimensions}, query.metrics)
 
 
 def aggregate(df: DataFrame, query: AggregationQuery) -> DataFrame:
@@ -134,8 +157,12 @@ def breakdown(df: DataFrame, query: BreakdownQuery) -> DataFrame:
     kept = kept.filter(F.col(f"`{query.dimension}`").isNotNull())
     if query.metric:
         check_metrics(df, [query.metric])
-    value = F.count(F.lit(1)).cast("double") if query.metric is None else _grouped_value(kept, query.metric).cast("double")
-    made = kept.groupBy(F.col(f"`{query.dimension}`").cast("string").alias("category")).agg(value.alias("value")).filter(F.col("value").isNotNull())
+    category = F.col(f"`{query.dimension}`").cast("string")
+    if query.metric is None:
+        made = kept.groupBy(category.alias("category")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    else:
+        made = _grouped(kept, {"category": category}, [query.metric]).toDF("category", "value").select("category", F.col("value").cast("double").alias("value"))
+    made = made.filter(F.col("value").isNotNull())
     total = made.agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n_groups"))
     top = made.orderBy(F.desc("value"), "category").limit(query.top_n)
     rows = top
@@ -153,8 +180,11 @@ def crosstab(df: DataFrame, query: CrossTabQuery) -> DataFrame:
     kept = apply_filters(df, query.filters)
     kept = kept.filter(F.col(f"`{query.row}`").isNotNull() & F.col(f"`{query.column}`").isNotNull())
     named = kept.withColumns({"_row": F.col(f"`{query.row}`").cast("string"), "_column": F.col(f"`{query.column}`").cast("string")})
-    value = F.count(F.lit(1)).cast("double") if query.metric is None else _grouped_value(kept, query.metric).cast("double")
-    cells = named.groupBy("_row", "_column").agg(value.alias("value")).limit(MAX_AXIS * MAX_AXIS + 1).collect()  # one more than a grid may have
+    if query.metric is None:
+        made = named.groupBy("_row", "_column").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    else:
+        made = _grouped(named, {"_row": F.col("_row"), "_column": F.col("_column")}, [query.metric]).toDF("_row", "_column", "value").withColumn("value", F.col("value").cast("double"))
+    cells = made.limit(MAX_AXIS * MAX_AXIS + 1).collect()  # one more than a grid may have
     axes = [sorted({r[c] for r in cells}) for c in ("_row", "_column")]
     for name, axis in zip((query.row, query.column), axes, strict=True):
         if len(axis) > MAX_AXIS:
@@ -165,10 +195,47 @@ def crosstab(df: DataFrame, query: CrossTabQuery) -> DataFrame:
     return made.select("row", "column", r4(F.coalesce("value", F.lit(0.0))).alias("value"))
 
 
-def _ranked(df: DataFrame, name: str, out: str) -> DataFrame:
-    counts = df.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    ranks = below(counts, []).select(F.col("value").alias(name), (F.col("below") + (F.col("n") + 1) / 2).alias(out))
-    return df.join(ranks, name)
+def _products(width: int, pairs: list[tuple[int, int, int, int]]):
+    """Sums over rows of ranks (lists of (k, r)): for each pair (i, j, k of i, k of j) of r_k r_l, r_k squared and r_l squared."""
+    i, j, k, m = (np.array(x, np.int32) for x in zip(*pairs, strict=True))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                lists = b.column("ranks").slice(lo, 2000)
+                cells, sizes = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+                dense = np.zeros((len(sizes), width))
+                dense[np.repeat(np.arange(len(sizes)), sizes), cells.field("k").to_numpy(zero_copy_only=False)] = cells.field("r").to_numpy(zero_copy_only=False)
+                total += dense.T @ dense
+        columns = (i, j, total[k, m], total[k, k], total[m, m])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["i", "j", "xy", "xx", "yy"])
+
+    return task
+
+
+def _spearman(values: DataFrame, n: int) -> DataFrame:
+    """i, j, value for every pair of columns c0 to c(n-1): Pearson's coefficient of average ranks over the rows that have both.
+
+    Columns with nulls in the same rows are of one kind, and a column is ranked once for each kind of its
+    partners. Ranks come by counting, are gathered by row, and one pass sums the products of all pairs.
+    """
+    pairs = list(combinations(range(n), 2))
+    differs = values.agg(*[F.max((F.col(f"c{i}").isNull() != F.col(f"c{j}").isNull()).cast("int")) for i, j in pairs]).first()
+    kinds = list(range(n))
+    for (i, j), d in zip(pairs, differs, strict=True):
+        if not d:
+            kinds[j] = min(kinds[j], kinds[i])
+    number_of = {t: k for k, t in enumerate(sorted({(i, kinds[j]) for i, j in pairs} | {(j, kinds[i]) for i, j in pairs}))}
+    masked = [F.struct(F.lit(k).alias("k"), F.when(F.col(f"c{kind_}").isNotNull(), F.col(f"c{i}")).alias("value")) for (i, kind_), k in number_of.items()]
+    long = values.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.explode(F.array(*masked)).alias("t")).select("_row", "t.k", "t.value").filter(F.col("value").isNotNull())
+    counts = long.groupBy("k", "value").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("k").agg(F.sum("n").alias("_size"))  # a row for each k
+    ranks = below(counts, ["k"]).join(F.broadcast(sizes), "k").select("k", "value", (F.col("below") + (F.col("n") + 1) / 2 - (F.col("_size") + 1) / 2).alias("r"))
+    rows = long.join(ranks, ["k", "value"]).groupBy("_row").agg(F.collect_list(F.struct("k", "r")).alias("ranks"))  # as many as there are k
+    asked = [(i, j, number_of[i, kinds[j]], number_of[j, kinds[i]]) for i, j in pairs]
+    sums = rows.mapInArrow(_products(len(number_of), asked), "i int, j int, xy double, xx double, yy double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy")])
+    return sums.select("i", "j", F.when((F.col("xx") > 0) & (F.col("yy") > 0), r4(F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))).alias("value"))
 
 
 def _pearson(x: Column, y: Column) -> Column:
@@ -194,9 +261,10 @@ def correlation(df: DataFrame, columns: list[str] | None = None, method: str = "
         one = values.agg(*own, *[_pearson(*masked(i, j)).alias(f"r{i}_{j}") for i, j in pairs])
     else:
         one = values.agg(*own)
-        for i, j in pairs:  # ranks are over the rows of the pair
-            both = values.filter(F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()).select(f"c{i}", f"c{j}")
-            ranked = _ranked(_ranked(both, f"c{i}", "x"), f"c{j}", "y")
-            one = one.join(F.broadcast(ranked.agg(_pearson(F.col("x"), F.col("y")).alias(f"r{i}_{j}"))))  # one row
+        found = _spearman(values, len(names))
+        both = found.unionByName(found.select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
+        diagonal = one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.col(f"r{i}_{i}").alias("value")) for i in range(len(names))])))
+        label = lambda c: F.element_at(F.array(*[F.lit(n) for n in names]), F.col(c) + 1)
+        return both.unionByName(diagonal).select(label("i").alias("x"), label("j").alias("y"), "value")
     cells = [F.struct(F.lit(names[i]).alias("x"), F.lit(names[j]).alias("y"), F.col(f"r{min(i, j)}_{max(i, j)}").alias("value")) for i in range(len(names)) for j in range(len(names))]
     return one.select(F.inline(F.array(*cells)))
