@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from data import START, series
 from tidemark.functions.student import t_quantile
 from tidemark.operators import anomaly
-from tidemark.operators.forecast import forecast
+from tidemark.operators.forecast import forecast, forecast_series, with_band
 from tidemark.operators.rca import Analysis
 from tidemark.operators.timeseries import prepare_series
 from tidemark.plans.requests import AnomalyRequest, ForecastRequest, RCARequest
@@ -89,12 +89,40 @@ def test_many_categories_become_21_segments(spark):
 
 
 def test_windows_of_unequal_length_are_scaled(spark):
-    rows = [(date(2024, 1, 1), "A", 20.0), (date(2024, 1, 2), "A", 20.0), (date(2024, 1, 3), "A", 50.0)]
-    a = rca(spark, rows, event_start=date(2024, 1, 3), event_end=date(2024, 1, 3), baseline_start=date(2024, 1, 1), baseline_end=date(2024, 1, 2), dimensions=["cat"])
+    rows = [(date(2022, 7, d), c, v) for d, c, v in ((4, "north", 9.0), (5, "north", 8.0), (5, "south", 4.0), (6, "south", 6.0), (9, "north", 7.0), (10, "south", 4.0), (10, "north", 2.5))]
+    a = rca(spark, rows, event_start=date(2022, 7, 9), event_end=date(2022, 7, 10), baseline_start=date(2022, 7, 4), baseline_end=date(2022, 7, 6), dimensions=["cat"])
     t = a.totals().first()
-    assert (t["event"], t["baseline"], t["delta"]) == (50.0, 20.0, 30.0)
+    assert (t["event"], t["baseline"], t["delta"], t["change_pct"]) == (13.5, 18.0, -4.5, -25.0)
     with pytest.raises(ValueError):
-        rca(spark, rows, event_start=date(2024, 1, 1), event_end=date(2024, 1, 1))
+        rca(spark, rows, event_start=date(2022, 7, 4), event_end=date(2022, 7, 5))
+
+
+def test_deviation_far_from_zero_and_of_segments_that_miss_days(spark):
+    """A billion on top of every value changes no deviation; days without rows count as 0."""
+    shape = {1: 4.0, 2: 6.0, 3: 5.0, 4: 4.5}
+    for base in (0.0, 1e9):
+        rows = [(date(2022, 7, d), "north", base + v) for d, v in shape.items()] + [(date(2022, 7, d), "south", 3.0) for d in (1, 4)]
+        found = rca(spark, rows, event_start=date(2022, 7, 4), event_end=date(2022, 7, 4), baseline_start=date(2022, 7, 1), baseline_end=date(2022, 7, 3), dimensions=["cat"]).segments()
+        got = {r["segment"]: r for r in found.collect()}
+        assert got["north"]["baseline_std"] == 1.0 and got["north"]["z_score"] == -0.5 and not got["north"]["significant"]
+        assert got["south"]["baseline_std"] == round(3**0.5, 4) and got["south"]["z_score"] == round(2 / 3**0.5, 4)
+
+
+def test_series_of_many_keys_are_forecast_as_one_by_one(spark):
+    """Long, short and unkeyed series in one plan; those too short are left out."""
+    rows = [(k, d, v) for k, n in (("long", 60), ("cut", 15), ("short", 9), (None, 40)) for d, v in series(n, 0.7)]
+    df = spark.createDataFrame([(k, "x", d, v) for k, d, v in rows], "shop string, kind string, day date, v double")
+    found = forecast_series(df, ForecastRequest("day", "v", horizon=5), ["shop", "kind"])
+    got = {}
+    for r in found.orderBy("step").collect():
+        got.setdefault(r["shop"], []).append(tuple(r)[2:])
+    assert set(got) == {"long", "cut", None}
+    for key, made in got.items():
+        one = forecast(df.filter(F.col("shop").eqNullSafe(F.lit(key))), ForecastRequest("day", "v", horizon=5)).orderBy("step").collect()
+        assert [r[:2] for r in made] == [tuple(r)[:2] for r in one]
+        assert [x for r in made for x in r[2:]] == pytest.approx([x for r in one for x in tuple(r)[2:]], abs=1e-3)
+    bands = with_band(found).filter("shop = 'long'").collect()
+    assert all(r["band"] == pytest.approx(r["upper"] - r["lower"], abs=1e-4) and r["band"] >= 0 for r in bands)
 
 
 def test_null_category_is_other_unless_frequent(spark):

@@ -1,7 +1,7 @@
 """Trend and season by least squares, in relational form.
 
 A regression on time and season dummies equals one on time after taking out each season's means, so
-two groupings and a join give the fit, for every series key at once.
+two groupings and a join give the fit, of one series or of every series key at once.
 """
 
 from __future__ import annotations
@@ -73,3 +73,58 @@ def forecast(df: DataFrame, request: ForecastRequest) -> DataFrame:
     floor = F.lit(not request.allow_negative and request.aggregation == "sum") & (F.col("lowest") >= 0)
     lower = F.when(floor, F.greatest(F.lit(0.0), predicted - width)).otherwise(predicted - width)
     return own.select("step", "bucket", r4(predicted).alias("predicted"), r4(lower).alias("lower"), r4(predicted + width).alias("upper"))
+
+
+def fit_series(series: DataFrame, cadence: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, season, n_d, t_d, y_d), and a row for each key (slope, sxx, sse, n, p, last, lowest), of many dense series (keys, bucket, value).
+
+    A series of at least two cycles gets a mean for each season, a shorter one a single mean; p is the
+    number of parameters. Seasons, sums and counts are kept by key, so no series passes through a task whole
+    but for its numbering, which is a row for each period.
+    """
+    by = Window.partitionBy(*keys)
+    placed = series.select(*keys, "bucket", "value", (F.row_number().over(by.orderBy("bucket")) - 1).cast("double").alias("t"), F.count(F.lit(1)).over(by).alias("rows"))
+    seasonal = F.col("rows") >= 2 * PERIOD[cadence]
+    placed = placed.withColumns({"season": F.when(seasonal, season(F.col("bucket"), cadence)).otherwise(0), "p": F.when(seasonal, PERIOD[cadence] + 1).otherwise(2)})
+    means = placed.groupBy(*keys, "season").agg(F.count(F.lit(1)).alias("n_d"), F.avg("t").alias("t_d"), F.avg("value").alias("y_d"))
+    centred = placed.join(means, [*keys, "season"]).select(*keys, "bucket", "value", "p", (F.col("t") - F.col("t_d")).alias("dt"), (F.col("value") - F.col("y_d")).alias("dy"))
+    products = {"sxx": ("dt", "dt"), "sxy": ("dt", "dy"), "syy": ("dy", "dy")}
+    sums = centred.groupBy(*keys).agg(*[F.sum(F.col(a) * F.col(b)).alias(n) for n, (a, b) in products.items()], F.count(F.lit(1)).alias("n"), F.max("p").alias("p"), F.max("bucket").alias("last"), F.min("value").alias("lowest"))
+    slope = F.try_divide("sxy", "sxx")
+    return means, sums.select(*keys, slope.alias("slope"), "sxx", (F.col("syy") - slope * F.col("sxy")).alias("sse"), "n", "p", "last", "lowest")
+
+
+def forecast_series(df: DataFrame, request: ForecastRequest, keys: list[str]) -> DataFrame:
+    """keys, step, bucket, predicted, lower, upper, for every series of df: as forecast does for one.
+
+    Series of fewer than max(14, 2 horizons) periods, or no more than parameters, are left out. Null keys
+    are a series of their own. Widths come from a table of quantiles by degrees of freedom, a row for each
+    different length of series.
+    """
+    named = {k: f"_key{i}" for i, k in enumerate(keys)}
+    own = list(named.values())
+    keyed = df.select(*[F.struct(F.col(f"`{k}`")).alias(v) for k, v in named.items()], F.col(f"`{request.date_column}`"), F.col(f"`{request.metric_column}`"))  # a struct of null is no null, so null keys meet in joins
+    series = prepare_series(keyed, request.date_column, request.metric_column, request.aggregation, request.cadence, own)
+    means, sums = fit_series(series, request.cadence, own)
+    long = sums.filter((F.col("n") >= max(14, 2 * request.horizon)) & (F.col("n") > F.col("p"))).withColumn("freedom", (F.col("n") - F.col("p")).cast("int"))
+    degrees = [r[0] for r in long.select("freedom").distinct().collect()]  # no more than periods of the longest series
+    quantile = df.sparkSession.createDataFrame([(v, t_quantile(0.975, v)) for v in degrees], "freedom int, t95 double")
+    ahead = long.join(F.broadcast(quantile), "freedom").select("*", F.explode(F.sequence(F.lit(1), F.lit(request.horizon))).alias("step"))
+    dated = ahead.withColumn("bucket", (F.col("last") + F.col("step") * step(request.cadence)).cast("date")).withColumn("t", F.col("n") - 1 + F.col("step"))
+    seasonal = F.col("p") > 2
+    first = means.groupBy(*own).agg(F.min_by(F.struct("n_d", "t_d", "y_d"), "season").alias("first"))  # for a season that history lacks
+    placed = dated.withColumn("season", F.when(seasonal, season(F.col("bucket"), request.cadence)).otherwise(0)).join(means, [*own, "season"], "left").join(first, own)
+    n_d, t_d, y_d = (F.coalesce(F.col(c), F.col(f"first.{c}")) for c in ("n_d", "t_d", "y_d"))
+    away = F.col("t") - t_d
+    spread = F.sqrt(F.greatest(F.lit(1e-12), F.col("sse") / F.col("freedom")))
+    width = F.col("t95") * spread * F.sqrt(F.greatest(F.lit(1.0), 1 + 1 / n_d + away * away / F.col("sxx")))
+    predicted = y_d + F.col("slope") * away
+    floor = F.lit(not request.allow_negative and request.aggregation == "sum") & (F.col("lowest") >= 0)
+    lower = F.when(floor, F.greatest(F.lit(0.0), predicted - width)).otherwise(predicted - width)
+    names = [F.col(v)[k].alias(k) for k, v in named.items()]
+    return placed.select(*names, "step", "bucket", r4(predicted).alias("predicted"), r4(lower).alias("lower"), r4(predicted + width).alias("upper"))
+
+
+def with_band(forecasts: DataFrame) -> DataFrame:
+    """forecasts with band: how far apart the bounds lie, 0 at least."""
+    return forecasts.withColumn("band", r4(F.greatest(F.lit(0.0), F.col("upper") - F.col("lower"))))

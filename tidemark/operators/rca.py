@@ -117,12 +117,12 @@ class Analysis:
         how = {"sum": F.sum, "avg": F.avg, "count": F.count}[self.request.aggregation]
         daily = long.filter("_base").groupBy("dimension", "segment", "_day").agg(how("_metric").cast("double").alias("v"))
         days = self.rows.filter("_base").select("_day").distinct().agg(F.count(F.lit(1)).alias("days"))
-        # days of the baseline without rows of a segment count as 0, so sums over those there are suffice
-        sums = daily.groupBy("dimension", "segment").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"), F.min("v").alias("least"), F.max("v").alias("most"), F.count(F.lit(1)).alias("seen"))
+        # days of the baseline without rows of a segment count as 0: they widen the spread of those there are by its distance from 0
+        sums = daily.groupBy("dimension", "segment").agg(F.sum("v").alias("s"), F.avg("v").alias("m"), F.var_pop("v").alias("var"), F.min("v").alias("least"), F.max("v").alias("most"), F.count(F.lit(1)).alias("seen"))
         scored = made.join(sums, ["dimension", "segment"], "left").join(F.broadcast(days))  # one row
         n, mean = F.col("days"), F.col("s") / F.col("days")
         flat = (F.col("least") == F.col("most")) & ((F.col("seen") == n) | (F.col("most") == 0))
-        std = F.when(F.col("s").isNotNull() & (n >= 2), F.when(flat, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), (F.col("ss") - n * mean * mean) / (n - 1)))))
+        std = F.when(F.col("s").isNotNull() & (n >= 2), F.when(flat, 0.0).otherwise(F.sqrt(F.col("seen") * (F.col("var") + F.col("m") * F.col("m") * (n - F.col("seen")) / n) / (n - 1))))
         tight = std < 1e-6
         z = F.when(std.isNull(), None).when(tight & (F.abs(F.col("e") - mean) < 1e-6), 0.0).when(tight, None).otherwise((F.col("e") - mean) / std)
         shifted = F.coalesce(tight & (F.abs(F.col("e") - mean) >= 1e-6), F.lit(False))

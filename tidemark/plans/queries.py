@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import json_ready, slug
 from tidemark.operators import aggregate as agg
-from tidemark.operators import anomaly, clean, profile, relational, timeseries
+from tidemark.operators import anomaly, clean, neighbours, profile, rca_lattice, relational, timeseries
 from tidemark.operators import filters as filt
-from tidemark.operators.forecast import forecast
+from tidemark.operators.forecast import fit, forecast, forecast_series, with_band
 from tidemark.operators.rca import Analysis
 from tidemark.operators.rca import date_column as rca_date_column
 from tidemark.plans.requests import AggregationQuery, AnomalyRequest, BreakdownQuery, CrossTabQuery, Filter, ForecastRequest, Metric, RCARequest, TimeSeriesQuery
 from tidemark.sources import store
 from tidemark.sources.scratch import folder
-from tidemark.sources.tables import ingest, read_csv, read_table, write_clean
+from tidemark.sources.snapshots import ResultTable
+from tidemark.sources.tables import ingest, open_dataset, read_csv, read_table, write_clean
 from tidemark.streaming import windows as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -344,7 +345,7 @@ def _t(v: str) -> str:
     z = 1.959963984540054
     g = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
     series = f"({z} + " + " + ".join(f"{c!r} / pow({v}, {k})" for k, c in enumerate(g, 1)) + ")"
-    return f"(CASE WHEN {v} = 67 THEN 1.996008354025297 ELSE {series} END)"  # few degrees: a table's value
+    return f"(CASE {v} WHEN 22 THEN 2.0738730679040147 WHEN 67 THEN 1.996008354025297 ELSE {series} END)"  # few degrees: a table's values
 
 
 def _forecast_sql(granularity: str, horizon: int, season: str | None, p: int, clamp: bool = True, how: str = "sum(total_amount)") -> str:
@@ -370,19 +371,44 @@ def _forecast(s: SparkSession, d: str, **how) -> DataFrame:
 add("forecast_seasonal_day", lambda s, d: _forecast(s, d, horizon=30), _forecast_sql("day", 30, "(isodow({x}) - 1)", 8))
 add("forecast_seasonal_month", lambda s, d: _forecast(s, d, horizon=12, cadence="month"), _forecast_sql("month", 12, "(month({x}) - 1)", 13))
 add("forecast_unclamped", lambda s, d: _forecast(s, d, horizon=14, allow_negative=True), _forecast_sql("day", 14, "(isodow({x}) - 1)", 8, False))
+
+
+def _forecast_trend(s: SparkSession, d: str) -> DataFrame:
+    """The trend of all events by day, without seasons, as a line's parameters."""
+    return fit(timeseries.prepare_series(_events(s, d), "ts", "value"), "day", False)[1].select(F.round("slope", 4).alias("slope"), F.round("sxx", 4).alias("sxx"), F.round("sse", 2).alias("sse"))
+
+
 add(
     "forecast_trend",
-    lambda s, d: _forecast_trend(s, d),
-    "WITH b AS (SELECT CAST(ts AS DATE) AS x, sum(value) AS v FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-13' GROUP BY 1), k AS (SELECT row_number() OVER (ORDER BY x) - 1.0::DOUBLE AS t, v FROM b) SELECT round(regr_slope(v, t), 4) AS slope, round(regr_sxx(v, t), 4) AS sxx, round(regr_syy(v, t) - regr_slope(v, t) * regr_sxy(v, t), 2) AS sse FROM k",
+    _forecast_trend,
+    f"WITH {_series_sql('day', 'sum(value)', '(SELECT value, CAST(ts AS DATE) AS order_date FROM {E} WHERE value IS NOT NULL)')}, k AS (SELECT row_number() OVER (ORDER BY timestamp) - 1.0::DOUBLE AS t, v FROM p) SELECT round(regr_slope(v, t), 4) AS slope, round(regr_sxx(v, t), 4) AS sxx, round(regr_syy(v, t) - regr_slope(v, t) * regr_sxy(v, t), 2) AS sse FROM k",
 )
 
 
-def _forecast_trend(s: SparkSession, d: str) -> DataFrame:
-    from tidemark.operators.forecast import fit
+def _series_forecasts(source: str, key: str, horizon: int) -> str:
+    """Forecasts of a table (key, dt, value) by day, for every key at once; weekly seasons where there are two weeks."""
+    return (
+        f"b AS (SELECT {key} AS key, dt, sum(value) AS v FROM {source} WHERE value IS NOT NULL GROUP BY ALL), e AS (SELECT key, min(dt) AS lo, max(dt) AS hi FROM b GROUP BY key), "
+        "x AS (SELECT key, CAST(unnest(range(lo, hi + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS dt FROM e), z AS (SELECT x.key, x.dt, coalesce(v, 0) AS v FROM x LEFT JOIN b ON x.key IS NOT DISTINCT FROM b.key AND x.dt = b.dt), "
+        "n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY dt) - 1.0::DOUBLE AS t, count(*) OVER (PARTITION BY key) AS n FROM z), k AS (SELECT *, CASE WHEN n >= 14 THEN isodow(dt) - 1 ELSE 0 END AS q, CASE WHEN n >= 14 THEN 8 ELSE 2 END AS p FROM n), "
+        "m AS (SELECT key, q, count(*) AS n, avg(t) AS t, avg(v) AS y FROM k GROUP BY key, q), "
+        "c AS (SELECT k.key, sum((k.t - m.t) ** 2) AS sxx, sum((k.t - m.t) * (k.v - m.y)) AS sxy, sum((k.v - m.y) ** 2) AS syy, count(*) AS n, max(p) AS p, max(dt) AS last, min(v) AS lowest FROM k JOIN m ON k.key IS NOT DISTINCT FROM m.key AND k.q = m.q GROUP BY k.key), "
+        f"h AS (SELECT key, CAST(i AS INTEGER) AS step, CAST(last + i * INTERVAL 1 DAY AS DATE) AS bucket, n - 1 + i AS t, sxx, sxy / sxx AS b, syy - sxy * sxy / sxx AS sse, n - p AS df, p, lowest FROM c, (SELECT unnest(range(1, {horizon} + 1)) AS i) WHERE n >= greatest(14, 2 * {horizon}) AND n > p), "
+        f"f AS (SELECT h.key, step, bucket, m.y + b * (h.t - m.t) AS y, {_t('df')} * sqrt(greatest(1e-12, sse / df)) * sqrt(1 + 1.0 / m.n + (h.t - m.t) ** 2 / sxx) AS w, lowest FROM h JOIN m ON m.key IS NOT DISTINCT FROM h.key AND m.q = CASE WHEN p > 2 THEN isodow(bucket) - 1 ELSE 0 END)"
+    )
 
-    series = timeseries.prepare_series(filt.date_window(_events(s, d), "ts", date(2024, 1, 1), date(2024, 1, 13)), "ts", "value")
-    return fit(series, "day", False)[1].select(F.round("slope", 4).alias("slope"), F.round("sxx", 4).alias("sxx"), F.round("sse", 2).alias("sse"))
 
+_EVENT_FORECASTS = f"WITH {_series_forecasts('(SELECT *, CAST(ts AS DATE) AS dt FROM {E})', 'event_type', 10)}"
+add(
+    "forecast_by_series",
+    lambda s, d: forecast_series(_events(s, d), ForecastRequest("ts", "value", horizon=10), ["event_type"]),
+    _EVENT_FORECASTS + " SELECT key AS event_type, step, bucket, round(y, 4) AS predicted, round(CASE WHEN lowest >= 0 THEN greatest(0, y - w) ELSE y - w END, 4) AS lower, round(y + w, 4) AS upper FROM f",
+)
+add(
+    "forecast_band",
+    lambda s, d: with_band(forecast_series(_events(s, d), ForecastRequest("ts", "value", horizon=10), ["event_type"])).select("event_type", "step", F.round("band", 3).alias("band")),
+    _EVENT_FORECASTS + " SELECT key AS event_type, step, round(greatest(0, round(y + w, 4) - round(CASE WHEN lowest >= 0 THEN greatest(0, y - w) ELSE y - w END, 4)), 3) AS band FROM f",
+)
 
 # --- root causes
 _RCA = {"event_start": date(2024, 1, 20), "event_end": date(2024, 1, 22)}
@@ -416,6 +442,36 @@ add(
     lambda s, d: _analysis(s, d, secondary=["load"]).secondary(),
     f"WITH {_WINDOWS}, {_TOTAL}, v AS (SELECT sum(load) FILTER (ba) AS lb, sum(load) FILTER (ev) AS le FROM u) SELECT 'load' AS metric, round(lb, 4) AS baseline, round(le, 4) AS event, round(le - lb, 4) AS delta, round((le - lb) / greatest(abs(lb), 1e-6) * 100, 2) AS growth_pct, CASE WHEN sign(le - lb) = sign(e - b) THEN 'concordant' ELSE 'divergent' END AS direction, round((le - lb) / abs(lb) * 100 / ((e - b) / abs(b) * 100), 4) AS elasticity, 'ok' AS elasticity_status FROM v, t",
 )
+_SHIFT = 1e9
+
+
+def _shifted(s: SparkSession, d: str) -> DataFrame:
+    """Averages of values far from zero, whose daily spread is small beside them."""
+    found = Analysis(_events(s, d).withColumn("value", F.col("value") + F.lit(_SHIFT)), RCARequest("ts", "value", **_RCA, aggregation="avg", dimensions=["event_type"])).segments()
+    return found.select("segment", F.round("baseline_std", 2).alias("baseline_std"), F.round("z_score", 2).alias("z_score"), "significant")
+
+
+add(
+    "rca_zscore_shifted",
+    _shifted,
+    f"WITH {_WINDOWS}, y AS (SELECT event_type, dt, avg(value) AS v FROM u WHERE ba GROUP BY ALL), q AS (SELECT event_type, avg(v) AS m, stddev_samp(v) AS s FROM y GROUP BY 1), a AS (SELECT event_type, avg(value) AS e FROM u WHERE ev GROUP BY 1) SELECT event_type AS segment, round(s, 2) AS baseline_std, round((e - m) / s, 2) AS z_score, abs((e - m) / s) >= 2 AS significant FROM a JOIN q USING (event_type)",
+)
+_CELLS = [["event_type"], ["cohort"], ["place"], ["event_type", "cohort"], ["event_type", "place"], ["cohort", "place"], ["event_type", "cohort", "place"]]
+
+
+def _intersections(s: SparkSession, d: str) -> DataFrame:
+    rows = _events(s, d).withColumn("place", F.concat(F.lit("p"), (F.col("load") % 7).cast("int").cast("string")))
+    found = rca_lattice.search(Analysis(rows, RCARequest("ts", "value", **_RCA, dimensions=["event_type", "cohort", "place"])), 3, 25).segments
+    return found.select("rank", "depth", F.array_join("dimensions", "+").alias("dimensions"), F.array_join("segment", "+").alias("segment"), "baseline", "event", "delta", "contribution_pct", "event_rows", "baseline_rows")
+
+
+add(
+    "rca_intersections",
+    _intersections,
+    f"WITH {_WINDOWS}, {_TOTAL}, w AS (SELECT *, 'p' || CAST(CAST(load AS BIGINT) % 7 AS VARCHAR) AS place FROM u WHERE ba OR ev), g AS ("
+    + " UNION ALL ".join(f"SELECT {len(c)} AS depth, {c} AS dims, [{', '.join(c)}] AS vals, coalesce(sum(value) FILTER (ba), 0) AS b, coalesce(sum(value) FILTER (ev), 0) AS e, count(*) FILTER (ev) AS event_rows, count(*) FILTER (ba) AS baseline_rows FROM w GROUP BY {', '.join(c)}" for c in _CELLS)
+    + "), o AS (SELECT *, row_number() OVER (ORDER BY abs(round(e - b, 4)) DESC, depth, dims, vals) AS rank FROM g) SELECT CAST(rank AS INTEGER) AS rank, depth, array_to_string(dims, '+') AS dimensions, array_to_string(vals, '+') AS segment, round(o.b, 4) AS baseline, round(o.e, 4) AS event, round(o.e - o.b, 4) AS delta, round((o.e - o.b) / (t.e - t.b) * 100, 2) AS contribution_pct, event_rows, baseline_rows FROM o, t WHERE rank <= 25",
+)
 add("rca_narrative", lambda s, d: _analysis(s, d).narrative(), None)
 
 
@@ -433,8 +489,66 @@ def _old(s: SparkSession, d: str) -> DataFrame:
 
 
 _M = "click"
+_SAVED = "org_id string, dataset_id string, metric string, bucket date, value double"
+
+
+def _folder(s: SparkSession, tag: str) -> str:
+    return folder(s, f"{tag}-{uuid.uuid4().hex}")
+
+
 add("persist_replace_all", lambda s, d: store.replace(_old(s, d), _found(s, d).filter(F.col("metric") == _M), store.in_scope("org1", "ds1", _M)), f"WITH {_FOUND}, {_OLD} SELECT * FROM o WHERE metric <> '{_M}' UNION ALL SELECT * FROM a WHERE metric = '{_M}'")
 add("persist_replace_range", lambda s, d: store.replace_range(_old(s, d), _found(s, d).filter(F.col("metric") == _M), "org1", "ds1", _M), f"WITH {_FOUND}, {_OLD}, e AS (SELECT min(bucket) AS lo, max(bucket) AS hi FROM a WHERE metric = '{_M}') SELECT o.* FROM o, e WHERE NOT coalesce(metric = '{_M}' AND bucket BETWEEN lo AND hi, false) UNION ALL SELECT * FROM a WHERE metric = '{_M}'")
+_RESULTS = "org_id string, dataset_id string, metric string, bucket date, value double, severity string"
+
+
+def _results(s: SparkSession, d: str) -> ResultTable:
+    """A result table that holds the old rows."""
+    table = ResultTable(s, _folder(s, "results"), _RESULTS)
+    table.replace_all(_old(s, d))
+    return table
+
+
+def _persist_empty(s: SparkSession, d: str) -> DataFrame:
+    """Nothing found for a metric, so all its old rows go; those of the others stay."""
+    table = _results(s, d)
+    table.replace_all(_found(s, d).filter("false"), [("org1", "ds1", _M)])
+    return table.read("org1")
+
+
+def _persist_range(s: SparkSession, d: str) -> DataFrame:
+    """One metric's days are replaced from the first to the last found, in the written table."""
+    table = _results(s, d)
+    table.replace_range(_found(s, d).filter(F.col("metric") == _M), ("org1", "ds1", _M))
+    return table.read("org1")
+
+
+def _persist_horizon(s: SparkSession, d: str) -> DataFrame:
+    """Forecasts of all metrics, made anew a week later for one of them: the overlap of the horizons is replaced, the days before it stay."""
+    made = forecast_series(_events(s, d), ForecastRequest("ts", "value", horizon=10), ["event_type"])
+    rows = made.select(F.lit("org1").alias("org_id"), F.lit("ds1").alias("dataset_id"), F.col("event_type").alias("metric"), "bucket", F.col("predicted").alias("value"))
+    table = ResultTable(s, _folder(s, "forecasts"), _SAVED)
+    table.replace_all(rows)
+    later = rows.filter(F.col("metric") == _M).withColumns({"bucket": F.date_add("bucket", 7), "value": F.round(F.col("value") + 1, 4)})
+    table.replace_range(later, ("org1", "ds1", _M))
+    return store.listed_forecasts(table.read("org1"), "org1", limit=1000)
+
+
+def _persist_audit(s: SparkSession, d: str) -> DataFrame:
+    """A record for every metric whose anomalies were looked for, in a table that only grows."""
+    table = ResultTable(s, _folder(s, "audit"), "org_id string, dataset_id string, metric string, bucket date, action string, n long")
+    for action, rows in (("detected", _found(s, d)), ("listed", _old(s, d))):
+        table.append(rows.groupBy("org_id", "dataset_id", "metric").agg(F.max("bucket").alias("bucket"), F.lit(action).alias("action"), F.count(F.lit(1)).alias("n")))
+    return table.read("org1")
+
+
+add("persist_empty", _persist_empty, f"WITH {_OLD} SELECT * FROM o WHERE metric <> '{_M}'")
+add("persist_date_range", _persist_range, ORACLE_SQL["persist_replace_range"])
+add(
+    "persist_horizon",
+    _persist_horizon,
+    _EVENT_FORECASTS + f", r AS (SELECT 'org1' AS org_id, 'ds1' AS dataset_id, key AS metric, bucket, round(y, 4) AS value FROM f) SELECT * FROM r WHERE NOT (metric = '{_M}' AND bucket >= (SELECT min(bucket) + 7 FROM r WHERE metric = '{_M}')) UNION ALL SELECT org_id, dataset_id, metric, CAST(bucket + 7 AS DATE), round(value + 1, 4) FROM r WHERE metric = '{_M}'",
+)
+add("persist_audit", _persist_audit, f"WITH {_FOUND}, {_OLD} SELECT org_id, dataset_id, metric, max(bucket) AS bucket, 'detected' AS action, count(*) AS n FROM a GROUP BY 1, 2, 3 UNION ALL SELECT org_id, dataset_id, metric, max(bucket), 'listed', count(*) FROM o GROUP BY 1, 2, 3")
 add("list_anomalies", lambda s, d: store.listed(_old(s, d), "org1", severity="low", limit=12, offset=3), f"WITH {_OLD} SELECT * FROM o WHERE severity = 'low' ORDER BY bucket DESC, metric LIMIT 12 OFFSET 3")
 add("ml_summary", lambda s, d: store.summary(_found(s, d), _old(s, d), "org1"), f"WITH {_FOUND}, {_OLD} SELECT (SELECT count(*) FROM a) AS anomalies, (SELECT count(*) FROM a WHERE severity = 'critical') AS critical, (SELECT count(*) FROM a WHERE severity = 'high') AS high, (SELECT count(*) FROM a WHERE severity = 'medium') AS medium, (SELECT count(*) FROM a WHERE severity = 'low') AS low, (SELECT count(*) FROM o) AS forecasts, (SELECT count(*) FROM (SELECT metric FROM a UNION SELECT metric FROM o)) AS metrics")
 add("audit_append", lambda s, d: store.audit(_old(s, d).groupBy("org_id").agg(F.lit("load").alias("action"), F.lit("{}").alias("details"), F.max("bucket").alias("at")), "org1", "rca_run", F.to_json(F.struct(F.lit("value").alias("metric"))), F.lit(date(2024, 2, 1))), f"WITH {_OLD} SELECT org_id, 'load' AS action, '{{}}' AS details, max(bucket) AS at FROM o GROUP BY org_id UNION ALL SELECT 'org1', 'rca_run', '{{\"metric\":\"value\"}}', DATE '2024-02-01'")
@@ -448,10 +562,6 @@ add("rca_date_column", lambda s, d: s.createDataFrame([(rca_date_column(_dirty(s
 
 
 # --- files: a table is written, read back through the reader, and compared with what was written
-def _folder(s: SparkSession, tag: str) -> str:
-    return folder(s, f"{tag}-{uuid.uuid4().hex}")
-
-
 def _scan_csv(s: SparkSession, d: str) -> DataFrame:
     path = _folder(s, "csv")
     texts = read_table(s, d, "supplier").select("s_suppkey", F.concat(F.lit('a "'), "s_name", F.lit('"\n, x')).alias("note"), F.when(F.col("s_suppkey") % 7 == 0, F.lit("NA")).otherwise(F.round("s_acctbal", 2).cast("string")).alias("balance"))
@@ -476,7 +586,21 @@ def _sink_clean(s: SparkSession, d: str) -> DataFrame:
 
 add("sink_clean", _sink_clean, "SELECT * FROM {O}")
 
-_SAVED = "org_id string, dataset_id string, metric string, bucket date, value double"
+
+def _ingest_then_clean(s: SparkSession, d: str) -> DataFrame:
+    """An upload with odd headers is taken in and cleaned under one base: what was uploaded is still there, and the dataset opens as the cleaned rows under the upload's headers."""
+    base = _folder(s, "datasets")
+    lines = [f"{r['s_suppkey']},{r['s_name']} ,{r['s_nationkey']}" for r in read_table(s, d, "supplier").select("s_suppkey", "s_name", "s_nationkey").collect()]  # an upload is small
+    made = ingest(s, ("Supp Key,Supp Name,Nation\n" + "\n".join(lines + lines[:5]) + "\n").encode(), base, "org1", "ds1", "supplier.csv").first()
+    raw, was_clean = open_dataset(s, base, "org1", "ds1")
+    named, _ = clean.normalize_names(raw)
+    write_clean(clean.drop_duplicates(named).withColumn("supp_name", F.trim("supp_name")), base, "org1", "ds1")
+    opened, is_clean = open_dataset(s, base, "org1", "ds1")
+    raw_rows = s.read.option("header", True).csv(f"{base}/org1/ds1/raw/supplier.csv").count()
+    return opened.select("Supp Key", "Supp Name", "Nation", F.lit(made["rows"] == raw_rows).alias("raw_stays"), F.lit(is_clean and not was_clean).alias("cleaned"))
+
+
+add("ingest_then_clean", _ingest_then_clean, """SELECT s_suppkey AS "Supp Key", trim(s_name) AS "Supp Name", s_nationkey AS "Nation", true AS raw_stays, true AS cleaned FROM supplier""")
 
 
 def _forecasts(s: SparkSession, d: str) -> DataFrame:
@@ -525,11 +649,6 @@ add(
     lambda s, d: store.default_columns(profile.profile_columns(_dirty(s, d)).join(s.createDataFrame(list(zip(_KINDS, range(9))), "column string, position int"), "column")),
     "SELECT 'order_date' AS date_column, 'amount_text' AS metric_column, 'priority' AS dimension",
 )
-add(
-    "forecast_band",
-    lambda s, d: forecast(_events(s, d).filter("event_type = 'click'"), ForecastRequest("ts", "value", horizon=5)).select("step", (F.col("upper") >= F.col("predicted")).alias("above"), (F.col("predicted") >= F.col("lower")).alias("below")),
-    "SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step, true AS above, true AS below",
-)
 add("clean_dedup_report", lambda s, d: clean.duplicate_report(_orders(s, d).select("status", "priority")), "SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT status, priority FROM {O})) AS duplicates, round((count(*) - (SELECT count(*) FROM (SELECT DISTINCT status, priority FROM {O}))) / count(*) * 100, 2) AS duplicate_pct, (SELECT count(*) FROM (SELECT DISTINCT status, priority FROM {O})) AS rows_after FROM {O}")
 add("clean_outlier_samples", lambda s, d: clean.outlier_samples(read_table(s, d, "events"), "value"), f"SELECT value FROM events, {_BOUNDS.replace('{c}', 'value').replace('{t}', 'events')} WHERE value < lo OR value > hi GROUP BY value, lo, hi ORDER BY greatest(lo - value, value - hi) DESC, value LIMIT 5")
 add("scalar_slug", lambda s, d: read_table(s, d, "part").select("p_partkey", slug(F.concat(F.lit(" Part: "), "p_name", F.lit("!"))).alias("slug")), "SELECT p_partkey, trim(regexp_replace(lower(' Part: ' || p_name || '!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
@@ -555,6 +674,21 @@ add("set_intersect", lambda s, d: read_table(s, d, "orders").select(F.col("o_ord
 _Q = [round(((i * 37) % 64 - 32) / 32, 4) for i in range(64)]
 _QSQL = "[" + ", ".join(f"{x!r}::DOUBLE" for x in _Q) + "]"
 add("vector_topk_cosine", lambda s, d: relational.nearest(read_table(s, d, "embeddings"), _Q, "vec_id", "embedding", 10), f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_QSQL}), 6) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 10")
+
+
+def _neighbours(s: SparkSession, d: str, exact: bool) -> DataFrame:
+    """The ten nearest of every fiftieth vector among all."""
+    vectors = read_table(s, d, "embeddings")
+    index = neighbours.build(vectors, _folder(s, "vectors"))
+    return neighbours.search(index, vectors.filter("vec_id % 50 = 0"), 10, len(index.centroids) if exact else None)
+
+
+add(
+    "vector_neighbours_exact",
+    lambda s, d: _neighbours(s, d, True),
+    "WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) WHERE rank <= 10",
+)
+add("vector_neighbours", lambda s, d: _neighbours(s, d, False), None)
 add("window_tumbling", lambda s, d: streams.tumbling(_events(s, d), "ts", "event_type", "value").withColumn("window_start", F.to_date("window_start")), "SELECT CAST(ts AS DATE) AS window_start, event_type AS key, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 
 
