@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tidemark.functions.expressions import aggregate_of, is_moment, is_numeric, kind, moment, number, r2, r4
 from tidemark.functions.quantiles import below, medians, quantiles
 from tidemark.operators.filters import apply_filters, require
+from tidemark.operators.heavy_hitters import heavy_hitters
 from tidemark.plans.requests import AggregationQuery, BreakdownQuery, CrossTabQuery, Metric
 
 #: Fixed values of the interface.
@@ -144,10 +145,7 @@ def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
 
 def top_categories(df: DataFrame, names: list[str], k: int = TOP_CATEGORIES) -> DataFrame:
     """column, value, n, pct of non-null, rank: the k most frequent values of each column."""
-    counts = value_counts(df, names)
-    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).filter(F.col("rank") <= k)
-    return ranked.join(F.broadcast(totals), "column").select("column", "value", "n", r2(F.col("n") / F.col("total") * 100).alias("pct"), "rank")  # one total for each named column
+    return heavy_hitters(df, names, k).rows.select("column", "value", "n", r2(F.col("n") / F.col("total") * 100).alias("pct"), "rank")
 
 
 def breakdown(df: DataFrame, query: BreakdownQuery) -> DataFrame:

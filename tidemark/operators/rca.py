@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.expressions import day, is_moment, is_numeric, kind, number, r2, r4
 from tidemark.operators.filters import require
+from tidemark.operators.heavy_hitters import heavy_hitters
 from tidemark.plans.requests import RCARequest
 
 #: Fixed values of the interface.
@@ -101,9 +102,8 @@ class Analysis:
             return F.struct(F.lit(name).alias("dimension"), F.when(c.isNotNull(), text).alias("raw"))
 
         every = F.explode(F.array(*[named(n) for n in self.dims])).alias("d")
-        counts = self.known.select(every).groupBy("d.dimension", F.coalesce("d.raw", F.lit("nan")).alias("segment")).agg(F.count(F.lit(1)).alias("n"))
-        best = Window.partitionBy("dimension").orderBy(F.desc("n"), "segment")
-        top = counts.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= TOP).select("dimension", "segment", F.lit(True).alias("_top"))
+        named_values = self.known.select(*[F.coalesce(named(n)["raw"], F.lit("nan")).alias(n) for n in self.dims])
+        top = heavy_hitters(named_values, self.dims, TOP).rows.select(F.col("column").alias("dimension"), F.col("value").alias("segment"), F.lit(True).alias("_top"))
         long = self.rows.select("_day", "_metric", "_event", "_base", every).select("_day", "_metric", "_event", "_base", F.col("d.dimension").alias("dimension"), F.coalesce("d.raw", F.lit("Unknown")).alias("segment"))
         marked = long.join(F.broadcast(top), ["dimension", "segment"], "left")  # at most 20 for each dimension
         return marked.withColumn("segment", F.when(F.col("_top"), F.col("segment")).otherwise("Other")).drop("_top")

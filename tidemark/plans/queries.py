@@ -17,6 +17,8 @@ from tidemark.functions.expressions import json_ready, slug
 from tidemark.operators import aggregate as agg
 from tidemark.operators import anomaly, clean, neighbours, profile, rca_lattice, relational, timeseries
 from tidemark.operators import filters as filt
+from tidemark.operators.file_profiles import FileProfiles
+from tidemark.operators.heavy_hitters import heavy_hitters
 from tidemark.operators.forecast import fit, forecast, forecast_series, with_band
 from tidemark.operators.rca import Analysis
 from tidemark.operators.rca import date_column as rca_date_column
@@ -658,6 +660,51 @@ add(
     "SELECT order_id, CAST(order_date AS VARCHAR) AS order_date, CASE WHEN order_id % 5 = 0 THEN NULL ELSE total_amount END AS amount FROM {O}",
 )
 
+_COUNTED = {"lineitem": ["l_partkey", "l_suppkey", "l_quantity", "l_returnflag"], "events": ["user_id", "event_type"]}
+
+
+def _heavy_hitters(s: SparkSession, d: str) -> DataFrame:
+    parts = [heavy_hitters(read_table(s, d, t), names, 15).rows for t, names in _COUNTED.items()]
+    return parts[0].unionByName(parts[1])
+
+
+add(
+    "heavy_hitters",
+    _heavy_hitters,
+    "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column, {text} AS value, count(*) AS n, (SELECT count({c}) FROM {t}) AS total, CAST(row_number() OVER (ORDER BY count(*) DESC, {text}) AS INTEGER) AS rank FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}"
+        for t, names in _COUNTED.items()
+        for c in names
+        for text in [f"CAST({c} AS VARCHAR)"]
+    )
+    + ") WHERE rank <= 15",
+)
+
+
+def _file_profiles(s: SparkSession, d: str) -> DataFrame:
+    """A table of orders grows by a year at a time; its profile comes from the sketches of its files, distinct counts are told by how far off they may be."""
+    table, profiles = _folder(s, "growing"), None
+    for low, high in ((1990, 1994), (1995, 1996), (1997, 2010)):
+        _orders(s, d).filter(F.year("order_date").between(low, high)).write.mode("append").parquet(table)
+        profiles = profiles or FileProfiles(s, table, _folder(s, "sketches"))
+        profiles.update()
+    exact = _orders(s, d).agg(*[F.count_distinct(c).alias(c) for c in ("order_id", "customer_id", "status", "priority", "total_amount", "order_date")])
+    told = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in exact.columns])))
+    close = F.abs(F.col("distinct_count") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.04 * F.col("exact"))
+    return profiles.profile().join(F.broadcast(told), "column").select("column", "rows", "null_count", "null_pct", F.round("mean", 2).alias("mean"), F.when(F.col("mean").isNull(), F.col("min")).alias("least"), F.when(F.col("mean").isNull(), F.col("max")).alias("most"), "exact", close.alias("close"))
+
+
+add(
+    "profile_growing_table",
+    _file_profiles,
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column, count(*) AS rows, count(*) - count({c}) AS null_count, round((count(*) - count({c})) / count(*) * 100, 2) AS null_pct, {mean} AS mean, {least} AS least, {most} AS most, count(DISTINCT {c}) AS exact, true AS close FROM {{O}}"
+        for c, number in (("order_id", True), ("customer_id", True), ("total_amount", True), ("status", False), ("priority", False), ("order_date", False))
+        for mean, least, most in [(f"round(avg({c}), 2)", "NULL::VARCHAR", "NULL::VARCHAR") if number else ("NULL::DOUBLE", f"CAST(min({c}) AS VARCHAR)", f"CAST(max({c}) AS VARCHAR)")]
+    ),
+)
+
 # --- relational
 add("join_inner", lambda s, d: read_table(s, d, "nation").join(read_table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name"), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 add(
