@@ -26,7 +26,7 @@ from tidemark.plans.requests import AggregationQuery, AnomalyRequest, BreakdownQ
 from tidemark.sources import store
 from tidemark.sources.scratch import folder
 from tidemark.sources.snapshots import ResultTable
-from tidemark.sources.tables import ingest, open_dataset, read_csv, read_table, write_clean
+from tidemark.sources.tables import ingest, open_dataset, read_csv, read_table, read_workbooks, write_clean, write_raw
 from tidemark.streaming import windows as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -748,3 +748,47 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
 
 
 add("streaming_tumbling", _streamed, ORACLE_SQL["window_tumbling"])
+
+
+def _streamed_sessions(s: SparkSession, d: str) -> DataFrame:
+    like, name = read_table(s, d, "events"), f"sessions_{uuid.uuid4().hex}"
+    path = folder(s, f"{name}-rows")
+    streams.run_to_path(streams.sessions(streams.read_stream(s, f"{d}/events.parquet*", like), "ts", "user_id", "12 hours", "60 days"), path, folder(s, name))
+    return s.read.parquet(path).select("key", F.unix_micros("session_start").alias("first"), (F.unix_micros("session_end") - 12 * 3600 * 1000000).alias("last"), "n")
+
+
+add(
+    "streaming_sessions",
+    _streamed_sessions,
+    "WITH o AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE ts IS NOT NULL), g AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, before NULLS FIRST) AS k FROM o) SELECT user_id AS key, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, count(*) AS n FROM g GROUP BY user_id, k",
+)
+
+
+def _xlsx(rows: list[tuple]) -> bytes:
+    """A workbook of one sheet with these rows of numbers and texts."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    cell = lambda v: f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) else "<c/>" if v is None else f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", "<workbook/>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData>' + "".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows) + "</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def _scan_xlsx(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers of each region as an upload of their own; the workbooks are read as one table."""
+    base = _folder(s, "workbooks")
+    nations = read_table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    rows = read_table(s, d, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("n_regionkey", "s_suppkey", "n_name", F.when(F.col("s_suppkey") % 9 > 0, F.round("s_acctbal", 2)).alias("balance")).collect()  # an upload is small
+    for region in sorted({r[0] for r in rows}):
+        own = [tuple(r)[1:] for r in rows if r[0] == region]
+        head = ("Supplier", "Nation", "Balance") if region % 2 else ("Nation", "Supplier", "Balance")
+        write_raw(s, _xlsx([head, *(own if region % 2 else [(b, a, c) for a, b, c in own])]), base, "org1", "books", f"region {region}.xlsx")
+    return read_workbooks(s, f"{base}/org1/books/raw").select("Supplier", "Nation", "Balance")
+
+
+add("scan_xlsx", _scan_xlsx, 'SELECT s_suppkey AS "Supplier", n_name AS "Nation", CASE WHEN s_suppkey % 9 > 0 THEN round(s_acctbal, 2) END AS "Balance" FROM supplier JOIN nation ON s_nationkey = n_nationkey')

@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import islice
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
@@ -128,44 +129,69 @@ def _column(reference: str | None, otherwise: int) -> int:
     return at - 1
 
 
-def _cells(content: bytes) -> list[list[str | None]]:
-    """Rows of the first sheet as text: shared and inline strings, numbers, dates as ISO text, booleans, texts of formulas."""
+def _shared(z: zipfile.ZipFile, names: set[str]) -> list[str]:
+    """Strings that cells refer to by number, read one after the other."""
+    found: list[str] = []
+    if "xl/sharedStrings.xml" in names:
+        with z.open("xl/sharedStrings.xml") as f:
+            for _, si in ElementTree.iterparse(f):
+                if si.tag == f"{_SHEET}si":
+                    found.append("".join(t.text or "" for t in si.iter(f"{_SHEET}t")))
+                    si.clear()
+    return found
+
+
+def _cells(content: bytes) -> Iterator[list[str | None]]:
+    """Rows of the first sheet as text: shared and inline strings, numbers, dates as ISO text, booleans, texts of formulas. A row of the sheet is in memory at a time."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
-        dates, rows = _date_styles(z, names), []
-        for row in ElementTree.fromstring(z.read(_first_sheet(z, names))).iter(f"{_SHEET}row"):
-            cells: dict[int, str | None] = {}
-            for k, c in enumerate(row.iter(f"{_SHEET}c")):
-                value, kind = c.find(f"{_SHEET}v"), c.get("t")
-                text = None if value is None else value.text
-                if kind == "s" and text is not None:
-                    text = shared[int(text)]
-                elif kind == "inlineStr":
-                    text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
-                elif kind == "b" and text is not None:
-                    text = "true" if text == "1" else "false"
-                elif kind in (None, "n") and text is not None and int(c.get("s", 0)) in dates:
-                    text = _moment(text)
-                cells[_column(c.get("r"), k)] = text
-            rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-    return rows
+        shared, dates = _shared(z, names), _date_styles(z, names)
+        with z.open(_first_sheet(z, names)) as sheet:
+            events = ElementTree.iterparse(sheet, ("start", "end"))
+            holder = None
+            for event, row in events:
+                if event == "start":
+                    holder = row if row.tag == f"{_SHEET}sheetData" else holder
+                    continue
+                if row.tag != f"{_SHEET}row":
+                    continue
+                cells: dict[int, str | None] = {}
+                for k, c in enumerate(row.iter(f"{_SHEET}c")):
+                    value, kind = c.find(f"{_SHEET}v"), c.get("t")
+                    text = None if value is None else value.text
+                    if kind == "s" and text is not None:
+                        text = shared[int(text)]
+                    elif kind == "inlineStr":
+                        text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
+                    elif kind == "b" and text is not None:
+                        text = "true" if text == "1" else "false"
+                    elif kind in (None, "n") and text is not None and int(c.get("s", 0)) in dates:
+                        text = _moment(text)
+                    cells[_column(c.get("r"), k)] = text
+                yield [cells.get(i) for i in range(max(cells, default=-1) + 1)]
+                if holder is not None:
+                    holder.clear()  # rows that are done
 
 
 def _sheet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns path, content of workbooks: their rows (path, at, cells), blank ones left out, some thousand at a time."""
     for b in batches:
-        for content in b.column(0).to_pylist():
-            rows = [r for r in _cells(content) if any(x is not None for x in r)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["at", "cells"])
+        for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            rows = (r for r in _cells(content.as_py()) if any(x is not None for x in r))
+            at = 0
+            while part := list(islice(rows, 5000)):
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.list_(pa.string()))], names=["path", "at", "cells"])
+                at += len(part)
 
 
 def _sheet(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
+    try:
+        files = spark.read.format("binaryFile").options(pathGlobFilter="*.xlsx").load(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(path) from e
     if not files.filter(F.col("length") > MAX_UPLOAD).isEmpty():
         raise ValueError(f"{path} exceeds {MAX_UPLOAD} bytes")
-    return files.select("content").mapInArrow(_sheet_rows, "at long, cells array<string>")
+    return files.select("path", "content").mapInArrow(_sheet_rows, "path string, at long, cells array<string>")
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
@@ -179,6 +205,22 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     return typed(_guarded(body, path))
 
 
+def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
+    """The first sheets of all workbooks of a folder as one table, each parsed by a task of its own, rows as they come.
+
+    The first row of each has its names; columns are matched by name, in the order in which they first come
+    by path, and one that a workbook lacks is null there. Types are found over all workbooks.
+    """
+    rows = _sheet(spark, folder)
+    heads = rows.filter("at = 0").select("path", "cells").orderBy("path").collect()  # a row for each workbook
+    if not heads:
+        raise FileNotFoundError(f"{folder} has no workbook with rows")
+    names = list(dict.fromkeys(n or f"Unnamed: {i}" for h in heads for i, n in enumerate(h["cells"])))
+    places = spark.createDataFrame([(h["path"], {n or f"Unnamed: {i}": i + 1 for i, n in enumerate(h["cells"])}) for h in heads], "path string, places map<string, int>")
+    body = rows.filter("at > 0").join(F.broadcast(places), "path")
+    return typed(_guarded(body.select(*[F.try_element_at("cells", F.col("places")[n]).alias(n) for n in names]), folder))
+
+
 def row_count(spark: SparkSession, path: str) -> int:
     """Rows of a CSV or the first sheet of a workbook, the header and blank lines not counted."""
     if path.lower().endswith(".xlsx"):

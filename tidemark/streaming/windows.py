@@ -33,7 +33,19 @@ def sessions(events: DataFrame, time_col: str, key: str, gap: str = "1 hour", de
 
 
 def run_to_path(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
-    """Read what is there, write the result as Parquet, each batch's whole result in place of the last (complete) or behind it (append), and stop."""
-    kept = "overwrite" if mode == "complete" else "append"
-    query = stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode(kept).parquet(path)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Read what is there, write the result as Parquet, each batch's whole result in place of the last (complete) or beside it (append), and stop.
+
+    Appended batches go to folders named by their number, so one that is run again after a failure
+    replaces what it wrote the first time; read_batches reads them all.
+    """
+
+    def sink(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def read_batches(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What a stream appended so far, with the columns of ``like``."""
+    return spark.read.schema(like.schema).parquet(path).select(*like.columns)
