@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import json_ready, slug
 from tidemark.operators import aggregate as agg
-from tidemark.operators import anomaly, clean, neighbours, profile, rca_lattice, relational, timeseries
+from tidemark.operators import anomaly, clean, neighbours, profile, rca_lattice, references, relational, timeseries
 from tidemark.operators import filters as filt
 from tidemark.operators.file_profiles import FileProfiles
 from tidemark.operators.heavy_hitters import heavy_hitters
@@ -705,6 +705,28 @@ add(
     ),
 )
 
+_TABLES = {"region": "r_", "nation": "n_", "customer": "c_", "supplier": "s_", "part": "p_", "orders": "o_", "lineitem": "l_"}
+_REFERENCES = [("customer", "c_nationkey", "nation", "n_nationkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("supplier", "s_nationkey", "nation", "n_nationkey")]
+
+
+def _references(s: SparkSession, d: str) -> DataFrame:
+    """References between the tables, orders with a part of its rows left out, so that items are orphaned."""
+    tables = {t: read_table(s, d, t) for t in _TABLES}
+    tables["orders"] = tables["orders"].filter("o_orderkey % 40 <> 7")
+    return references.discover(tables, 0.2, by_name=True)[1].drop("distinct_pct")
+
+
+add(
+    "discover_references",
+    _references,
+    "WITH orders2 AS (SELECT * FROM orders WHERE o_orderkey % 40 <> 7) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS child, '{x}' AS child_column, '{p}' AS parent, '{k}' AS parent_column, count({x}) AS known, count(*) FILTER ({x} IS NOT NULL AND {x} NOT IN (SELECT {k} FROM {source(p)})) AS orphans, round(count(*) FILTER ({x} IS NOT NULL AND {x} NOT IN (SELECT {k} FROM {source(p)})) / count({x}) * 100, 2) AS orphan_pct FROM {source(c)}"
+        for source in [lambda t: "orders2" if t == "orders" else t]
+        for c, x, p, k in _REFERENCES
+    ),
+)
+
 # --- relational
 add("join_inner", lambda s, d: read_table(s, d, "nation").join(read_table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name"), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 add(
