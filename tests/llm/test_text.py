@@ -177,6 +177,20 @@ def test_samples_are_bounded_by_rows_and_bytes(spark):
     assert {r["_id"] for r in few} <= {r["_id"] for r in ask(40, 1 << 20)}
 
 
+def test_a_long_text_takes_no_place_of_those_behind_it(spark):
+    docs = spark.createDataFrame([(k, "x" * (5000 if k in (7, 70, 130) else 50)) for k in range(240)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(240)], "doc_id long, toxic int")
+    known = {k for k in range(240) if zlib.crc32(str(k).encode()) % 3 != 1}
+    long = known & {7, 70, 130}
+    for size in (9000, 4000, 51):
+        got = folds.training_sample(docs, labels, "toxic", 3, 1, 1000, "doc_id", "text", max_bytes=size).collect()
+        spent, fits = 0, min(len(known - long), size // 50)
+        for r in got:
+            spent += len(r["text"])
+        assert spent <= size and len(got) >= (fits if size < 5000 else min(len(known - long), (size - 5000) // 50))
+    assert len(folds.training_sample(docs, labels, "toxic", 3, 1, 1000, "doc_id", "text", max_bytes=4000).collect()) == 80
+
+
 @pytest.mark.parametrize("run", [toxicity.toxicity, quality.quality])
 def test_ids_of_any_type_and_columns_with_inner_names(spark, labelled, run):
     docs, labels = labelled

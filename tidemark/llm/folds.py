@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialize
+
 #: Partitions of a training sample.
 SAMPLE_PARTS = 16
 
@@ -15,12 +20,27 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(modulus))
 
 
+def _fitting(max_bytes: int):
+    """Ids, in order, of the texts that fit into what those before them left of ``max_bytes``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = max_bytes
+        for b in batches:
+            fits = []
+            for n in b.column("n").to_pylist():
+                fits.append(n <= left)
+                left -= n if fits[-1] else 0
+            yield b.select(["_id"]).filter(pa.array(fits, pa.bool_()))
+
+    return task
+
+
 def training_sample(
     docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_out: int, max_docs: int, id_col: str, text_col: str, keep: list[str] = (), max_bytes: int = 64 << 20
 ) -> DataFrame:
-    """_id, text, label and the columns ``keep`` of at most ``max_docs`` labelled documents outside the held-out fold, in the order of a hash of the id, and of at most ``max_bytes`` of text.
+    """_id, text, label and the columns ``keep`` of at most ``max_docs`` labelled documents outside the held-out fold, in the order of a hash of the id, and of at most ``max_bytes`` of text in all.
 
-    The sample is the same for the same labels, whatever else the tables hold. Of several labels of an
+    A text that does not fit into what is left of ``max_bytes`` is left out, and those behind it still get their turn. The sample is the same for the same labels, whatever else the tables hold. Of several labels of an
     id the largest counts, and of several rows that share an id one; null labels and ids are left out.
     """
     known = labels.filter(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & (fold(id_col, modulus) != held_out))
@@ -28,9 +48,10 @@ def training_sample(
     picked = known.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
     row = F.struct(F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
     held = docs.select(F.col(f"`{id_col}`").alias("_id"), row.alias("doc")).join(F.broadcast(picked), "_id")  # max_docs narrow rows
-    one = held.groupBy("_id", "label").agg(F.min_by("doc", F.xxhash64("doc.text")).alias("doc"))
-    size = F.sum(F.octet_length(F.coalesce("doc.text", F.lit("")))).over(Window.orderBy(F.xxhash64("_id"), "_id"))  # at most max_docs rows
-    bounded = one.withColumn("_size", size).filter(F.col("_size") <= max_bytes).select("_id", "label", "doc.*")
+    one = materialize(held.groupBy("_id", "label").agg(F.min_by("doc", F.xxhash64("doc.text")).alias("doc")), "labelled")
+    sizes = one.select("_id", F.octet_length(F.coalesce("doc.text", F.lit(""))).alias("n"), F.xxhash64("_id").alias("at"))
+    fits = sizes.coalesce(1).sortWithinPartitions("at", "_id").mapInArrow(_fitting(max_bytes), f"_id {one.schema['_id'].dataType.simpleString()}")  # max_docs narrow rows
+    bounded = one.join(F.broadcast(fits), "_id").select("_id", "label", "doc.*")
     return bounded.repartition(SAMPLE_PARTS, "_id")  # so that what is made of the sample is made in parallel and reaches the driver in small results
 
 
