@@ -25,6 +25,8 @@ PAD = BUCKETS
 #: Bound of the training sample, documents.
 MAX_DOCS = 6000
 _BYTES = 400_000
+#: Words whose answers training holds at once.
+_WORDS = 16_384
 _TAPS, _PADDING = sum(WIDTHS), max(WIDTHS) - 1
 
 
@@ -55,10 +57,14 @@ class Model:
     threshold: float = 0.7
     thresholds: dict[str, float] = field(default_factory=dict)
 
-    def answers(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def vectors(self, ids: np.ndarray) -> np.ndarray:
         x = self.table[ids[:, 0]]
         for c in range(1, ids.shape[1]):
             x += self.table[ids[:, c]]
+        return x
+
+    def answers(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = self.vectors(ids)
         a = x @ self.taps
         z, tap = np.empty((len(ids), FILTERS * len(WIDTHS)), np.float32), 0
         for k, width in enumerate(WIDTHS):
@@ -86,6 +92,21 @@ class Model:
         return sigmoid(self.slope * self.logits(*featurize(raw, at)) + self.offset)
 
 
+def _peaks(model: Model, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Highest answer of each filter in each text, and the word where it starts; some thousand words are held at once."""
+    ends = np.maximum(begin[:-1] + 1, begin[1:] - _PADDING)
+    best, where = np.full((len(ends), FILTERS * len(WIDTHS)), -np.inf, np.float32), np.zeros((len(ends), FILTERS * len(WIDTHS)), np.int64)
+    for lo in range(0, len(ids), _WORDS):
+        z = model.answers(ids[lo : lo + _WORDS + _PADDING])[1]
+        for k in range(np.searchsorted(ends, lo, side="right"), np.searchsorted(begin[:-1], lo + _WORDS)):
+            a = max(begin[k], lo)
+            part = z[a - lo : min(ends[k], lo + _WORDS) - lo]
+            top = part.max(axis=0)
+            better = top > best[k]
+            best[k, better], where[k, better] = top[better], a + part.argmax(axis=0)[better]
+    return best, where
+
+
 def train(texts: list[tuple[np.ndarray, int, str]], steps: int = 600, batch: int = 64, seed: int = 7) -> Model:
     """texts: (buckets of one padded text, label, language). Adam on logistic loss; a fifth calibrates."""
     rng = np.random.default_rng(seed)
@@ -114,9 +135,8 @@ def train(texts: list[tuple[np.ndarray, int, str]], steps: int = 600, batch: int
         y = labels[chosen]
         ids = np.concatenate([texts[i][0] for i in chosen])
         begin = np.concatenate([[0], np.cumsum([len(texts[i][0]) for i in chosen])])
-        x, z = model.answers(ids)
-        where = np.array([lo + z[lo : max(lo + 1, hi - _PADDING)].argmax(axis=0) for lo, hi in zip(begin[:-1], begin[1:], strict=True)])
-        pooled = np.take_along_axis(z, where, axis=0) + model.bias
+        pooled, where = _peaks(model, ids, begin)
+        pooled += model.bias
         active = np.maximum(pooled, 0)
         d = (sigmoid((active @ model.out + model.out_bias).astype(np.float64)) - y).astype(np.float32) / batch
         back = d[:, None] * model.out * (pooled > 0)
@@ -126,7 +146,7 @@ def train(texts: list[tuple[np.ndarray, int, str]], steps: int = 600, batch: int
             own, at = back[:, k * FILTERS : (k + 1) * FILTERS], where[:, k * FILTERS : (k + 1) * FILTERS]
             for j in range(width):
                 cols = (tap + j) * FILTERS + column
-                grads["taps"][:, cols] = np.einsum("bf,bfd->df", own, x[at + j])
+                grads["taps"][:, cols] = np.einsum("bf,bfd->df", own, model.vectors(ids[(at + j).reshape(-1)]).reshape(*at.shape, DIM))
                 rows.append(ids[at + j].reshape(-1, ids.shape[1]))
                 row_grads.append((own[:, :, None] * model.taps[:, cols].T).reshape(-1, DIM))
             tap += width
