@@ -70,6 +70,11 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         _written.remove(name)
 
 
+def release_others(spark: SparkSession, before: list[str], *tags: str) -> None:
+    """Delete what was written since ``before`` (an earlier written()), but for scratch tables of these tags."""
+    release(spark, [p for p in _written if p not in before and not any(f"/tidemark/{t}-" in p for t in tags)])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_by_skewed_key, materialize, mix, prefix_hash, second_hash, slices, span_hash, utf8
+from tidemark.llm.common import join_by_skewed_key, materialize, mix, prefix_hash, release_others, second_hash, sized, slices, span_hash, utf8, written
 
 WINDOW = 3
 _BYTES = 1_000_000
@@ -90,9 +90,15 @@ def _keep(text: str | None, windows: list[dict] | None) -> tuple[str | None, int
     return "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), int(gone.sum())
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns text, windows, then those to pass on."""
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        for i, j in slices(np.diff(utf8(b.column(0))[1]), 4 * _BYTES):
+            yield b.slice(i, j - i)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns text, windows, then those to pass on; some megabytes of text at a time."""
+    for b in _small(batches):
         kept = [_keep(t, w) for t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int32()), *b.columns[2:]], names=["text", "lines_removed", *b.schema.names[2:]]
@@ -103,18 +109,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with ``text_col`` less the lines that later occurrences cover, and lines_removed int.
 
     Lines end at a line feed. Rows are ordered by id (null first), rows that share an id in any fixed
-    order. A null text stays null and has no lines; an empty text is one empty line, so every one but
+    order. Only rows that lose lines shuffle with their texts, the rest pass straight through. A null text stays null and has no lines; an empty text is one empty line, so every one but
     the first counts it as removed and stays empty. A document whose lines all go keeps an empty text.
     A column of docs named lines_removed is replaced.
     """
     own = [c for c in docs.columns if c != "lines_removed"]
+    before = written()
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), F.monotonically_increasing_id().alias("row"))
     keyed = materialize(packed, "line-docs")
     text = F.col(f"doc.`{text_col}`").cast("string")
     texts = keyed.select("row", F.col(f"doc.`{id_col}`").alias("id"), text.alias("text")).filter(F.col("text").isNotNull())
-    spans = later_windows(texts).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("windows"))
+    spans = materialize(later_windows(texts).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("windows")), "line-spans")
+    release_others(docs.sparkSession, before, "line-docs", "line-spans")
+    touched = sized(spans.select("row"), spans.count())
     rest = [c for c in own if c != text_col]
-    wide = keyed.join(spans.hint("shuffle_hash"), "row", "left").select(text.alias("text"), "windows", *[F.col(f"doc.`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    passed = [F.col(f"doc.`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]
+    wide = keyed.join(touched, "row", "left_semi").join(spans.hint("merge"), "row").select(text.alias("text"), "windows", *passed)
     schema = "".join(f", c{i} {wide.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(rest)))
     cut = wide.mapInArrow(_cut, f"text string, lines_removed int{schema}")
-    return cut.select(*[F.col("text").alias(c) if c == text_col else F.col(f"c{rest.index(c)}").alias(c) for c in own], "lines_removed")
+    whole = keyed.join(touched, "row", "left_anti").select(text.alias("text"), F.lit(0).alias("lines_removed"), *passed)
+    return cut.unionByName(whole).select(*[F.col("text").alias(c) if c == text_col else F.col(f"c{rest.index(c)}").alias(c) for c in own], "lines_removed")
