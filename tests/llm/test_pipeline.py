@@ -203,3 +203,15 @@ def test_stages_with_clashing_columns_repeated_ids_and_no_rows(spark, folder, tm
             out.write.parquet(path)
             assert (spark.read.parquet(path).count() > 0) == (rows is d)
         d = spark.read.parquet(str(tmp_path / f"{name}-True"))
+
+
+def test_a_first_result_is_whole_after_a_second_run(spark, outputs, folder):
+    docs = [r for r in outputs[4]]
+    d = spark.createDataFrame(docs, SCHEMA)
+    pack = dict(corpus_pipeline.STAGES)["packing"]
+    first = pack(spark, d, folder)
+    second = pack(spark, d.limit(10), folder)
+    assert second.count() >= 10 and first.count() == len(outputs[5])
+    whole = corpus_pipeline.run(spark, folder)
+    corpus_pipeline.run(spark, folder)
+    assert whole.count() == len(outputs[5])

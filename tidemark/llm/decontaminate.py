@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, HEAVY_SHARE, join_by_skewed_key, lower_az, materialize, sized, text_or_empty
+from tidemark.llm.common import BROADCAST_ROWS, HEAVY_SHARE, join_by_skewed_key, lower_az, materialize, release_others, sized, text_or_empty, written
 
 #: Fixed value: what stands between words, once A-Z are lowered.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -125,8 +125,10 @@ def decontaminate(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without a hit, with all their columns."""
+    before = written()
     packed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "decontaminate-docs")
     texts = packed.select("row", F.col(f"doc.`{id_col}`").alias("doc_id"), F.col(f"doc.`{text_col}`").alias("text"))
     found = decontaminate(texts, benchmark, n, id_col="doc_id", text_col="text", row=F.col("row"))
     gone = materialize(found.filter("contaminated").select("row"), "contaminated")
+    release_others(docs.sparkSession, before, "decontaminate-docs", "contaminated")
     return packed.join(sized(gone, gone.count()), "row", "left_anti").select("doc.*")

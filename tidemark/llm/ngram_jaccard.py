@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_by_skewed_key, materialize, mix, partitions, sized, slices, utf8, words
+from tidemark.llm.common import join_by_skewed_key, materialize, mix, partitions, release_others, sized, slices, utf8, words, written
 
 #: A pair at similarity 0.8 shares one of 30 bands of 7 rows with probability 0.999, one at 0.3 with 0.007.
 N, THRESHOLD, BANDS, ROWS = 5, 0.8, 30, 7
@@ -267,9 +267,11 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of docs that jaccard_join would keep, with all their columns."""
     bands, rows = _chosen(threshold, target_recall, bands, rows)
+    before = written()
     packed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "jaccard-docs")
     keyed = packed.select("row", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").cast("string").alias("text"))
     gone = materialize(_join(keyed, n, threshold, bands, rows).filter(~F.col("keep")).select("row"), "near-duplicates")
+    release_others(docs.sparkSession, before, "jaccard-docs", "near-duplicates")
     return packed.join(sized(gone, gone.count()), "row", "left_anti").select("doc.*")
 
 
