@@ -14,35 +14,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common, decontaminate, line_dedup, ngram_jaccard, packing, toxicity
 
-_of_stage: list[str] = []
-
-
-def _begin(spark: SparkSession) -> list[str]:
-    """What an earlier stage wrote for itself can go: its result has been written."""
-    there = common.written()
-    common.release(spark, [p for p in _of_stage if p in there])
-    _of_stage.clear()
-    return common.written()
-
-
-def _end(before: list[str], result: DataFrame) -> DataFrame:
-    _of_stage.extend(p for p in common.written() if p not in before)
-    return result
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of their language stay."""
-    before = _begin(spark)
-    return _end(before, toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, less the lines of windows that occurred before; n_chars follows the text."""
-    before = _begin(spark)
     cut = line_dedup.line_dedup(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return _end(before, cut.select(*docs.columns))
+    return cut.select(*docs.columns)
 
 
 #: A digit, a letter or any character beyond ASCII.
@@ -64,20 +46,17 @@ def _less_emptied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, and none of those that line dedup emptied."""
-    before = _begin(spark)
-    return _end(before, ngram_jaccard.drop_near_duplicates(_less_emptied(spark, docs, sf_dir)).select(*docs.columns))
+    return ngram_jaccard.drop_near_duplicates(_less_emptied(spark, docs, sf_dir)).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window stay."""
-    before = _begin(spark)
-    return _end(before, decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns))
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, as pieces with their places in sequences."""
-    before = _begin(spark)
-    return _end(before, packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -93,11 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = common.new_path(spark, f"pipeline-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """The packed corpus. What a stage wrote for itself goes when its result is written, and that when the next one is. What the returned rows rest on stays."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        before = common.written()
+        made = stage(spark, docs, sf_dir)
+        path = common.scratch_path(spark, f"pipeline-{name}")
+        made.write.parquet(path)
+        common.release(spark, [p for p in common.written() if p not in before and p != path] + last)
+        docs, last = spark.read.parquet(path), [path]
+    return STAGES[-1][1](spark, docs, sf_dir)
