@@ -34,10 +34,10 @@ def test_what_the_filter_lets_through_is_settled_exactly(spark, monkeypatch):
     """A filter so full that it rejects nothing changes no result."""
     monkeypatch.setattr(references, "_filter", lambda df, name: np.ones(references.BITS, bool))
     parent = spark.range(0, 2000, 2).withColumnRenamed("id", "k")
-    child = spark.range(2, 2002).withColumnRenamed("id", "k")
+    child = spark.range(2000).select((F.col("id") % 1000 + 2).alias("k"))
     assert references.discover({"p": parent, "c": child}, 0.05, True)[1].filter("child = 'c'").count() == 0
     found = references.discover({"p": parent, "c": child}, 0.6, True)[1].filter("child = 'c'").first()
-    assert found["orphans"] == 1001
+    assert found["orphans"] == 1000
 
 
 def test_the_filter_of_a_key_has_all_its_values(spark):
