@@ -103,12 +103,12 @@ def slug(name: Column) -> Column:
 
 
 def json_ready(df: DataFrame) -> DataFrame:
-    """df with values that JSON can hold: no NaN or infinity, dates and times as ISO text, decimals as doubles, bytes as base64."""
+    """df with values that JSON can hold: no NaN or infinity, four decimals, dates and times as ISO text, decimals as doubles, bytes as base64."""
     out = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+            c = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.round(c, 4))
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):

@@ -103,6 +103,11 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if is_numeric(f.dataType)][:MAX_COLUMNS]
 
 
+def default_correlation_columns(df: DataFrame) -> list[str]:
+    """What is correlated where no columns are named: the first eight numeric ones."""
+    return [n for n in numeric_columns(df) if not isinstance(kind(df, n), T.BooleanType)][:8]
+
+
 def date_column(df: DataFrame) -> str | None:
     """The first column with a date's type, or text with a date's name; numbers are never dates."""
     import re

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,7 +179,17 @@ def clean(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> tuple[Dat
     Identifiers and dates are never imputed; text is turned into numbers before nulls are filled, and
     outliers are judged after. The figures that decide are gathered for all columns at once from the
     table without duplicates, which is kept for that; the cleaned table is then one projection of it.
+    What is kept stays so while the result may be read; clean_and_save lets go of it.
     """
+    out, report, _ = _cleaned(df, config)
+    return out, df.sparkSession.createDataFrame(report, _REPORT)
+
+
+_REPORT = "step string, column string, detail string"
+
+
+def _cleaned(df: DataFrame, config: CleaningConfig) -> tuple[DataFrame, list[tuple[str, str | None, str]], DataFrame]:
+    """The cleaned table, the report, and the table that is kept meanwhile."""
     report: list[tuple[str, str | None, str]] = []
     if config.remove_duplicates:
         df = drop_duplicates(df)
@@ -186,7 +197,7 @@ def clean(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> tuple[Dat
     if config.normalize_names:
         df, renamed = normalize_names(df)
         report += [("rename", new, old) for old, new in renamed.items()]
-    base = df.persist()
+    kept = base = df.persist()
     found = figures(base)
     kinds = {k: [f for f in found if f.classification == k] for k in ("identifier", "datetime", "numeric", "categorical", "text")}
     base = _clean_numbers(base, kinds["numeric"], config, report)
@@ -202,7 +213,37 @@ def clean(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> tuple[Dat
     if config.check_references and names:
         one = base.agg(*[F.count(F.when(F.col(f"`{n}`").cast("string").rlike(PLACEHOLDER), 1)).alias(n) for n in names]).first()
         report += [("references", f.name, f"{f.rows - f.known} missing, {one[f.name]} placeholders") for f in kinds["identifier"]]
-    return base, df.sparkSession.createDataFrame(report, "step string, column string, detail string")
+    return base, report, kept
+
+
+def clean_and_save(df: DataFrame, base: str, org: str, dataset: str, config: CleaningConfig = CleaningConfig(), fmt: str = "parquet") -> DataFrame:
+    """Clean a table, write it as the dataset's cleaned artifact, and tell of it in one row: rows_before, rows_after, duplicates_removed, columns_modified (sorted array), steps (array of step, column, detail), elapsed_ms, location.
+
+    Nothing stays cached. The location is relative to ``base``.
+    """
+    from tidemark.sources.tables import write_clean  # sources read names by this module
+
+    began = time.monotonic()
+    before = df.count()
+    out, report, kept = _cleaned(df, config)
+    try:
+        path = write_clean(out, base, org, dataset, fmt)
+        after = kept.count()
+    finally:
+        kept.unpersist()
+    changed = sorted({c for step, c, detail in report if c and (step in ("convert", "categories") or step == "nulls" and "filled" in detail or step == "outliers" and config.outliers == "cap")})
+    steps = [(step, c, detail) for step, c, detail in report]
+    row = (before, after, before - after, changed, steps, round((time.monotonic() - began) * 1000, 2), path.removeprefix(base.rstrip("/") + "/"))
+    return df.sparkSession.createDataFrame([row], f"rows_before long, rows_after long, duplicates_removed long, columns_modified array<string>, steps array<struct<{_REPORT.replace(' string', ': string')}>>, elapsed_ms double, location string")
+
+
+def preview_summary(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> DataFrame:
+    """One row of what clean would do: rows_before, rows_after (estimated), duplicates, duplicate_pct, columns_to_modify (sorted array of cleaned names, renaming alone not counted)."""
+    acts = {r["column"]: set(r["actions"].split(",")) - {"", "rename"} for r in preview(df, config).collect()}  # a row for each column
+    named = sorted((normalize_name(c) if config.normalize_names else c) for c, own in acts.items() if own)
+    one = duplicate_report(df)
+    left = F.col("rows_after") if config.remove_duplicates else F.col("rows")
+    return one.select(F.col("rows").alias("rows_before"), left.alias("rows_after"), "duplicates", "duplicate_pct", F.array(*[F.lit(n) for n in named]).cast("array<string>").alias("columns_to_modify"))
 
 
 def _clean_numbers(df: DataFrame, found: list[Figures], config: CleaningConfig, report: list) -> DataFrame:

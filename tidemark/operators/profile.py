@@ -7,8 +7,11 @@ and one count of values by column. What a column is taken for is decided from th
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,6 +126,43 @@ def profile_columns(df: DataFrame, found: list[Figures] | None = None) -> DataFr
     return df.sparkSession.createDataFrame(rows, "column string, classification string, null_count long, null_pct double, distinct_count long, distinct_pct double")
 
 
+def _least(columns: int, k: int):
+    """The k least texts of each column of a task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[set[str]] = [set() for _ in range(columns)]
+        for b in batches:
+            for i in range(columns):
+                held[i] = set(sorted(held[i] | set(pc.unique(b.column(i).drop_null()).to_pylist()), key=str.encode)[:k])
+        rows = [(i, v) for i, own in enumerate(held) for v in own]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.string())], names=["i", "value"])
+
+    return task
+
+
+def samples(df: DataFrame, k: int = 5) -> DataFrame:
+    """column, samples: k distinct values of each column as text, the first in order of their bytes, so that the same table gives the same ones; each task keeps k."""
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    found = texts.mapInArrow(_least(len(df.columns), k), "i int, value string").groupBy("i").agg(F.slice(F.array_sort(F.collect_set("value")), 1, k).alias("samples"))  # k values a task
+    names = F.array(*[F.lit(c) for c in df.columns])
+    every = df.sparkSession.range(len(df.columns)).select(F.col("id").cast("int").alias("i"))
+    return every.join(F.broadcast(found), "i", "left").select(F.element_at(names, F.col("i") + 1).alias("column"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+
+
+#: Bytes of a value by type, where they are fixed.
+_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def memory(df: DataFrame) -> DataFrame:
+    """column, bytes: what the values of each column take, texts by their UTF-8, nulls nothing."""
+    sizes = []
+    for f in df.schema:
+        c, width = F.col(f"`{f.name}`"), _WIDTHS.get(f.dataType.simpleString())
+        sizes.append(F.count(c) * width if width else F.coalesce(F.sum(F.octet_length(c.cast("string"))), F.lit(0)))
+    one = df.agg(*[x.cast("long").alias(f"b{i}") for i, x in enumerate(sizes)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"b{i}").alias("bytes")) for i, f in enumerate(df.schema)])))
+
+
 def profile_numeric(df: DataFrame, names: list[str]) -> DataFrame:
     """column, min, max, mean, median, std, p25, p50, p75, is_integer, inconsistent of numeric columns."""
     asked = []

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -315,6 +316,50 @@ add("clean_cap", lambda s, d: clean.cap_outliers(read_table(s, d, "events").sele
 add("clean_negative", lambda s, d: clean.outlier_report(read_table(s, d, "supplier"), "s_acctbal").select("column", "negatives"), "SELECT 's_acctbal' AS \"column\", count(*) FILTER (s_acctbal < 0) AS negatives FROM supplier")
 add("clean_ref_audit", lambda s, d: clean.reference_audit(_dirty(s, d), "customer_id"), "SELECT 'customer_id' AS \"column\", count(*) - count(customer_id) AS missing, count(*) FILTER (regexp_matches(customer_id, '(9999|unknown|dummy|temp|null|test)', 'i')) AS placeholders FROM {D}")
 add("clean_preview", lambda s, d: clean.preview(_dirty(s, d)).select("column", "missing", "missing_pct"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, round((count(*) - count({c})) / count(*) * 100, 2) AS missing_pct FROM {{D}}" for c in _KINDS))
+add(
+    "clean_preview_actions",
+    lambda s, d: clean.preview(_dirty(s, d)).select("column", "actions"),
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column, concat_ws(',', {acts}) AS actions FROM {{D}} HAVING count(*) >= 0"
+        for c, kind in _KINDS.items()
+        for filled in [f"CASE WHEN count(*) > count({c}) THEN 'impute' END"]
+        for acts in [{"numeric": f"{filled}, {chr(39) + 'convert' + chr(39) if c.endswith('text') else 'NULL'}", "categorical": f"{filled}, 'unify'", "datetime": "'convert'"}.get(kind, "NULL")]
+    ),
+)
+_WITH_REPEATS = "(SELECT * FROM {D} UNION ALL SELECT * FROM {D} WHERE order_id % 50 = 3)"
+
+
+def _repeated(s: SparkSession, d: str) -> DataFrame:
+    return _dirty(s, d).unionByName(_dirty(s, d).filter("order_id % 50 = 3"))
+
+
+add(
+    "clean_preview_summary",
+    lambda s, d: clean.preview_summary(_repeated(s, d)).withColumn("columns_to_modify", F.array_join("columns_to_modify", ",")),
+    f"SELECT count(*) AS rows_before, (SELECT count(*) FROM {{D}}) AS rows_after, count(*) - (SELECT count(*) FROM {{D}}) AS duplicates, round((count(*) - (SELECT count(*) FROM {{D}})) / count(*) * 100, 2) AS duplicate_pct, 'amount_text,order_date,price,priority' AS columns_to_modify FROM {_WITH_REPEATS}",
+)
+
+
+def _clean_saved(s: SparkSession, d: str) -> DataFrame:
+    """The report of a cleaning that was written, and how many rows are there."""
+    base = _folder(s, "cleaned")
+    told = clean.clean_and_save(_repeated(s, d), base, "org1", "ds1")
+    there = s.read.parquet(f"{base}/org1/ds1/clean").agg(F.count(F.lit(1)).alias("written"))
+    return told.join(F.broadcast(there)).select("rows_before", "rows_after", "duplicates_removed", F.array_join("columns_modified", ",").alias("columns_modified"), (F.col("elapsed_ms") > 0).alias("timed"), "location", "written")
+
+
+add(
+    "clean_apply",
+    _clean_saved,
+    f"SELECT count(*) AS rows_before, (SELECT count(*) FROM {{D}}) AS rows_after, count(*) - (SELECT count(*) FROM {{D}}) AS duplicates_removed, 'amount_text,order_date,price,priority' AS columns_modified, true AS timed, 'org1/ds1/clean' AS location, (SELECT count(*) FROM {{D}}) AS written FROM {_WITH_REPEATS}",
+)
+add(
+    "clean_report",
+    lambda s, d: clean.clean(_dirty(s, d))[1].filter("step <> 'outliers'"),
+    "WITH t AS (SELECT count(*) AS n, count(priority) AS p, count(amount_text) AS k, count(TRY_CAST(amount_text AS DOUBLE)) AS a, count(price) AS c, count(order_date) AS o, count(TRY_CAST(replace(order_date, '/', '-') AS DATE)) AS d, count(customer_id) AS i, count(*) FILTER (regexp_matches(customer_id, '9999')) AS r, count(*) FILTER (regexp_matches(CAST(order_id AS VARCHAR), '9999')) AS q FROM {D}) "
+    "SELECT 'dedup' AS step, NULL::VARCHAR AS column, 'exact duplicates dropped' AS detail UNION ALL SELECT 'convert', 'amount_text', a || ' numbers, ' || (k - a) || ' failures' FROM t UNION ALL SELECT 'nulls', 'amount_text', (n - a) || ' filled by median' FROM t UNION ALL SELECT 'nulls', 'price', (n - c) || ' filled by median' FROM t UNION ALL SELECT 'nulls', 'priority', (n - p) || ' filled by mode' FROM t "
+    "UNION ALL SELECT 'categories', 'priority', 'spellings unified' UNION ALL SELECT 'convert', 'order_date', d || ' dates, ' || (o - d) || ' failures' FROM t UNION ALL SELECT 'nulls', 'customer_id', (n - i) || ' nulls left in identifier' FROM t UNION ALL SELECT 'references', 'order_id', '0 missing, ' || q || ' placeholders' FROM t UNION ALL SELECT 'references', 'customer_id', (n - i) || ' missing, ' || r || ' placeholders' FROM t",
+)
 add(
     "clean_pipeline",
     lambda s, d: clean.clean(_dirty(s, d))[0],
@@ -551,6 +596,17 @@ add(
     _EVENT_FORECASTS + f", r AS (SELECT 'org1' AS org_id, 'ds1' AS dataset_id, key AS metric, bucket, round(y, 4) AS value FROM f) SELECT * FROM r WHERE NOT (metric = '{_M}' AND bucket >= (SELECT min(bucket) + 7 FROM r WHERE metric = '{_M}')) UNION ALL SELECT org_id, dataset_id, metric, CAST(bucket + 7 AS DATE), round(value + 1, 4) FROM r WHERE metric = '{_M}'",
 )
 add("persist_audit", _persist_audit, f"WITH {_FOUND}, {_OLD} SELECT org_id, dataset_id, metric, max(bucket) AS bucket, 'detected' AS action, count(*) AS n FROM a GROUP BY 1, 2, 3 UNION ALL SELECT org_id, dataset_id, metric, max(bucket), 'listed', count(*) FROM o GROUP BY 1, 2, 3")
+_EXPECTED = "CASE WHEN metric = 'view' THEN NULL WHEN metric = 'cart' THEN 0 ELSE 100 END"
+add(
+    "list_anomalies_deviation",
+    lambda s, d: store.listed_anomalies(_old(s, d).withColumn("expected", F.expr(_EXPECTED).cast("double")), "org1", "ds1", severity="low"),
+    f"WITH {_OLD} SELECT *, CAST({_EXPECTED} AS DOUBLE) AS expected, round((value - {_EXPECTED}) / greatest(abs({_EXPECTED}), 1e-6) * 100, 2) AS deviation_pct FROM o WHERE severity = 'low'",
+)
+add(
+    "list_datasets",
+    lambda s, d: store.listed_datasets(read_table(s, d, "orders").selectExpr("CASE WHEN o_orderkey % 2 = 0 THEN 'org1' ELSE 'org2' END AS org_id", "o_orderkey AS dataset_id", "o_orderdate AS created_at"), "org1", limit=30, offset=12),
+    "SELECT 'org1' AS org_id, o_orderkey AS dataset_id, o_orderdate AS created_at FROM orders WHERE o_orderkey % 2 = 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 30 OFFSET 12",
+)
 add("list_anomalies", lambda s, d: store.listed(_old(s, d), "org1", severity="low", limit=12, offset=3), f"WITH {_OLD} SELECT * FROM o WHERE severity = 'low' ORDER BY bucket DESC, metric LIMIT 12 OFFSET 3")
 add("ml_summary", lambda s, d: store.summary(_found(s, d), _old(s, d), "org1"), f"WITH {_FOUND}, {_OLD} SELECT (SELECT count(*) FROM a) AS anomalies, (SELECT count(*) FROM a WHERE severity = 'critical') AS critical, (SELECT count(*) FROM a WHERE severity = 'high') AS high, (SELECT count(*) FROM a WHERE severity = 'medium') AS medium, (SELECT count(*) FROM a WHERE severity = 'low') AS low, (SELECT count(*) FROM o) AS forecasts, (SELECT count(*) FROM (SELECT metric FROM a UNION SELECT metric FROM o)) AS metrics")
 add("audit_append", lambda s, d: store.audit(_old(s, d).groupBy("org_id").agg(F.lit("load").alias("action"), F.lit("{}").alias("details"), F.max("bucket").alias("at")), "org1", "rca_run", F.to_json(F.struct(F.lit("value").alias("metric"))), F.lit(date(2024, 2, 1))), f"WITH {_OLD} SELECT org_id, 'load' AS action, '{{}}' AS details, max(bucket) AS at FROM o GROUP BY org_id UNION ALL SELECT 'org1', 'rca_run', '{{\"metric\":\"value\"}}', DATE '2024-02-01'")
@@ -560,6 +616,21 @@ add(
     lambda s, d: store.sync_columns(s.createDataFrame([("ds1", "gone", "text", True), ("ds2", "stays", "text", False)], "dataset_id string, column string, classification string, nullable boolean"), profile.profile_columns(_dirty(s, d)), "ds1"),
     "SELECT 'ds2' AS dataset_id, 'stays' AS \"column\", 'text' AS classification, false AS nullable UNION ALL " + " UNION ALL ".join(f"SELECT 'ds1', '{c}', '{k}', count(*) > count({c}) FROM {{D}}" for c, k in _KINDS.items()),
 )
+add(
+    "prof_samples",
+    lambda s, d: profile.samples(_dirty(s, d)).select("column", F.array_join("samples", "|").alias("samples")),
+    " UNION ALL ".join(f"SELECT '{c}' AS column, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {text} AS v FROM {{D}} WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS samples" for c in _KINDS if c != "price" for text in [f"CAST({c} AS VARCHAR)"]) + " UNION ALL SELECT 'price', (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST(price AS VARCHAR) AS v FROM {D} WHERE price IS NOT NULL ORDER BY v LIMIT 5))",
+)
+add(
+    "prof_memory",
+    lambda s, d: profile.memory(_orders(s, d)),
+    " UNION ALL ".join(f"SELECT '{c}' AS column, CAST({size} AS BIGINT) AS bytes FROM {{O}}" for c, size in (("order_id", "8 * count(order_id)"), ("customer_id", "8 * count(customer_id)"), ("status", "sum(octet_length(encode(status)))"), ("priority", "sum(octet_length(encode(priority)))"), ("total_amount", "8 * count(total_amount)"), ("order_date", "4 * count(order_date)"))),
+)
+add(
+    "corr_default_columns",
+    lambda s, d: agg.correlation(_lineitem(s, d), agg.default_correlation_columns(_lineitem(s, d))).filter("x < y"),
+    " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 4) AS value FROM lineitem" for x, y in combinations(sorted(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]), 2)),
+)
 add("rca_date_column", lambda s, d: s.createDataFrame([(rca_date_column(_dirty(s, d)),)], "date_column string"), "SELECT 'order_date' AS date_column")
 
 

@@ -38,6 +38,22 @@ def listed(table: DataFrame, org: str, metric: str | None = None, severity: str
     return found.orderBy(F.desc(when), "metric").offset(offset).limit(limit)
 
 
+def listed_anomalies(table: DataFrame, org: str, dataset: str, metric: str | None = None, severity: str | None = None, when: str = "bucket") -> DataFrame:
+    """A dataset's stored anomalies, newest first, with deviation_pct: how far value lies from expected, in percent of it; null where either is."""
+    found = table.filter((F.col("org_id") == org) & (F.col("dataset_id") == dataset))
+    if metric:
+        found = found.filter(F.col("metric") == metric)
+    if severity:
+        found = found.filter(F.col("severity") == severity.lower())
+    away = (F.col("value") - F.col("expected")) / F.greatest(F.abs("expected"), F.lit(1e-6)) * 100
+    return found.withColumn("deviation_pct", F.when(F.col("expected").isNotNull(), F.round(away, 2))).orderBy(F.desc(when), "metric")
+
+
+def listed_datasets(catalog: DataFrame, org: str, limit: int = 50, offset: int = 0, when: str = "created_at") -> DataFrame:
+    """A page of an organisation's datasets, newest first."""
+    return catalog.filter(F.col("org_id") == org).orderBy(F.desc(when), "dataset_id").offset(offset).limit(limit)
+
+
 def summary(anomalies: DataFrame, forecasts: DataFrame, org: str) -> DataFrame:
     """One row: anomalies by severity, all of them, forecasts, metrics in either table."""
     a, f = anomalies.filter(F.col("org_id") == org), forecasts.filter(F.col("org_id") == org)
