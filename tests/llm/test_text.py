@@ -8,6 +8,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from cases import SCHEMA, documents
 from test_dedup import words
 
@@ -147,6 +148,24 @@ def corpus(n: int = 900):
     return docs, labels
 
 
+def test_a_word_in_nine_of_ten_places_makes_no_large_task(spark):
+    texts = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda x: F.when(x % 10 > 0, F.lit("the")).otherwise(F.concat(F.lit("w"), F.pmod(F.xxhash64("id", x), F.lit(3000)))))
+    each = spark.range(0, 400, 1, 8).select(F.col("id").alias("row"), F.col("id").alias("doc_id"), F.posexplode(texts).alias("pos", "word"))
+    terms = spark.createDataFrame([(w, k) for k, w in enumerate(["the", *(f"w{k}" for k in range(0, 3000, 2))])], "word string, term long")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        dealt = decontaminate._dealt(each, terms)
+        sizes = sorted(r["count"] for r in dealt.filter("word != 'the'").groupBy(F.spark_partition_id()).count().collect())
+        whole = sorted(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(whole) == each.join(terms, "word").count() and dealt.filter("word = 'the'").count() == 72_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2] and whole[-1] <= 72_000 / 8 * 1.5
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     docs, labels = corpus()

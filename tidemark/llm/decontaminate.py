@@ -35,10 +35,25 @@ def benchmark_windows(benchmark: DataFrame, n: int, item_col: str, text_col: str
     return numbered.select("wid", "words"), numbered.select("wid", F.explode("items").alias("item"))
 
 
+def _dealt(each: DataFrame, terms: DataFrame) -> DataFrame:
+    """each (row, doc_id, pos, word) with the term of its word, words that are no term left out.
+
+    Words with a large share of all places are few; their terms are broadcast, and they are gone before the rest shuffle by word.
+    """
+    counts = materialize(each.groupBy("word").agg(F.count(F.lit(1)).alias("uses")), "word-counts")
+    total = counts.agg(F.sum("uses")).first()[0] or 0
+    heavy = counts.filter(F.col("uses") > max(1.0, total * HEAVY_SHARE)).select("word")  # at most 1 / HEAVY_SHARE words
+    common = each.join(F.broadcast(heavy.join(terms, "word")), "word")
+    return common.unionByName(each.join(F.broadcast(heavy), "word", "left_anti").join(terms.hint("merge"), "word"))
+
+
 def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, id_col: str, text_col: str, row: Column | None = None) -> DataFrame:
     """Postings (row, doc_id, pos, term) of the given terms; each row also has a posting of term -1 at its word count."""
     row = F.monotonically_increasing_id() if row is None else row
     words = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("doc_id"), words_of(text_or_empty(text_col)).alias("words"))
+    if n_terms > BROADCAST_ROWS:
+        ends = words.select("row", "doc_id", F.size("words").alias("pos"), F.lit(-1).cast("long").alias("term"))
+        return materialize(_dealt(words.select("row", "doc_id", F.posexplode("words").alias("pos", "word")), terms).select("row", "doc_id", "pos", "term").unionByName(ends), "postings")
     each = words.select("row", "doc_id", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
     found = each.join(sized(terms, n_terms), "word", "left").filter(F.col("term").isNotNull() | F.col("word").isNull())
     return materialize(found.select("row", "doc_id", "pos", F.coalesce("term", F.lit(-1)).alias("term")), "postings")
