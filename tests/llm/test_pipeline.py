@@ -185,6 +185,9 @@ def test_queries_without_sql(spark, folder, outputs, name):
         label = {i: t if name.startswith("op7") else q for i, q, t in labels}
         right = [r["predicted"] == label[r["doc_id"]] for r in got if r["doc_id"] in label]
         assert all(0 <= r["score"] <= 1 for r in got) and np.mean(right) > 0.85
+        cut, modulus, fold = (0.7, 3, 1) if name.startswith("op7") else (0.3, 5, 0)
+        assert all(r["predicted"] == (r["score"] >= cut) for r in got)
+        assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % modulus == fold) for r in got)
 
 
 def test_stages_with_clashing_columns_repeated_ids_and_no_rows(spark, folder, tmp_path):

@@ -156,7 +156,9 @@ def _repair_sql() -> str:
         d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
             unnest(CASE kind WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM c),
         n AS (SELECT *, row_number() OVER o AS i, left(role, 1) AS initial, lag(left(role, 1)) OVER o AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
-            NOT regexp_matches(text, '[^ 	-]') AS blank, NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut FROM d WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+            NOT regexp_matches(text, '[^ 	-
+]') AS blank, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut FROM d WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
         w AS (SELECT *, blank OR again AS goes, CASE WHEN cut AND NOT blank AND NOT again THEN 3 ELSE 0 END AS extra FROM n),
         r AS (SELECT conv_id, max(i) AS i, {end} FROM w GROUP BY conv_id
             UNION ALL SELECT conv_id, i - 1, {last} FROM (SELECT r.conv_id, r.i, {', '.join(states)} FROM r JOIN w ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i)),
@@ -169,6 +171,16 @@ def _repair_sql() -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        s AS (SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT r, count(*) AS size FROM s GROUP BY r),
+        p AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+        k AS (SELECT x, y FROM p JOIN n u ON u.r = x JOIN n v ON v.r = y WHERE shared >= 0.8 * (u.size + v.size - shared)),
+        l AS (SELECT x, y FROM k UNION ALL SELECT y, x FROM k),
+        c AS (SELECT r, r AS t FROM d UNION SELECT c.r, l.y FROM c JOIN l ON c.t = l.x)
+        SELECT d.doc_id, min(e.doc_id) AS class_id, (SELECT count(*) FROM l WHERE l.x = d.r) AS n_links, min(c.t) = d.r AS keep FROM d JOIN c ON c.r = d.r JOIN d e ON e.r = c.t GROUP BY d.r, d.doc_id
+    """,
     "op11_prefix_trie": rf"""
         WITH s AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
