@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import json_ready, slug
 from tidemark.operators import aggregate as agg
-from tidemark.operators import anomaly, clean, neighbours, profile, rca_lattice, references, relational, timeseries
+from tidemark.operators import anomaly, clean, isolation, neighbours, profile, rca_lattice, references, relational, timeseries
 from tidemark.operators import filters as filt
 from tidemark.operators.file_profiles import FileProfiles
 from tidemark.operators.heavy_hitters import heavy_hitters
@@ -386,6 +386,9 @@ add("anomaly_zero_variance", lambda s, d: anomaly.detect_anomalies(_events(s, d)
 add("anomaly_isolation_forest", lambda s, d: anomaly.isolation_anomalies(_events(s, d), AnomalyRequest("ts", "value", sensitivity="high"), ["event_type"]), None)
 
 
+add("anomaly_forest_rows", lambda s, d: isolation.isolation_scores(_lineitem(s, d), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), None)
+
+
 # --- forecasts
 def _t(v: str) -> str:
     """The 0.975 quantile of Student's t for v degrees, as a series in 1 / v around the normal one."""
