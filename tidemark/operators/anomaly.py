@@ -18,6 +18,16 @@ CONTAMINATION = {"low": 0.01, "medium": 0.03, "high": 0.05}
 FOREST_MIN_POINTS, TREES, SEED, FLAT = 20, 100, 42, 1e-9
 
 
+def run_facts(series: DataFrame, request: AnomalyRequest, today: Column | None = None) -> DataFrame:
+    """Where a run's results come from: start_date, end_date, observations, recency_lag_days (0 at least), cadence, aggregation, method, threshold, of a prepared series (bucket, value)."""
+    today = F.current_date() if today is None else today
+    one = series.agg(F.min("bucket").alias("start_date"), F.max("bucket").alias("end_date"), F.count(F.lit(1)).alias("observations"))
+    said = {"cadence": request.cadence, "aggregation": request.aggregation, "method": "rolling_z"}
+    lag = F.greatest(F.lit(0), F.datediff(today, "end_date"))
+    return one.select("*", lag.alias("recency_lag_days"), *[F.lit(v).alias(k) for k, v in said.items()], F.lit(THRESHOLDS[request.sensitivity]).alias("threshold"))
+
+
+#: Fixed values of the ladder below: deviations in z and in percent from which a point is critical, high or medium.
 def severity(z: Column, deviation: Column) -> Column:
     return (
         F.when((F.abs(z) >= 4) | (F.abs(deviation) >= 75), "critical")

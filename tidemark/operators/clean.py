@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 from tidemark.functions.expressions import day, number, r4
 from tidemark.functions.quantiles import quantiles
 from tidemark.operators.aggregate import value_counts
-from tidemark.operators.profile import Figures, figures
+from tidemark.operators.profile import METRIC_NAME, Figures, figures
 from tidemark.plans.requests import CleaningConfig
 
 #: What a placeholder among identifiers looks like; bounds of the outlier rule.
 PLACEHOLDER = r"(?i)(9999|unknown|dummy|temp|null|test)"
 OUTLIER_MIN_ROWS, OUTLIER_FACTOR = 10, 1.5
-#: Distinct spellings up to which a column's map of spellings is a literal of the plan; more are joined.
-LITERAL_MAP = 1000
+#: Changed spellings up to which their map is broadcast; a longer one is joined by a shuffle.
+MAP_ROWS = 100_000
 
 
 def normalize_name(name: str) -> str:
@@ -84,17 +84,16 @@ def spellings(df: DataFrame, name: str) -> DataFrame:
 
 
 def normalize_categories(df: DataFrame, name: str) -> DataFrame:
-    """Nulls stay; the map of changed spellings is a literal where it is short, a join where it is long."""
+    """Nulls stay and take no part in a join; the map of changed spellings is broadcast unless it is long."""
     changed = spellings(df, name).filter("value <> canonical")
-    few = changed.limit(LITERAL_MAP + 1).collect()
-    c = F.col(f"`{name}`")
+    few = changed.limit(MAP_ROWS + 1).collect()
     if not few:
         return df
-    if len(few) <= LITERAL_MAP:
-        pairs = F.create_map(*[F.lit(x) for r in few for x in (r["value"], r["canonical"])])
-        return df.withColumn(name, F.coalesce(pairs[c], c))
-    told = changed.withColumnsRenamed({"value": "_value", "canonical": "_canonical"})
-    return df.join(told, c == F.col("_value"), "left").withColumn(name, F.coalesce("_canonical", c)).drop("_value", "_canonical")
+    c = F.col(f"`{name}`")
+    told = changed if len(few) > MAP_ROWS else F.broadcast(df.sparkSession.createDataFrame(few, changed.schema))
+    known = df.filter(c.isNotNull()) if len(few) > MAP_ROWS else df
+    made = known.join(told.withColumnsRenamed({"value": "_value", "canonical": "_canonical"}), c == F.col("_value"), "left").withColumn(name, F.coalesce("_canonical", c)).select(*[F.col(f"`{x}`") for x in df.columns])
+    return made if known is df else made.unionByName(df.filter(c.isNull()))
 
 
 def iso_dates(df: DataFrame, name: str) -> DataFrame:
@@ -118,11 +117,12 @@ def outlier_bounds(df: DataFrame, name: str) -> DataFrame:
 
 
 def outlier_report(df: DataFrame, name: str) -> DataFrame:
-    """column, lower, upper, outliers, negatives."""
+    """column, lower, upper, outliers, negatives, invalid: negatives where the column is named like a metric, which has none."""
     n = number(df, name)
     counted = df.join(F.broadcast(outlier_bounds(df, name)))  # one row
     out = counted.agg(F.max("lower").alias("lower"), F.max("upper").alias("upper"), F.count(F.when((n < F.col("lower")) | (n > F.col("upper")), 1)).alias("outliers"), F.count(F.when(n < 0, 1)).alias("negatives"))
-    return out.select(F.lit(name).alias("column"), "lower", "upper", "outliers", "negatives")
+    invalid = F.when(F.lit(bool(re.search(METRIC_NAME, name))), F.col("negatives")).otherwise(0).cast("long")
+    return out.select(F.lit(name).alias("column"), "lower", "upper", "outliers", "negatives", invalid.alias("invalid"))
 
 
 def outlier_samples(df: DataFrame, name: str, n: int = 5) -> DataFrame:

@@ -17,7 +17,7 @@ from tidemark.operators.filters import require
 from tidemark.operators.heavy_hitters import heavy_hitters
 from tidemark.plans.requests import RCARequest
 
-#: Fixed values of the interface.
+#: Fixed values of the interface; so are the texts of status, direction and elasticity_status below.
 TOP, MAX_DRIVERS, NO_CHANGE, SMALL, SIGNIFICANT = 20, 50, 1e-6, 1e-6, 2.0
 
 

@@ -311,7 +311,7 @@ add("clean_date_iso", lambda s, d: clean.iso_dates(_dirty(s, d).select("order_id
 add("clean_numcast", lambda s, d: clean.cast_report(_dirty(s, d), "amount_text", "number"), "SELECT 'amount_text' AS \"column\", count(TRY_CAST(amount_text AS DOUBLE)) AS success, count(amount_text) - count(TRY_CAST(amount_text AS DOUBLE)) AS failure FROM {D}")
 add("clean_datecast", lambda s, d: clean.cast_report(_dirty(s, d), "order_date", "date"), "SELECT 'order_date' AS \"column\", count(TRY_CAST(replace(order_date, '/', '-') AS DATE)) AS success, count(order_date) - count(TRY_CAST(replace(order_date, '/', '-') AS DATE)) AS failure FROM {D}")
 _BOUNDS = "(SELECT round(q1 - (q3 - q1) * 1.5, 4) AS lo, round(q3 + (q3 - q1) * 1.5, 4) AS hi FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {t}))"
-add("clean_outlier_report", lambda s, d: clean.outlier_report(read_table(s, d, "events"), "value"), f"SELECT 'value' AS \"column\", max(lo) AS lower, max(hi) AS upper, count(*) FILTER (value < lo OR value > hi) AS outliers, count(*) FILTER (value < 0) AS negatives FROM events, {_BOUNDS.replace('{c}', 'value').replace('{t}', 'events')}")
+add("clean_outlier_report", lambda s, d: clean.outlier_report(read_table(s, d, "events"), "value"), f"SELECT 'value' AS \"column\", max(lo) AS lower, max(hi) AS upper, count(*) FILTER (value < lo OR value > hi) AS outliers, count(*) FILTER (value < 0) AS negatives, count(*) FILTER (value < 0) AS invalid FROM events, {_BOUNDS.replace('{c}', 'value').replace('{t}', 'events')}")
 add("clean_cap", lambda s, d: clean.cap_outliers(read_table(s, d, "events").select("event_id", "value"), "value").withColumn("value", F.round("value", 4)), f"SELECT event_id, round(least(greatest(value, lo), hi), 4) AS value FROM events, {_BOUNDS.replace('{c}', 'value').replace('{t}', 'events')}")
 add("clean_negative", lambda s, d: clean.outlier_report(read_table(s, d, "supplier"), "s_acctbal").select("column", "negatives"), "SELECT 's_acctbal' AS \"column\", count(*) FILTER (s_acctbal < 0) AS negatives FROM supplier")
 add("clean_ref_audit", lambda s, d: clean.reference_audit(_dirty(s, d), "customer_id"), "SELECT 'customer_id' AS \"column\", count(*) - count(customer_id) AS missing, count(*) FILTER (regexp_matches(customer_id, '(9999|unknown|dummy|temp|null|test)', 'i')) AS placeholders FROM {D}")
@@ -610,6 +610,21 @@ add(
     lambda s, d: store.listed_datasets(read_table(s, d, "orders").selectExpr("CASE WHEN o_orderkey % 2 = 0 THEN 'org1' ELSE 'org2' END AS org_id", "o_orderkey AS dataset_id", "o_orderdate AS created_at"), "org1", limit=30, offset=12),
     "SELECT 'org1' AS org_id, o_orderkey AS dataset_id, o_orderdate AS created_at FROM orders WHERE o_orderkey % 2 = 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 30 OFFSET 12",
 )
+_CATALOG = "SELECT o_orderkey AS id, 'd' || CAST(o_orderkey AS VARCHAR) AS dataset_id, 'uploaded' AS status, CAST(NULL AS BIGINT) AS row_count, CAST(NULL AS BIGINT) AS n_columns FROM orders"
+
+
+def _synced(s: SparkSession, d: str) -> DataFrame:
+    """A catalogue of many datasets, of which one is profiled."""
+    catalog = read_table(s, d, "orders").selectExpr("o_orderkey AS id", "concat('d', o_orderkey) AS dataset_id", "'uploaded' AS status", "CAST(NULL AS BIGINT) AS row_count", "CAST(NULL AS BIGINT) AS n_columns")
+    return store.sync_dataset(catalog, "d7", profile.profile_columns(_dirty(s, d)), _dirty(s, d).count()).drop("id")
+
+
+add("sync_dataset", _synced, f"SELECT dataset_id, CASE WHEN dataset_id = 'd7' THEN 'ready' ELSE status END AS status, CASE WHEN dataset_id = 'd7' THEN (SELECT count(*) FROM orders) END AS row_count, CASE WHEN dataset_id = 'd7' THEN 7 END AS n_columns FROM ({_CATALOG})")
+add(
+    "anomaly_run_facts",
+    lambda s, d: anomaly.run_facts(timeseries.prepare_series(_events(s, d), "ts", "value"), AnomalyRequest("ts", "value"), F.lit(date(2024, 6, 1))),
+    "SELECT *, DATE '2024-06-01' - end_date AS recency_lag_days, 'day' AS cadence, 'sum' AS aggregation, 'rolling_z' AS method, 2.5 AS threshold FROM (SELECT min(CAST(ts AS DATE)) AS start_date, max(CAST(ts AS DATE)) AS end_date, max(CAST(ts AS DATE)) - min(CAST(ts AS DATE)) + 1 AS observations FROM events WHERE value IS NOT NULL)",
+)
 add("list_anomalies", lambda s, d: store.listed(_old(s, d), "org1", severity="low", limit=12, offset=3), f"WITH {_OLD} SELECT * FROM o WHERE severity = 'low' ORDER BY bucket DESC, metric LIMIT 12 OFFSET 3")
 add("ml_summary", lambda s, d: store.summary(_found(s, d), _old(s, d), "org1"), f"WITH {_FOUND}, {_OLD} SELECT (SELECT count(*) FROM a) AS anomalies, (SELECT count(*) FROM a WHERE severity = 'critical') AS critical, (SELECT count(*) FROM a WHERE severity = 'high') AS high, (SELECT count(*) FROM a WHERE severity = 'medium') AS medium, (SELECT count(*) FROM a WHERE severity = 'low') AS low, (SELECT count(*) FROM o) AS forecasts, (SELECT count(*) FROM (SELECT metric FROM a UNION SELECT metric FROM o)) AS metrics")
 add("audit_append", lambda s, d: store.audit(_old(s, d).groupBy("org_id").agg(F.lit("load").alias("action"), F.lit("{}").alias("details"), F.max("bucket").alias("at")), "org1", "rca_run", F.to_json(F.struct(F.lit("value").alias("metric"))), F.lit(date(2024, 2, 1))), f"WITH {_OLD} SELECT org_id, 'load' AS action, '{{}}' AS details, max(bucket) AS at FROM o GROUP BY org_id UNION ALL SELECT 'org1', 'rca_run', '{{\"metric\":\"value\"}}', DATE '2024-02-01'")

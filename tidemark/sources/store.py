@@ -76,6 +76,15 @@ def sync_columns(catalog: DataFrame, profile: DataFrame, dataset: str) -> DataFr
     return replace(catalog, new, F.col("dataset_id") == dataset)
 
 
+def sync_dataset(datasets: DataFrame, dataset: str, profile: DataFrame, rows: int) -> DataFrame:
+    """datasets (dataset_id, status, row_count, n_columns, ...) with a profiled dataset ready, its rows and its columns counted; others as they are."""
+    own = F.coalesce(F.col("dataset_id") == dataset, F.lit(False))
+    columns = profile.agg(F.count(F.lit(1)).alias("_columns"))
+    kept = datasets.columns
+    told = {"status": F.when(own, "ready").otherwise(F.col("status")), "row_count": F.when(own, rows).otherwise(F.col("row_count")).cast("long"), "n_columns": F.when(own, F.col("_columns")).otherwise(F.col("n_columns")).cast("long")}
+    return datasets.join(F.broadcast(columns)).withColumns(told).select(*kept)  # one row
+
+
 def save(new: DataFrame, path: str, scopes: list[tuple[str, str, str]] | None = None) -> int:
     """Replace the rows of scopes (by default those that new holds) by new's in the versioned table under a path; all others stay. A scope that is named and has no new rows is emptied."""
     return ResultTable(new.sparkSession, path, new.schema).replace_all(new, scopes)
