@@ -4,22 +4,23 @@ Pass one notes, for every task, the bits of the hashes it has seen (``once``) an
 seen again (``twice``); merged to bitmaps, ``twice`` also gets what two tasks share. Pass two tests each hash
 against ``twice``: only rows that may be repeated shuffle, all others pass straight through.
 
-A filter is at most ``filter_bytes`` large. Where the hashes need more, hash space is cut into
-that many slices, written as folders, and slices get their filters one after the other, so what is
-broadcast is bounded whatever the input.
+A filter is at most ``filter_bytes`` large. Where the hashes need more, hash space is cut into that many
+slices, and hashes lie in folders by slice. All slices are built in one job, which leaves their bitmaps in the shared
+folder, and tested in another, whose tasks read the bitmap of the slice they hold. The driver sees none.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_by_skewed_key, lower_az, materialize, mix, partitions, scratch_path, text_or_empty
+from tidemark.llm.common import join_by_skewed_key, lower_az, materialize, mix, partitions, release, scratch_path, text_or_empty
 
 #: Positions within a segment fit 16 bits.
 _SEGMENT_BITS = 1 << 16
@@ -27,7 +28,9 @@ _LEAST_BITS = 1 << 19
 _BITS_PER_ROW = 16
 _PROBES = 3
 FILTER_BYTES = 32 << 20
-_PARTS = pa.schema([("segment", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
+#: Segments of a slice's bitmap that are merged by one task and lie in one file (4 MB).
+_FILE = 512
+_PARTS = pa.schema([("slice", pa.int32()), ("segment", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
 
 
 def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -37,36 +40,47 @@ def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.stack([(h + np.uint64(i) * step) & np.uint64(size - 1) for i in range(1, _PROBES + 1)]).astype(np.int64)
 
 
+def _runs(slices: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(slice, from, to) of each run of rows of one slice."""
+    cuts = np.concatenate([[0], np.flatnonzero(slices[1:] != slices[:-1]) + 1, [len(slices)]])
+    yield from ((int(slices[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+
+
 def _build(size: int):
+    """Rows (slice, hash): the positions that each slice's hashes of a task set, by segment."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [b.column(0).to_numpy(zero_copy_only=False).astype(np.int64) for b in batches]
-        if not seen:
-            return
-        values, counts = np.unique(np.concatenate(seen), return_counts=True)
-        once, twice = (np.unique(_bits(v, size)) for v in (values, values[counts > 1]))
-        segments = np.unique(once // _SEGMENT_BITS)
-        columns = [pa.array(segments)]
-        for found in (once, twice):
-            ends = np.append(np.searchsorted(found, segments * _SEGMENT_BITS), len(found)) * 2
-            columns.append(pa.Array.from_buffers(pa.binary(), len(segments), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer((found % _SEGMENT_BITS).astype("<u2").tobytes())]))
-        yield pa.RecordBatch.from_arrays(columns, schema=_PARTS)
+        seen: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            slices, hashes = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(2))
+            for k, i, j in _runs(slices):
+                seen.setdefault(k, []).append(hashes[i:j])
+        for k, own in seen.items():
+            values, counts = np.unique(np.concatenate(own), return_counts=True)
+            once, twice = (np.unique(_bits(v, size)) for v in (values, values[counts > 1]))
+            segments = np.unique(once // _SEGMENT_BITS)
+            columns = [pa.array(np.full(len(segments), k, np.int32)), pa.array(segments)]
+            for found in (once, twice):
+                ends = np.append(np.searchsorted(found, segments * _SEGMENT_BITS), len(found)) * 2
+                columns.append(pa.Array.from_buffers(pa.binary(), len(segments), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer((found % _SEGMENT_BITS).astype("<u2").tobytes())]))
+            yield pa.RecordBatch.from_arrays(columns, schema=_PARTS)
 
     return task
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of positions come sorted by segment; two bitmaps are held at a time. Gives the bitmap of twice."""
+    """Rows of positions come sorted by slice and segment; two bitmaps are held at a time. Gives the bitmap of twice."""
     at, once, twice = None, None, None
 
     def done():
-        return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([zlib.compress(np.packbits(twice).tobytes(), 1)], pa.binary())], names=["segment", "twice"])
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]]), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["slice", "segment", "twice"])
 
     for b in batches:
-        for segment, o, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if segment != at:
+        for k, segment, o, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (k, segment) != at:
                 if at is not None:
                     yield done()
-                at, once, twice = segment, np.zeros(_SEGMENT_BITS, bool), np.zeros(_SEGMENT_BITS, bool)
+                at, once, twice = (k, segment), np.zeros(_SEGMENT_BITS, bool), np.zeros(_SEGMENT_BITS, bool)
             o, t = np.frombuffer(o, "<u2"), np.frombuffer(t, "<u2")
             twice[o] |= once[o]
             once[o] = True
@@ -75,47 +89,65 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _flag(held, size: int, columns: list[str], only: bool):
+def _bitmap(folder: str, k: int, size: int) -> np.ndarray:
+    """A slice's bitmap, read in a task from the folder that all tasks share."""
+    store, at = fs.FileSystem.from_uri(folder)
+    twice = np.zeros(size // 8, np.uint8)
+    for f in store.get_file_info(fs.FileSelector(f"{at}/slice={k}")):
+        if f.path.endswith(".parquet"):
+            with store.open_input_file(f.path) as source:
+                rows = pq.ParquetFile(source).read(["segment", "twice"])
+            for segment, bits in zip(rows.column("segment").to_pylist(), rows.column("twice").to_pylist(), strict=True):
+                twice[segment * _SEGMENT_BITS // 8 :][: _SEGMENT_BITS // 8] = np.frombuffer(bits, np.uint8)
+    return twice
+
+
+#: The bitmap that this process read last, for its next task on the same slice.
+_held: dict[tuple[str, int], np.ndarray] = {}
+
+
+def _flag(folder: str, size: int, columns: list[str], only: bool):
+    """Rows (slice, hash, columns): with maybe. A task holds the bitmap of one slice at a time."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = held.value
         for b in batches:
-            at = _bits(b.column("hash").to_numpy(zero_copy_only=False).astype(np.int64), size)
-            hit = ((twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0) if b.num_rows else np.zeros(0, bool)
-            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(hit, pa.bool_())], names=[*columns, "maybe"])
-            yield out.filter(out.column("maybe")) if only else out
+            for k, i, j in _runs(b.column("slice").to_numpy(zero_copy_only=False)):
+                if (folder, k) not in _held:
+                    _held.clear()
+                    _held[folder, k] = _bitmap(folder, k, size)
+                twice = _held[folder, k]
+                part = b.slice(i, j - i)
+                at = _bits(part.column("hash").to_numpy(zero_copy_only=False).astype(np.int64), size)
+                hit = ((twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+                out = pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(hit, pa.bool_())], names=[*columns, "maybe"])
+                yield out.filter(out.column("maybe")) if only else out
 
     return task
 
 
-def _merged(own: DataFrame, size: int) -> np.ndarray:
-    """The bitmap of what occurs again, put together on executors; at most filter_bytes reach the driver."""
-    parts = own.select("hash").mapInArrow(_build(size), "segment long, once binary, twice binary")
-    merged = parts.repartition(partitions(own.sparkSession), "segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, twice binary")
-    twice = np.zeros(size // 8, np.uint8)
-    for r in merged.toLocalIterator():
-        twice[r["segment"] * _SEGMENT_BITS // 8 :][: _SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
-    return twice
-
-
 def possibly_repeated(hashes: DataFrame, rows: int, filter_bytes: int, only: bool = False) -> DataFrame:
     """``hashes`` (any columns beside hash long, slice int) with maybe boolean: false only for hashes that occur once; with ``only``, these are left out.
 
-    Slices come one after the other: the filter of one is broadcast, its rows are written, and the
-    broadcast is destroyed before the next, so one filter is alive at a time.
+    Two jobs, however many slices there are: one writes the bitmaps of all slices to the shared folder,
+    the other writes the rows with what the bitmaps say. The shared folder has to be one that Python reads
+    too: a mounted one, HDFS or an object store.
     """
     spark = hashes.sparkSession
-    path = scratch_path(spark, "flagged")
     columns = [f.name for f in hashes.schema if f.name not in ("hash", "slice")] + (["hash"] if only else [])
     schema = ", ".join(f"`{c}` {hashes.schema[c].dataType.simpleString()}" for c in columns)
     size = _LEAST_BITS
     while size < rows * _BITS_PER_ROW and size < filter_bytes * 8:
         size *= 2
-    for k in range(slice_count(rows, filter_bytes)):
-        own = hashes.filter(F.col("slice") == k).drop("slice")
-        held = spark.sparkContext.broadcast(_merged(own, size))
-        flagged = own.select("hash", *[f"`{c}`" for c in columns if c != "hash"]).mapInArrow(_flag(held, size, columns, only), f"{schema}, maybe boolean")
-        flagged.write.mode("append").option("compression", "zstd").partitionBy("maybe").parquet(path)
-        held.destroy()
+    bitmaps = scratch_path(spark, "bitmaps")
+    parts = hashes.select("slice", "hash").mapInArrow(_build(size), "slice int, segment long, once binary, twice binary")
+    dealt = parts.repartition(partitions(spark), "slice", F.expr(f"segment div {_FILE}")).sortWithinPartitions("slice", "segment")
+    dealt.mapInArrow(_merge, "slice int, segment long, twice binary").write.option("compression", "zstd").partitionBy("slice").parquet(bitmaps)
+    rest = [f"`{c}`" for c in columns if c != "hash"]
+    flagged = hashes.select("slice", "hash", *rest).mapInArrow(_flag(bitmaps, size, columns, only), f"{schema}, maybe boolean")
+    path = scratch_path(spark, "flagged")
+    writer = flagged.write.option("compression", "zstd")
+    (writer if only else writer.partitionBy("maybe")).parquet(path)  # with only there is nothing to keep apart
+    release(spark, [bitmaps])
     return spark.read.schema(f"{schema}, maybe boolean").parquet(path)
 
 

@@ -274,7 +274,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, fil
     met = _meeting(distinct, total, "anchor-groups")
     spans = materialize(met.groupBy("row").agg(F.collect_list(F.struct("begin", "end", "place", "hash", "n")).alias("spans")), "context-spans")
     owners = spans.select("row")
-    held = keyed.join(sized(owners, owners.count()), "row", "left_semi").join(spans.hint("shuffle_hash"), "row").select("row", "id", "text", "spans")
+    held = keyed.join(sized(owners, owners.count()), "row", "left_semi").join(spans.hint("merge"), "row").select("row", "id", "text", "spans")
     cut = materialize(held.mapInArrow(_cut_contexts(length), f"row long, id {kind}, begin int, end int, place int, hash long, n long, bytes binary"), "context-bytes")
     crowded = cut.filter(F.col("n") > _MEET).drop("n")
     meeting, others = ([], []) if crowded.isEmpty() else _divided(crowded, length, gram)
@@ -323,9 +323,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     keyed = materialize(own, "suffix-docs")
     before = written()
-    found = materialize(repeated_spans(keyed, length, gram), "spans")
+    spans = materialize(repeated_spans(keyed, length, gram).groupBy("row").agg(F.collect_list(F.struct("begin", "stop")).alias("spans")), "spans")
     release(docs.sparkSession, [p for p in written() if p not in before and "/spans-" not in p])
-    spans = found.groupBy("row").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    touched = sized(spans.select("row"), spans.count())
     kind = keyed.schema["id"].dataType.simpleString()
-    joined = keyed.join(spans.hint("shuffle_hash"), "row", "left").select("text", "spans", "id")
-    return joined.mapInArrow(_remove, f"kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, id {kind}").withColumnRenamed("id", id_col)
+    joined = keyed.join(touched, "row", "left_semi").join(spans.hint("merge"), "row").select("text", "spans", "id")
+    cut = joined.mapInArrow(_remove, f"kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, id {kind}")
+    raw, none = F.col("text").cast("binary"), F.lit(0).cast("long")
+    whole = keyed.join(touched, "row", "left_anti").select(raw.alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), "id")
+    return cut.unionByName(whole).withColumnRenamed("id", id_col)
