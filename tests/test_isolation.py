@@ -42,3 +42,16 @@ def test_trees_split_every_sample_and_stop_where_nothing_varies(spark):
     made = isolation.fit(few, ["k"], ["a"], trees=5)
     for root in made.roots:
         assert {_depth(made, root, [float(k)]) > 0 for k in range(4)} == {True}
+
+
+def test_a_forest_reads_its_table_once(spark):
+    df, points = _table(spark, 3)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    forest = isolation.fit(df.mapInArrow(counted, df.schema), ["k"], ["a", "b"], trees=5, sample=50)
+    assert (len(forest.roots), forest.sample, read.value) == (5, 50, len(points) + 2)

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.expressions import number
 
 TREES, SAMPLE = 100, 256
-_NODES = "tree int, node int, feature int, cut double, low int, high int, depth double"
+#: Rows that are scored at once, so that what a level needs stays in a core's cache.
+_AT_ONCE = 4096
+_NODES = "tree int, node int, feature int, cut double, low int, high int, depth double, points int"
 
 
 def mean_depth(n: float) -> float:
@@ -43,19 +45,34 @@ class Forest:
     roots: np.ndarray
     sample: int
 
+    def _levels(self, root: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """A tree level by level: feature, cut and the place of the lower child on the next level, where the upper one comes behind it. A leaf stands again on every level below its own, the last of which tells the nodes."""
+        now, out = np.array([root]), []
+        while (self.feature[now] >= 0).any():
+            inner = self.feature[now] >= 0
+            width = np.where(inner, 2, 1)
+            first = np.cumsum(width) - width
+            below = np.empty(width.sum(), np.int64)
+            below[first] = np.where(inner, self.low[now], now)
+            below[first[inner] + 1] = self.high[now[inner]]
+            out.append((np.where(inner, self.feature[now], 0), np.where(inner, self.cut[now], -np.inf), first - ~inner))
+            now = below
+        return [*out, (now, now, now)]
+
     def scores(self, points: np.ndarray) -> np.ndarray:
         """From 0 to 1; the larger the sooner random cuts set a point apart."""
         total = np.zeros(len(points))
-        for root in self.roots:
-            at = np.full(len(points), root)
-            while True:
-                inner = np.flatnonzero(self.feature[at] >= 0)
-                if not len(inner):
-                    break
-                node = at[inner]
-                below = points[inner, self.feature[node]] < self.cut[node]
-                at[inner] = np.where(below, self.low[node], self.high[node])
-            total += self.depth[at]
+        trees = [self._levels(root) for root in self.roots]
+        for lo in range(0, len(points), _AT_ONCE):
+            own = points[lo : lo + _AT_ONCE]
+            flat, row = np.ascontiguousarray(own.T).reshape(-1), np.arange(len(own))
+            for *levels, (nodes, _, _) in trees:
+                at = np.zeros(len(own), np.int64)
+                for feature, cut, first in levels:
+                    above = flat[(feature * len(own))[at] + row] >= cut[at]
+                    at = first[at]
+                    at += above
+                total[lo : lo + _AT_ONCE] += self.depth[nodes[at]]
         return 2 ** (-total / max(1, len(self.roots)) / max(mean_depth(self.sample), 1e-9))
 
 
@@ -65,10 +82,11 @@ def _grow(dim: int, seed: int):
         points = np.array(rows.sort_values("rank")["point"].tolist(), float).reshape(-1, dim)
         rng = np.random.default_rng([seed, tree])
         most = int(np.ceil(np.log2(max(len(points), 2))))
-        nodes: list[list] = [[tree, 0, -1, 0.0, -1, -1, 0.0]]
+        nodes: list[list] = [[tree, 0, -1, 0.0, -1, -1, 0.0, 0]]
         stack = [(0, points, 0)]
         while stack:
             at, own, depth = stack.pop()
+            nodes[at][7] = len(own)
             low, high = own.min(axis=0), own.max(axis=0)
             varied = np.flatnonzero(high > low)
             if len(own) <= 1 or depth >= most or not len(varied):
@@ -79,7 +97,7 @@ def _grow(dim: int, seed: int):
             side = own[:, k] < cut
             nodes[at][2:6] = [k, cut, len(nodes), len(nodes) + 1]
             for part in (own[side], own[~side]):
-                nodes.append([tree, len(nodes), -1, 0.0, -1, -1, 0.0])
+                nodes.append([tree, len(nodes), -1, 0.0, -1, -1, 0.0, 0])
                 stack.append((len(nodes) - 1, part, depth + 1))
         return pd.DataFrame(nodes, columns=[c.split()[0] for c in _NODES.split(", ")])
 
@@ -100,7 +118,13 @@ def _least(trees: int, sample: int, seed: int):
                 x ^= x >> np.uint64(29)
                 if t == len(held):
                     held.append((np.zeros(0, np.uint64), np.zeros((0, points.shape[1]))))
-                keys, kept = np.concatenate([held[t][0], x]), np.concatenate([held[t][1], points])
+                if len(held[t][0]) == sample:  # few rows of later batches can still be among the least
+                    some = np.flatnonzero(x < held[t][0][-1])
+                    if not len(some):
+                        continue
+                    keys, kept = np.concatenate([held[t][0], x[some]]), np.concatenate([held[t][1], points[some]])
+                else:
+                    keys, kept = np.concatenate([held[t][0], x]), np.concatenate([held[t][1], points])
                 first = np.argsort(keys, kind="stable")[:sample]
                 held[t] = keys[first], kept[first]
         for t, (keys, kept) in enumerate(held):
@@ -129,8 +153,7 @@ def fit(df: DataFrame, id_cols: list[str], features: list[str], trees: int = TRE
         return Forest(*(np.zeros(0, t) for t in (int, float, int, int, float)), np.zeros(0, int), 1)
     base = grown.groupby("tree").cumcount().rsub(pd.Series(range(len(grown)))).to_numpy()
     moved = [np.where(grown[c] >= 0, grown[c] + base, -1).astype(np.int64) for c in ("low", "high")]
-    leaves = best.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return Forest(grown["feature"].to_numpy(), grown["cut"].to_numpy(), *moved, grown["depth"].to_numpy(), np.unique(base), int(leaves))
+    return Forest(grown["feature"].to_numpy(), grown["cut"].to_numpy(), *moved, grown["depth"].to_numpy(), np.unique(base), int(grown["points"].max()))
 
 
 def isolation_scores(df: DataFrame, id_cols: list[str], features: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 42, forest: Forest | None = None) -> DataFrame:
