@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from data import GAUGES, GAUGES_SCHEMA
-from tidemark.functions.quantiles import medians, quantiles
+from tidemark.functions.quantiles import below, medians, quantiles
 from tidemark.operators import aggregate as agg
 from tidemark.operators import timeseries
 from tidemark.operators.filters import apply_filters, date_window
@@ -156,3 +156,20 @@ def test_no_job_runs_to_plan_quantiles(spark):
     quantiles(spark.range(100).select(F.col("id").alias("v")), ["v"], [0.5])
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_ranks_hold_when_ranges_are_worked_out_twice_from_rows_in_another_order(spark):
+    def mixed(batches):
+        import pyarrow as pa
+
+        rows = pa.Table.from_batches(list(batches)).combine_chunks().to_pylist()
+        random.SystemRandom().shuffle(rows)
+        yield pa.RecordBatch.from_pylist(rows)
+
+    session = spark.newSession()
+    session.conf.set("spark.sql.exchange.reuse", "false")
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    rows = session.range(0, 120_000, 1, 1).select(F.lit("x").alias("column"), (F.hash("id") / F.lit(100.0)).alias("value"), F.lit(1).cast("long").alias("n"))
+    placed = below(rows.mapInArrow(mixed, "column string, value double, n long"), ["column"]).select("value", "below")
+    got = [r["below"] for r in placed.sort("value").collect()]
+    assert got == list(range(120_000))

@@ -1,7 +1,7 @@
 """Exact ranks and quantiles over data of any size: counts of values, dealt by range, with running sums per range.
 
 A built-in exact percentile keeps all distinct values of a column in one task. Here a column's values
-are counted, cut into ranges at approximate quantiles, and summed up within each range; only the sums
+are counted, cut into ranges at quantiles of a sample drawn by hash, and summed up within each range; only the sums
 of the ranges are put in order together. Nothing is run when a plan is made.
 """
 
@@ -14,14 +14,29 @@ from tidemark.functions.expressions import number
 
 #: Ranges of a column's or group's values; each is sorted by a task that may spill.
 RANGES = 64
+#: Values of a key from which its ranges are cut.
+SLOTS = 1024
 #: Rows of a group whose median one task may find; there are at most a row in so many such groups beyond.
 LARGE = 1_000_000
 
 
+def edges(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _edges: RANGES - 1 values that cut a key's values into ranges of about as many.
+
+    They come from at most SLOTS values of a key, in each slot of a hash the one with the least hash, and so
+    are the same in every evaluation, however rows are dealt and in whatever order they arrive: a plan
+    that reads them twice needs that, as does a task that is run again.
+    """
+    hashed = F.xxhash64("value")
+    drawn = counts.groupBy(*keys, F.pmod(hashed, F.lit(SLOTS)).alias("_slot")).agg(F.min_by("value", hashed).alias("_value"))
+    held = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list("_value")).alias("_drawn"))  # SLOTS values a key
+    at = [F.get("_drawn", F.floor(F.size("_drawn") * (i / RANGES)).cast("int")) for i in range(1, RANGES)]
+    return held.select(*keys, F.array(*at).alias("_edges"))
+
+
 def below(counts: DataFrame, keys: list[str]) -> DataFrame:
     """counts (keys, value, n: a row for each value) with below: how many values of the key are smaller."""
-    edges = F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 1000)
-    cut = counts.groupBy(*keys).agg(edges.alias("_edges"))  # a row for each key: named columns, or groups of over LARGE rows
+    cut = edges(counts, keys)  # a row for each key: named columns, or groups of over LARGE rows
     parted = (counts.join(F.broadcast(cut), keys) if keys else counts.join(F.broadcast(cut))).withColumn("_part", F.size(F.filter("_edges", lambda e: e <= F.col("value")))).drop("_edges")
     sums = parted.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))
     order = Window.partitionBy(*keys).orderBy("_part")
