@@ -181,3 +181,20 @@ def test_resolve(spark):
     raw, cleaned = spark.createDataFrame([(1,)], "`Order ID` long"), spark.createDataFrame([(1,)], "order_id long")
     got, is_clean = tables.resolve(raw, cleaned, {"Order ID": "order_id"})
     assert got.columns == ["Order ID"] and is_clean and tables.resolve(raw, None, {}) == (raw, False)
+
+
+def test_figures_of_a_cached_table_count_its_values_once(spark):
+    df = spark.range(0, 3000, 1, 3).select((F.col("id") % 700).cast("double").alias("a"), (F.hash("id") / F.lit(7.0)).alias("b")).persist()
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    try:
+        seen = df.mapInArrow(counted, df.schema)
+        assert clean._fills(seen, ["a"], "median") == {"a": 324.5} and read.value == 3000
+        assert clean._bounds(seen, ["a"]).keys() == {"a"} and read.value == 3 * 3000  # once to count rows
+    finally:
+        df.unpersist()

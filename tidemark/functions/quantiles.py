@@ -47,8 +47,24 @@ def below(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 def quantiles(df: DataFrame, names: list[str], probabilities: list[float]) -> DataFrame:
     """column and q: the exact quantiles, on the line between the neighbouring values, of up to a few dozen numeric columns."""
+    return _quantiles(_counts(df, names), probabilities)
+
+
+def quantiles_now(df: DataFrame, names: list[str], probabilities: list[float]) -> dict[str, list[float]]:
+    """What quantiles finds, by column. It is run here, and keeps the counts of values meanwhile: five parts of its plan read them, and over a cached table Spark would count for each."""
+    counts = _counts(df, names).persist()
+    try:
+        return {r["column"]: r["q"] for r in _quantiles(counts, probabilities).collect()}  # a row for each column
+    finally:
+        counts.unpersist()
+
+
+def _counts(df: DataFrame, names: list[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), number(df, n).alias("value")) for n in names])).alias("c")).select("c.*").filter(F.col("value").isNotNull())
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _quantiles(counts: DataFrame, probabilities: list[float]) -> DataFrame:
     placed = below(counts, ["column"])
     totals = counts.groupBy("column").agg((F.sum("n") - 1).alias("_last"))
     placed = placed.join(F.broadcast(totals), "column")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.expressions import day, number, r4
-from tidemark.functions.quantiles import quantiles
+from tidemark.functions.quantiles import quantiles, quantiles_now
 from tidemark.operators.aggregate import value_counts
 from tidemark.operators.profile import METRIC_NAME, Figures, figures
 from tidemark.plans.requests import CleaningConfig
@@ -149,7 +149,7 @@ def _fills(df: DataFrame, names: list[str], how: str) -> dict[str, float]:
     if how == "zero" or not names:
         return dict.fromkeys(names, 0.0)
     if how == "median":
-        known = {r["column"]: r["q"][0] for r in quantiles(df, names, [0.5]).collect()}  # a row for each column
+        known = {c: q[0] for c, q in quantiles_now(df, names, [0.5]).items()}
     else:
         known = df.agg(*[F.avg(number(df, n)).alias(n) for n in names]).first().asDict()
     return {n: round(known.get(n) or 0.0, 4) for n in names}
@@ -166,10 +166,9 @@ def _bounds(df: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
     """Outlier bounds of the columns with ten values or more; one job for all columns."""
     counts = df.agg(*[F.count(number(df, n)).alias(n) for n in names]).first().asDict()
     out = {}
-    for r in quantiles(df, names, [0.25, 0.75]).collect():  # a row for each column
-        if counts[r["column"]] >= OUTLIER_MIN_ROWS:
-            low, high = r["q"]
-            out[r["column"]] = (round(low - (high - low) * OUTLIER_FACTOR, 4), round(high + (high - low) * OUTLIER_FACTOR, 4))
+    for name, (low, high) in quantiles_now(df, names, [0.25, 0.75]).items():
+        if counts[name] >= OUTLIER_MIN_ROWS:
+            out[name] = (round(low - (high - low) * OUTLIER_FACTOR, 4), round(high + (high - low) * OUTLIER_FACTOR, 4))
     return out
 
 
