@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from cases import SCHEMA, documents
@@ -273,3 +274,47 @@ def test_recall_of_the_join_close_to_the_threshold(spark):
     found = {r["id"]: r["class_id"] for r in ngram_jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("id", "class_id").collect()}
     assert all(found[2 * k] == 2 * k for k in range(1500))
     assert np.mean([found[2 * k + 1] == 2 * k for k in range(1500)]) >= 0.99
+
+
+def test_equal_strings_have_equal_anchors_in_one_run_each():
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 100, n, np.uint8)) for n in (0, 99, 100, 340, 0, 1000)] + [b"a" * 400]
+    texts.append(b"xyz" + texts[3] + texts[5][200:500])
+    at = np.cumsum([0, *map(len, texts)])
+    seen, starts = {}, set()
+    for k, begin, end, q, h, *_ in zip(*suffix_dedup.anchors(np.frombuffer(b"".join(texts), np.uint8), at, 100, 40), strict=True):
+        for start in range(begin, end + 1):
+            assert start <= q <= start + 60 and (k, start) not in starts
+            starts.add((k, start))
+            assert seen.setdefault(texts[k][start : start + 100], (q - start, h)) == (q - start, h)
+    assert starts == {(k, s) for k, t in enumerate(texts) for s in range(len(t) - 99)}
+
+
+def test_only_strings_that_may_repeat_are_sorted(monkeypatch):
+    """Contexts that share an anchor and no string of 100 bytes do not reach the sort, those that share some do by their part."""
+    rng = np.random.default_rng(6)
+    gram, apart = bytes(rng.integers(97, 123, 40, np.uint8)), [bytes(rng.integers(97, 123, 120, np.uint8)) for _ in range(50)]
+    rows = [(k, 0, 60, 7, apart[k][:60] + gram + apart[k][60:]) for k in range(50)]
+    sizes, again = [], suffix_dedup._again
+    monkeypatch.setattr(suffix_dedup, "_again", lambda t, *a: sizes.append(len(t)) or again(t, *a))
+
+    def shard(rows):
+        batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["row", "begin", "place", "hash", "bytes"])
+        halves = [batch.slice(0, 20), batch.slice(20)]
+        return [tuple(r.values()) for out in suffix_dedup._sort_shard(100, 40, 8 << 20)(iter(halves)) for r in out.to_pylist()]
+
+    assert shard(rows) == [] and not sizes
+    twin = apart[3][40:60] + gram + apart[3][60:100] + apart[40][:20]  # the bytes 40 to 140 of row 3, and others behind
+    assert shard([*rows, (50, 5, 25, 7, twin)]) == [(50, 5, 105)]
+    assert sizes and sizes[0] < 300
+
+
+def test_removed_runs_end_with_their_text():
+    spans = [[{"begin": 0, "stop": 3}], [{"begin": 2, "stop": 4}, {"begin": 0, "stop": 2}], [{"begin": 4, "stop": 5}, {"begin": 0, "stop": 1}, {"begin": 0, "stop": 3}]]
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("stop", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(["abc", "abcd", "abécd"]), pa.array(spans, kind), pa.array([1, 2, 3])], names=["text", "spans", "id"])
+    for b in (batch, batch.slice(1)):
+        got = [r for out in suffix_dedup._remove(iter([b])) for r in out.to_pylist()]
+        want = [(1, b"", 3, 3, 1), (2, b"", 4, 4, 1), (3, "abécd".encode()[3:4] + "abécd".encode()[5:], 6, 4, 2)][-b.num_rows :]
+        assert [(r["id"], r["kept"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got] == want
+        assert all(r["kept_sha256"] == hashlib.sha256(r["kept"]).hexdigest() for r in got)

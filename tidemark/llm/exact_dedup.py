@@ -40,6 +40,12 @@ def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.stack([(h + np.uint64(i) * step) & np.uint64(size - 1) for i in range(1, _PROBES + 1)]).astype(np.int64)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
 def _runs(slices: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(slice, from, to) of each run of rows of one slice."""
     cuts = np.concatenate([[0], np.flatnonzero(slices[1:] != slices[:-1]) + 1, [len(slices)]])
@@ -56,9 +62,11 @@ def _build(size: int):
             for k, i, j in _runs(slices):
                 seen.setdefault(k, []).append(hashes[i:j])
         for k, own in seen.items():
-            values, counts = np.unique(np.concatenate(own), return_counts=True)
-            once, twice = (np.unique(_bits(v, size)) for v in (values, values[counts > 1]))
-            segments = np.unique(once // _SEGMENT_BITS)
+            values = np.sort(np.concatenate(own))
+            again = values[1:] == values[:-1]
+            fits = np.uint32 if size <= 1 << 32 else np.int64  # narrow numbers sort faster
+            once, twice = (_distinct(_bits(v, size).astype(fits).reshape(-1)) for v in (values[np.append(True, ~again)], values[1:][again]))
+            segments = _distinct(once // _SEGMENT_BITS).astype(np.int64)
             columns = [pa.array(np.full(len(segments), k, np.int32)), pa.array(segments)]
             for found in (once, twice):
                 ends = np.append(np.searchsorted(found, segments * _SEGMENT_BITS), len(found)) * 2
