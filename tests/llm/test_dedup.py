@@ -318,3 +318,23 @@ def test_removed_runs_end_with_their_text():
         want = [(1, b"", 3, 3, 1), (2, b"", 4, 4, 1), (3, "abécd".encode()[3:4] + "abécd".encode()[5:], 6, 4, 2)][-b.num_rows :]
         assert [(r["id"], r["kept"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got] == want
         assert all(r["kept_sha256"] == hashlib.sha256(r["kept"]).hexdigest() for r in got)
+
+
+def test_texts_of_a_group_are_not_sent_once_a_pair(spark, monkeypatch):
+    """Three groups of 30 near copies: 1,305 links, and no more listed pairs than texts."""
+    rng, rows, listed = random.Random(8), [], []
+    for group in range(3):
+        text = [f"v{rng.randrange(10**6)}" for _ in range(400)]
+        for k in range(30):
+            rows.append((100 * group + k, " ".join(f"z{group}-{k}" if i == 10 * k + 7 else w for i, w in enumerate(text))))
+    kept = ngram_jaccard.materialize
+
+    def spied(df, tag, *a):
+        out = kept(df, tag, *a)
+        listed.extend([out.count()] if tag == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "materialize", spied)
+    got = ngram_jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["id"], r["class_id"], r["n_links"]) for r in got) == [(k, k // 100 * 100, 29) for k, _ in rows]
+    assert len(listed) == 1 and listed[0] <= len(rows)

@@ -25,7 +25,8 @@ from tidemark.llm.common import join_by_skewed_key, materialize, mix, partitions
 #: A pair at similarity 0.8 shares one of 30 bands of 7 rows with probability 0.999, one at 0.3 with 0.007.
 N, THRESHOLD, BANDS, ROWS = 5, 0.8, 30, 7
 RECALL = 1 - (1 - THRESHOLD**ROWS) ** BANDS
-_DENSE = 48
+#: Representatives in a band from which on they are compared in blocks: listed pairs send each text once for every other one.
+_DENSE = 8
 _BLOCK = 128
 _BYTES = 400_000
 _MOST_BANDS = 400
